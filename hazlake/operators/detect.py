@@ -15,7 +15,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from hazlake.functions.mapping import constant
+from hazlake.functions.mapping import constant, once
 from hazlake.functions.numbers import round_even
 from hazlake.functions.text import alternation, sentences, shadow, strip
 from hazlake.functions.taxonomy import (
@@ -259,9 +259,9 @@ def detect_precursors(
         work = with_alignment(work, text, taxonomy, out="_alignment")
     else:
         work = work.withColumn("_alignment", F.array_repeat(F.lit(0.0), len(taxonomy)))
-    return work.withColumn(
-        "precursors", _fold(F.col("_hits"), entries, F.col("_alignment"), F.col("_header_only"))
-    ).drop("_low", "_header_only", "_context", "_hits", "_alignment")
+    return once(
+        work, precursors=_fold(F.col("_hits"), entries, F.col("_alignment"), F.col("_header_only"))
+    ).select(*df.columns, "precursors")
 
 
 def sentences_of(low: str) -> Column:
