@@ -15,11 +15,11 @@ from functools import lru_cache
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import DataFrame, functions as F
 
-from hazlake.functions.mapping import constant
+from hazlake.functions.mapping import constant, once
 from hazlake.functions.numbers import round_even
 from hazlake.functions.stopwords import ENGLISH
 from hazlake.functions.taxonomy import TAXONOMY, Precursor
-from hazlake.functions.text import tokens, with_bigrams
+from hazlake.operators.tfidf import with_terms
 
 
 @lru_cache(maxsize=8)
@@ -63,7 +63,7 @@ def with_alignment(
         "array<struct<idf:double,own:array<struct<position:int,weight:double>>>>",
     )
     counter = CountVectorizerModel.from_vocabulary(list(vocabulary), "_terms", "_counts")
-    counted = counter.transform(df.withColumn("_terms", with_bigrams(tokens(F.col(text), stop_words))))
+    counted = counter.transform(with_terms(df, text, "_terms", stop_words))
     sparse = F.unwrap_udt("_counts")
     weighted = F.transform(
         F.arrays_zip(sparse["indices"].alias("i"), sparse["values"].alias("n")),
@@ -96,6 +96,6 @@ def with_alignment(
             / F.col("_norm"),
         ).otherwise(F.lit(0.0)),
     )
-    return scored.withColumn("_cosine", cosine).withColumn(
-        out, F.transform("_cosine", lambda x: round_even(x, 3))
-    ).drop("_terms", "_counts", "_weighted", "_parts", "_norm", "_cosine")
+    # an array of one per prototype, rounded in its own step so that each cosine is taken once
+    rounded = scored.withColumn("_cosine", cosine)
+    return once(rounded, **{out: F.transform("_cosine", lambda x: round_even(x, 3))}).select(*df.columns, out)

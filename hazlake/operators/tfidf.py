@@ -15,17 +15,12 @@ from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, functions as F
 
-from hazlake.functions.numbers import round_even
 from hazlake.functions.stopwords import ENGLISH
 from hazlake.functions.text import tokens, with_bigrams
 
 MAX_VOCABULARY = 200_000  # terms that may be held by the driver and every task
 
 
-def word_terms(text: Column, stop_words: Sequence[str] = ENGLISH) -> Column:
-    return with_bigrams(tokens(text, stop_words))
-
-
 def char_terms(text: Column, low: int = 3, high: int = 5) -> Column:
     """Character n-grams of each word padded by one blank on both sides; short words count once."""
     words = F.filter(F.split(F.lower(text), r"(?U)\s+"), lambda w: w != "")
@@ -108,8 +103,7 @@ def term_weights(vectors: DataFrame, vocabulary: Vocabulary, key: str) -> DataFr
 
 
 def with_terms(df: DataFrame, text: str, out: str = "terms", stop_words: Sequence[str] = ENGLISH) -> DataFrame:
-    return df.withColumn(out, word_terms(F.col(text), stop_words))
-
-
-def rounded(c: Column, digits: int = 6) -> Column:
-    return round_even(c, digits)
+    """Add the words of a text without stop words, then its pairs of neighbouring words."""
+    # the words are a column of their own: they are used several times below
+    words = df.withColumn("_words", tokens(F.col(text), stop_words))
+    return words.withColumn(out, with_bigrams(F.col("_words"))).drop("_words")
