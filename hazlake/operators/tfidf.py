@@ -15,6 +15,7 @@ from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, functions as F
 
+from hazlake.functions.mapping import once
 from hazlake.functions.stopwords import ENGLISH
 from hazlake.functions.text import tokens, with_bigrams
 
@@ -84,13 +85,10 @@ def vectorize(docs: DataFrame, vocabulary: Vocabulary, terms: str = "terms", sub
     weights = scaled["values"]
     if sublinear:
         weights = F.zip_with(counts["values"], weights, lambda n, s: s * (1 + F.ln(n)) / n)
-    out = counted.select(
-        *docs.columns, counts["indices"].alias("_i"), weights.alias("_w")
-    ).withColumn("_norm", F.sqrt(F.aggregate("_w", F.lit(0.0), lambda a, w: a + w * w)))
-    return out.withColumn(
-        "vector",
-        F.zip_with("_i", "_w", lambda i, w: F.struct(i.alias("i"), (w / F.col("_norm")).alias("w"))),
-    ).drop("_i", "_w", "_norm")
+    counted = once(counted, _i=counts["indices"], _w=weights)
+    counted = counted.withColumn("_norm", F.sqrt(F.aggregate("_w", F.lit(0.0), lambda a, w: a + w * w)))
+    unit = F.zip_with("_i", "_w", lambda i, w: F.struct(i.alias("i"), (w / F.col("_norm")).alias("w")))
+    return once(counted, vector=unit).select(*docs.columns, "vector")
 
 
 def term_weights(vectors: DataFrame, vocabulary: Vocabulary, key: str) -> DataFrame:
@@ -106,4 +104,4 @@ def with_terms(df: DataFrame, text: str, out: str = "terms", stop_words: Sequenc
     """Add the words of a text without stop words, then its pairs of neighbouring words."""
     # the words are a column of their own: they are used several times below
     words = df.withColumn("_words", tokens(F.col(text), stop_words))
-    return words.withColumn(out, with_bigrams(F.col("_words"))).drop("_words")
+    return once(words, **{out: with_bigrams(F.col("_words"))}).drop("_words")
