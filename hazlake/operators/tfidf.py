@@ -55,22 +55,25 @@ def fit_vocabulary(docs: DataFrame, terms: str = "terms", max_features: int = 20
     """The most frequent terms of the corpus, ties by name, and in how many documents each is."""
     if max_features > MAX_VOCABULARY:
         raise ValueError(f"at most {MAX_VOCABULARY} terms fit into every task")
-    exploded = docs.select(F.explode(terms).alias("term"))
-    top = exploded.groupBy("term").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "term").limit(max_features)
-    chosen = sorted(r[0] for r in top.collect())
-    if not chosen:
-        return Vocabulary((), (), docs.count())
-    counter = CountVectorizerModel.from_vocabulary(chosen, terms, "_counts")
-    indices = counter.transform(docs.select(terms)).select(F.unwrap_udt("_counts")["indices"].alias("i"))
-    # -1 stands for the document itself, so one pass gives the corpus size as well
-    found = (
-        indices.select(F.explode(F.concat(F.array(F.lit(-1)), "i")).alias("i"))
-        .groupBy("i")
-        .agg(F.count("*").alias("n"))
+    # sorting a document's terms shows where each first occurs, so one pass counts both the
+    # occurrences and the documents of a term
+    ordered = once(docs, _sorted=F.array_sort(terms))
+    marked = F.transform(
+        "_sorted",
+        lambda t, i: F.struct(
+            t.alias("term"), ((i == 0) | (F.get("_sorted", i - 1) != t)).alias("first")
+        ),
     )
-    frequency = {r[0]: r[1] for r in found.collect()}
-    total = frequency.get(-1, 0)
-    idf = tuple(math.log((1 + total) / (1 + frequency.get(i, 0))) + 1 for i in range(len(chosen)))
+    counts = (
+        ordered.select(F.explode(marked).alias("t"))
+        .groupBy("t.term")
+        .agg(F.count("*").alias("n"), F.count_if("t.first").alias("df"))
+    )
+    top = counts.orderBy(F.desc("n"), "term").limit(max_features).collect()
+    total = docs.count()
+    frequency = {r["term"]: r["df"] for r in top}
+    chosen = sorted(frequency)
+    idf = tuple(math.log((1 + total) / (1 + frequency[t])) + 1 for t in chosen)
     return Vocabulary(tuple(chosen), idf, total)
 
 
