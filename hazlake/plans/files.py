@@ -11,7 +11,7 @@ from hazlake.sources.readers import read_parquet
 
 
 def file_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit_files(list_files(spark, sf_dir)).select("file", "length", "is_valid", "reason")
+    return audit_files(spark, sf_dir).select("file", "length", "is_valid", "reason")
 
 
 def upload_audit(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from hazlake.functions.numbers import round_even
-from hazlake.operators import metrics, splits, tfidf
+from hazlake.operators import metrics, severity, splits, tfidf
 from hazlake.operators.normalize import normalize
 from hazlake.operators.quality import deduplicate
 from hazlake.operators.similar import find_similar, incident_records
@@ -81,10 +81,37 @@ def split_leakage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked.agg(F.count("*").alias("leaked_texts"))
 
 
+QUICK = {
+    "Multinomial Naive Bayes": severity.CANDIDATES["Multinomial Naive Bayes"],
+    "Logistic Regression (Balanced)": severity.CANDIDATES["Logistic Regression (Balanced)"],
+}
+
+
+def severity_model_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cross-validated comparison of the two quick learners, with the winner marked."""
+    dev = severity.with_model_text(_unique(spark, sf_dir))
+    table = metrics.cross_validation_table(severity.compare_models(dev, QUICK, folds=3, max_iter=10))
+    best = metrics.best_model(table).scalar()
+    return table.withColumn("is_best", F.col("model") == best)
+
+
+def severity_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Level and class probabilities of every report from a model fitted on the training split."""
+    rows = severity.with_model_text(splits.stratified_split(_unique(spark, sf_dir)))
+    model = severity.fit_severity(
+        rows.filter("split <> 'test'"), severity.CANDIDATES["Logistic Regression (Balanced)"], max_iter=10
+    )
+    judged = model.predict(rows.select("row_index", "severity_level", "split", "model_text"))
+    return judged.select(
+        "row_index", "split", "severity_level", "raw_level", "raw_confidence",
+        *[F.col("class_probabilities")[v].alias(f"p_{v.lower()}") for v in model.labels],
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         tfidf_weights, similar_incidents, confusion_matrix, confusion_wide, per_class_metrics, per_class_report,
-        overall_metrics, stratified_split, stratified_folds, split_leakage,
+        overall_metrics, stratified_split, stratified_folds, split_leakage, severity_model_cv, severity_predictions,
     )
 }

@@ -11,7 +11,7 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from hazlake.sources.audit import WRAPPERS, audit_files, file_name, list_files
+from hazlake.sources.audit import WRAPPERS, audit_files, file_name
 
 # Cell texts read as missing
 MISSING = (
@@ -69,37 +69,26 @@ def number_rows(df: DataFrame) -> DataFrame:
 
 
 def latin1_files(spark: SparkSession, paths: list[str]) -> set[str]:
-    """Files that are not valid UTF-8. Contents are checked where they are read; names come back."""
-    if not paths:
-        return set()
-    files = spark.read.format("binaryFile").load(paths)
-    bad = files.filter(~F.is_valid_utf8(F.col("content").cast("string")))
-    return {r[0] for r in bad.select("path").collect()}
-
-
-def _csv(spark: SparkSession, path: str, encoding: str) -> DataFrame:
-    frame = (
-        spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("encoding", encoding)
-        .csv(path)
-    )
-    named = {c: "Unnamed: 0" for c in frame.columns if c == "_c0"}
-    return frame.withColumn("source_dataset", file_name(F.col("_metadata.file_path"))), named
+    """Names of files with a line that is not valid UTF-8. Lines are checked where they are read."""
+    lines = spark.read.text(paths)
+    bad = lines.filter(~F.is_valid_utf8("value")).select(file_name(F.col("_metadata.file_path")).alias("file"))
+    return {r[0] for r in bad.distinct().collect()}
 
 
-def read_csv(spark: SparkSession, paths: list[str]) -> DataFrame:
+def read_csv(spark: SparkSession, paths: list[str], multi_line: bool = True) -> DataFrame:
     """CSV files with a header; each in UTF-8, or in Latin-1 if it is not valid UTF-8.
 
     Headers may differ between files, so each is read under its own and they are stacked by name.
+    Quoted line breaks need ``multi_line``; large files without them are split if it is off.
     """
-    odd = latin1_files(spark, paths)
+    latin = latin1_files(spark, paths)
     frames = []
     for path in paths:
-        is_latin = any(p.endswith(path.split(":")[-1]) for p in odd)
-        frame, named = _csv(spark, path, "ISO-8859-1" if is_latin else "UTF-8")
-        frame = number_rows(frame)
-        for old, new in named.items():
-            frame = frame.withColumnRenamed(old, new)
-        frames.append(blank_missing(frame))
+        reader = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
+        name = path.rsplit("/", 1)[-1]
+        frame = reader.option("encoding", "ISO-8859-1" if name in latin else "UTF-8").csv(path)
+        numbered = number_rows(frame.withColumn("source_dataset", file_name(F.col("_metadata.file_path"))))
+        frames.append(blank_missing(numbered.withColumnRenamed("_c0", "Unnamed: 0")))
     return stack(frames)
 
 
@@ -200,7 +189,7 @@ READERS = {".csv": read_csv, ".parquet": read_parquet, ".json": read_json, ".xls
 
 def read_folder(spark: SparkSession, folder: str) -> DataFrame:
     """All report tables of a folder, stacked with their origin. Only file names reach the driver."""
-    audit = audit_files(list_files(spark, folder)).filter("is_valid")
+    audit = audit_files(spark, folder).filter("is_valid")
     paths = sorted(r[0] for r in audit.select("path").collect())
     frames = []
     for ext, reader in READERS.items():
