@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import lru_cache
 
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct
 from pyspark.ml.linalg import Vectors
@@ -51,6 +52,12 @@ class Vocabulary:
     documents: int
 
 
+@lru_cache(maxsize=16)
+def _counter(application: str, terms: tuple[str, ...], column: str) -> CountVectorizerModel:
+    """Term counter for a vocabulary; handing thousands of terms to the JVM takes seconds, so once."""
+    return CountVectorizerModel.from_vocabulary(list(terms), column, "_counts")
+
+
 def fit_vocabulary(docs: DataFrame, terms: str = "terms", max_features: int = 20_000) -> Vocabulary:
     """The most frequent terms of the corpus, ties by name, and in how many documents each is."""
     if max_features > MAX_VOCABULARY:
@@ -79,7 +86,8 @@ def fit_vocabulary(docs: DataFrame, terms: str = "terms", max_features: int = 20
 
 def vectorize(docs: DataFrame, vocabulary: Vocabulary, terms: str = "terms", sublinear: bool = True) -> DataFrame:
     """Add ``vector``: array of ``(i, w)`` scaled to length one; unknown terms are dropped."""
-    counter = CountVectorizerModel.from_vocabulary(list(vocabulary.terms), terms, "_counts")
+    application = docs.sparkSession.sparkContext.applicationId
+    counter = _counter(application, vocabulary.terms, terms)
     scaler = ElementwiseProduct(
         scalingVec=Vectors.dense(vocabulary.idf), inputCol="_counts", outputCol="_scaled"
     )

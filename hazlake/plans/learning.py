@@ -11,7 +11,7 @@ from hazlake.operators.quality import deduplicate
 from hazlake.operators.similar import find_similar, incident_records
 from hazlake.functions.text import clean
 from hazlake.plans.derived import derived, table
-from hazlake.session import spread
+from hazlake.session import cut, spread
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,24 +82,24 @@ def split_leakage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUICK = {
-    "Multinomial Naive Bayes": severity.CANDIDATES["Multinomial Naive Bayes"],
-    "Logistic Regression (Balanced)": severity.CANDIDATES["Logistic Regression (Balanced)"],
+    "Multinomial Naive Bayes": severity.Candidate("bayes", balanced=False, sublinear=False, max_features=2000),
+    "Logistic Regression (Balanced)": severity.Candidate("logistic", max_features=2000),
 }
 
 
 def severity_model_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cross-validated comparison of the two quick learners, with the winner marked."""
     dev = severity.with_model_text(_unique(spark, sf_dir))
-    table = metrics.cross_validation_table(severity.compare_models(dev, QUICK, folds=3, max_iter=10))
+    table = metrics.cross_validation_table(severity.compare_models(dev, QUICK, folds=2, max_iter=5))
     best = metrics.best_model(table).scalar()
     return table.withColumn("is_best", F.col("model") == best)
 
 
 def severity_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Level and class probabilities of every report from a model fitted on the training split."""
-    rows = severity.with_model_text(splits.stratified_split(_unique(spark, sf_dir)))
+    rows = cut(severity.with_model_text(splits.stratified_split(_unique(spark, sf_dir))))
     model = severity.fit_severity(
-        rows.filter("split <> 'test'"), severity.CANDIDATES["Logistic Regression (Balanced)"], max_iter=10
+        rows.filter("split <> 'test'"), QUICK["Logistic Regression (Balanced)"], max_iter=10
     )
     judged = model.predict(rows.select("row_index", "severity_level", "split", "model_text"))
     return judged.select(

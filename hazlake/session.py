@@ -48,3 +48,15 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     if df.rdd.getNumPartitions() >= cores:
         return df
     return df.repartition(cores, *keys)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows read back from shared storage, without the plan that made them.
+
+    For tables that many jobs start from: neither the work nor its planning is repeated, and the
+    rows outlive the executors that computed them.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_dir(df.sparkSession))
+    return df.checkpoint(eager=True)
