@@ -108,10 +108,31 @@ def alert_state(events: DataFrame, order: tuple[str, ...] = ("ts", "event_id"))
         F.max_by("notes", when(F.col("notes").isNotNull())).alias("reviewer_notes"),
         F.max_by(tag, when(done)).alias("resolved_by"),
         F.coalesce(F.max_by(tag, when(acked)), F.min_by(tag, when(done))).alias("acknowledged_by"),
-        F.count("*").alias("events"),
     )
 
 
+def _deciding(events: DataFrame, key: str, choices: list[Column]) -> DataFrame:
+    """The chosen events of each id, without repeats; each choice is a struct or null."""
+    picked = F.array_distinct(F.array_compact(F.array(*[F.col(f"_c{i}") for i in range(len(choices))])))
+    folded = events.groupBy(key).agg(*[c.alias(f"_c{i}") for i, c in enumerate(choices)])
+    return folded.select(key, F.inline(picked))
+
+
+def compact_alert_events(events: DataFrame, order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:
+    """At most five events per alert that give the same state as all of them."""
+    moves = valid_status(events, "status", ALERT_STATUSES)
+    at, row = F.struct(*order), F.struct(*[c for c in moves.columns if c != "alert_id"])
+    done = F.when(F.col("status") == "RESOLVED", at)
+    choices = [
+        F.max_by(row, at),
+        F.max_by(row, F.when(F.col("notes").isNotNull(), at)),
+        F.max_by(row, F.when(F.col("status") == "ACKNOWLEDGED", at)),
+        F.min_by(row, done),
+        F.max_by(row, done),
+    ]
+    return _deciding(moves, "alert_id", choices)
+
+
 def alert_counters(state: DataFrame, status: str | None = None) -> DataFrame:
     current = F.upper(strip(F.col("alert_status")))
     matching = F.lit(True) if status is None else current == status.strip().upper()
@@ -314,14 +335,46 @@ def attach_tracking(analysed: DataFrame, tracked: DataFrame, report_id: str = "r
     return plain.join(records, [report_id, "position"], "left")
 
 
+def _since_reopened(events: DataFrame, opened: DataFrame, key: str) -> DataFrame:
+    """Add ``_counts``: the event at ``_at`` came after the last OPEN of its id, if there was one.
+
+    ``opened`` has one small row per id. It meets the events with the events of each id dealt over
+    several tasks, so that a busy id is not one task's work.
+    """
+    salt = F.lit(SALTS)
+    dealt = events.withColumn("_part", F.pmod(F.xxhash64("_at"), salt).cast("int"))
+    copies = opened.filter("_opened IS NOT NULL").withColumn("_part", F.explode(F.sequence(F.lit(0), salt - 1)))
+    joined = dealt.join(copies, [key, "_part"], "left")
+    return joined.withColumn("_counts", F.expr("_opened IS NULL OR _at > _opened")).drop("_part", "_opened")
+
+
+def compact_action_events(
+    events: DataFrame, key: str = "action_id", status: str = "status", order: tuple[str, ...] = ("ts", "event_id")
+) -> DataFrame:
+    """At most seven events per action that give the same state as all of them."""
+    moves = valid_status(events, status, ACTION_STATUSES)
+    here, kept = F.col(status), [c for c in moves.columns if c != key]
+    timed = moves.withColumn("_at", F.struct(*order))
+    opened = timed.groupBy(key).agg(F.max(F.when(here == "OPEN", F.col("_at"))).alias("_opened"))
+    flagged = _since_reopened(timed, opened, key)
+    at, row = F.col("_at"), F.struct(*kept)
+    reached = F.col("_counts") & here.isin("COMPLETED", "VERIFIED")
+    choices = [F.max_by(row, at), F.max_by(row, F.when(here == "OPEN", at)), F.min_by(row, F.when(reached, at))]
+    choices += [F.max_by(row, F.when(reached & (here == "VERIFIED"), at))]
+    choices += [
+        F.max_by(row, F.when(F.nullif(F.col(c), F.lit("")).isNotNull(), at))
+        for c in ("notes", "officer_name", "officer_id")
+    ]
+    return _deciding(flagged, key, choices)
+
+
 def action_state(
     events: DataFrame, key: str = "action_id", status: str = "status", order: tuple[str, ...] = ("ts", "event_id")
 ) -> DataFrame:
     """Current state per action.
 
-    Reopening clears the milestones, so they depend on what came after the last OPEN. That moment
-    is one small row per action; it meets the events again with each action's events dealt over
-    several tasks, and the second fold merges before its shuffle like the first.
+    Reopening clears the milestones, so they depend on what came after the last OPEN, which a
+    first fold finds; the second merges before its shuffle like the first.
     """
     moves = valid_status(events, status, ACTION_STATUSES)
     at = F.struct(*order)
@@ -341,13 +394,8 @@ def action_state(
         last("officer_name"),
         last("officer_id"),
     )
-    opened = first_pass.filter("_opened IS NOT NULL").select(key, "_opened")
-    salt = F.lit(SALTS)
-    dealt = moves.filter(here.isin("COMPLETED", "VERIFIED")).select(
-        key, at.alias("_at"), here.alias("_status"), F.pmod(F.xxhash64(*order), salt).cast("int").alias("_part")
-    )
-    copies = opened.withColumn("_part", F.explode(F.sequence(F.lit(0), salt - 1)))
-    after = dealt.join(copies, [key, "_part"], "left").filter("_opened IS NULL OR _at > _opened")
+    reached = moves.filter(here.isin("COMPLETED", "VERIFIED")).select(key, at.alias("_at"), here.alias("_status"))
+    after = _since_reopened(reached, first_pass.select(key, "_opened"), key).filter("_counts")
     milestones = after.groupBy(key).agg(
         F.min(F.col("_at")[order[0]]).alias("completed_at"),
         F.max(F.when(F.col("_status") == "VERIFIED", F.col("_at")[order[0]])).alias("verified_at"),

@@ -35,10 +35,21 @@ def stream_alert_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = _run_folder(spark)
     events = gov.role_gate(_stream(spark, sf_dir, "events", "governance_events")).filter("accepted")
     live.fold_stream(
-        events.drop("accepted", "rejection"), f"{folder}/log", f"{folder}/state", gov.alert_state, "alert_id",
-        f"{folder}/checkpoint",
+        events.drop("accepted", "rejection"), f"{folder}/kept", gov.compact_alert_events, "alert_id", f"{folder}/checkpoint"
     ).awaitTermination()
-    return live.read_state(spark, f"{folder}/state", "alert_id")
+    return live.read_state(spark, f"{folder}/kept", "alert_id", gov.alert_state)
+
+
+def stream_action_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = _run_folder(spark)
+    events = gov.role_gate(_stream(spark, sf_dir, "events", "governance_events")).filter("accepted").select(
+        "event_id", "ts", F.col("alert_id").alias("action_id"), F.col("action_status").alias("status"),
+        "officer_name", "officer_id", "notes",
+    )
+    live.fold_stream(
+        events, f"{folder}/kept", gov.compact_action_events, "action_id", f"{folder}/checkpoint"
+    ).awaitTermination()
+    return live.read_state(spark, f"{folder}/kept", "action_id", gov.action_state)
 
 
 def stream_monthly_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,4 +63,4 @@ def stream_monthly_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.table(name)
 
 
-QUERIES = {f.__name__: f for f in (stream_alerts, stream_alert_state, stream_monthly_trend)}
+QUERIES = {f.__name__: f for f in (stream_alerts, stream_alert_state, stream_action_state, stream_monthly_trend)}

@@ -43,21 +43,21 @@ def write_appended(stream: DataFrame, path: str, checkpoint: str) -> StreamingQu
 
 
 def fold_stream(
-    events: DataFrame, log: str, snapshot: str, fold: Callable[[DataFrame], DataFrame], key: str, checkpoint: str
+    events: DataFrame, store: str, compact: Callable[[DataFrame], DataFrame], key: str, checkpoint: str
 ) -> StreamingQuery:
-    """Keep the current state of every id next to the event log.
+    """Keep, for every id, the few events that decide its state.
 
-    Each batch is written to the log under its own number, so a repeated batch replaces itself.
-    Only ids the batch touches are folded again, from the log; their rows form the next snapshot
-    part. Readers take the newest part per id with ``read_state``.
+    A batch is merged with what is kept of the ids it touches, never with the whole history, and
+    written under its own number, so a repeated batch replaces itself.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{log}/batch={number}")
-        touched = spark.read.parquet(f"{log}/batch={number}").select(key).distinct()
-        history = spark.read.option("basePath", log).parquet(log).filter(F.col("batch") <= number).drop("batch")
-        fold(history.join(touched, key, "left_semi")).write.mode("overwrite").parquet(f"{snapshot}/batch={number}")
+        merged = batch
+        if number > 0:
+            earlier = _newest(spark, store, key, number)
+            merged = batch.unionByName(earlier.join(batch.select(key).distinct(), key, "left_semi"))
+        compact(merged).write.mode("overwrite").parquet(f"{store}/batch={number}")
 
     return (
         events.writeStream.foreachBatch(merge)
@@ -67,11 +67,17 @@ def fold_stream(
     )
 
 
-def read_state(spark: SparkSession, snapshot: str, key: str) -> DataFrame:
-    """Newest state of every id."""
-    parts = spark.read.option("basePath", snapshot).parquet(snapshot)
-    kept = F.struct(*[c for c in parts.columns if c not in (key, "batch")])
-    return parts.groupBy(key).agg(F.max_by(kept, "batch").alias("s")).select(key, "s.*")
+def _newest(spark: SparkSession, store: str, key: str, before: int | None = None) -> DataFrame:
+    parts = spark.read.option("basePath", store).parquet(store)
+    if before is not None:
+        parts = parts.filter(F.col("batch") < before)
+    last = parts.groupBy(key).agg(F.max("batch").alias("batch"))
+    return parts.join(last, [key, "batch"], "left_semi").drop("batch")
+
+
+def read_state(spark: SparkSession, store: str, key: str, fold: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Current state of every id from the events kept."""
+    return fold(_newest(spark, store, key))
 
 
 def trend_stream(reports: DataFrame) -> DataFrame:

@@ -36,8 +36,7 @@ mv AS (SELECT *, upper({strip('status')}) AS st, {TAG} AS tag, row_number() OVER
   WHERE upper({strip('status')}) IN ('NEW', 'ACKNOWLEDGED', 'RESOLVED')),
 state AS (SELECT alert_id, arg_max(st, rn) AS alert_status, max(ts) AS updated_at, arg_max(notes, rn) FILTER (WHERE notes IS NOT NULL) AS reviewer_notes,
   arg_max(tag, rn) FILTER (WHERE st = 'RESOLVED') AS resolved_by,
-  coalesce(arg_max(tag, rn) FILTER (WHERE st = 'ACKNOWLEDGED'), arg_min(tag, rn) FILTER (WHERE st = 'RESOLVED')) AS acknowledged_by,
-  count(*) AS events FROM mv GROUP BY alert_id)"""
+  coalesce(arg_max(tag, rn) FILTER (WHERE st = 'ACKNOWLEDGED'), arg_min(tag, rn) FILTER (WHERE st = 'RESOLVED')) AS acknowledged_by FROM mv GROUP BY alert_id)"""
 CREATED = f"{ALLOWED}, created AS (SELECT DISTINCT alert_id FROM ok WHERE upper(trim(status)) = 'NEW')"
 
 RAW_STATUS = f"upper({strip('review_status')})"
