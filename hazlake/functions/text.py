@@ -32,6 +32,17 @@ def strip(c: Column) -> Column:
     return F.trim(c, F.lit(BLANKS))
 
 
+def filled(c: Column) -> Column:
+    """Some character other than a blank; looks no further than the first."""
+    return F.coalesce(c.rlike(r"(?U)[^\s\x1c-\x1f]"), F.lit(False))
+
+
+def at_least(c: Column, size: int) -> Column:
+    """Whether the stripped text has at least ``size`` (two or more) characters, without stripping it."""
+    ink = r"[^\s\x1c-\x1f]"
+    return F.coalesce(c.rlike(rf"(?Us){ink}.{{{size - 2},}}?{ink}"), F.lit(False))
+
+
 def is_ascii(c: Column) -> Column:
     return ~c.rlike(r"[^\x00-\x7F]")
 

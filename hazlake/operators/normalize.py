@@ -16,7 +16,7 @@ from hazlake.functions.lookups import (
     WORKER,
 )
 from hazlake.functions.mapping import lookup
-from hazlake.functions.text import clean, strip, title_case
+from hazlake.functions.text import at_least, clean, filled, strip, title_case
 
 MIN_TEXT = 5
 
@@ -31,7 +31,7 @@ def first_value(df: DataFrame, names: Sequence[str], blank_is_missing: bool) ->
     if not present:
         return F.lit(None).cast("string")
     if blank_is_missing:
-        present = [F.when(strip(c) != "", c) for c in present]
+        present = [F.when(filled(c), c) for c in present]
     return F.coalesce(*present)
 
 
@@ -78,16 +78,12 @@ def classify_rows(df: DataFrame, out: str = "row_status") -> DataFrame:
     The last description name is only used once a row has passed on one of the others.
     """
     names = CANDIDATES["description"]
-    has_text = [
-        F.coalesce(F.length(strip(as_text(df, n))) >= MIN_TEXT, F.lit(False))
-        for n in names[:-1]
-        if n in df.columns
-    ]
+    has_text = [at_least(as_text(df, n), MIN_TEXT) for n in names[:-1] if n in df.columns]
     passed = has_text[0] if has_text else F.lit(False)
     for test in has_text[1:]:
         passed = passed | test
     chosen = first_value(df, names, blank_is_missing=True)
-    long_enough = F.coalesce(F.length(strip(chosen)) >= MIN_TEXT, F.lit(False))
+    long_enough = at_least(chosen, MIN_TEXT)
     return df.withColumn(
         out, F.when(~passed, "missing").when(~long_enough, "invalid").otherwise("valid")
     )

@@ -122,48 +122,45 @@ def monthly_trend(
     )
 
 
-def _unpivot(one_row: DataFrame, dimension: str, names: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    rows = F.array(
-        *[F.struct(F.lit(dimension).alias("dimension"), F.lit(n).alias("key"), F.col(c).alias("n")) for n, c in zip(names, columns)]
-    )
-    return one_row.select(F.inline(rows))
-
+def global_distributions(
+    scored: DataFrame, reports: DataFrame | None = None, taxonomy: Sequence[Precursor] = TAXONOMY
+) -> DataFrame:
+    """Long form ``(dimension, key, n)``. Fixed dimensions show zeros; sectors are those present.
 
-def global_distributions(scored: DataFrame, taxonomy: Sequence[Precursor] = TAXONOMY) -> DataFrame:
-    """Long form ``(dimension, key, n)``. Fixed dimensions show zeros; sectors are those present."""
+    Reports are counted once, by sector; the few rows of that table give all dimensions.
+    ``reports`` are the rows before scoring, so that counting texts does not score them again.
+    """
     level = F.upper(F.trim("severity_level"))
     known = F.when(level.isin(*LEVELS), level).otherwise("I")
-    totals = scored.agg(
+    by_sector = scored.groupBy(_group_key("industry_sector", "General Industrial").alias("sector")).agg(
         F.count("*").alias("total"),
         *[F.count_if(known == lvl).alias(f"s{i}") for i, lvl in enumerate(LEVELS)],
         *[F.count_if(F.col("tier") == t).alias(f"t{i}") for i, t in enumerate(TIERS)],
         *[F.count_if(F.array_contains("factors", e.factor)).alias(f"p{i}") for i, e in enumerate(taxonomy)],
     )
-    names = (
-        [("reports", "total", "total")]
-        + [("severity", lvl, f"s{i}") for i, lvl in enumerate(LEVELS)]
-        + [("tier", t, f"t{i}") for i, t in enumerate(TIERS)]
-        + [("precursor", e.label, f"p{i}") for i, e in enumerate(taxonomy)]
+    cells = (
+        [("reports", F.lit("total"), "total"), ("sector", F.col("sector"), "total")]
+        + [("severity", F.lit(lvl), f"s{i}") for i, lvl in enumerate(LEVELS)]
+        + [("tier", F.lit(t), f"t{i}") for i, t in enumerate(TIERS)]
+        + [("precursor", F.lit(e.label), f"p{i}") for i, e in enumerate(taxonomy)]
     )
-    fixed = totals.select(
-        F.inline(
-            F.array(
-                *[F.struct(F.lit(d).alias("dimension"), F.lit(k).alias("key"), F.col(c).alias("n")) for d, k, c in names]
-            )
-        )
-    )
-    sectors = scored.groupBy(_group_key("industry_sector", "General Industrial").alias("key")).agg(
-        F.count("*").alias("n")
+    rows = F.array(
+        *[F.struct(F.lit(d).alias("dimension"), k.alias("key"), F.col(c).alias("n")) for d, k, c in cells]
     )
+    counted = by_sector.select(F.inline(rows)).groupBy("dimension", "key").agg(F.sum("n").alias("n"))
     # a digest stands for the text, so that the distinct count does not shuffle whole texts
-    texts = scored.agg(F.count_distinct(F.unhex(F.sha2("cleaned_text", 256))).alias("n"))
-    return fixed.unionByName(sectors.withColumn("dimension", F.lit("sector"))).unionByName(
+    source = scored if reports is None else reports
+    texts = source.agg(F.count_distinct(F.unhex(F.sha2("cleaned_text", 256))).alias("n"))
+    return counted.unionByName(
         texts.select(F.lit("reports").alias("dimension"), F.lit("distinct_texts").alias("key"), "n")
     )
 
 
 def with_shares(rolled: DataFrame, count_col: str = "total_reports") -> DataFrame:
-    """Share of the corpus and ratio to the largest group, in whole percent."""
+    """Share of the corpus and ratio to the largest group, in whole percent.
+
+    ``rolled`` is read three times; pass a table that is written already.
+    """
     total = rolled.agg(F.sum(count_col)).scalar()
     largest = rolled.agg(F.max(count_col)).scalar()
     count = F.col(count_col)

@@ -64,7 +64,7 @@ def fit_vocabulary(docs: DataFrame, terms: str = "terms", max_features: int = 20
         raise ValueError(f"at most {MAX_VOCABULARY} terms fit into every task")
     # sorting a document's terms shows where each first occurs, so one pass counts both the
     # occurrences and the documents of a term
-    ordered = once(docs, _sorted=F.array_sort(terms))
+    ordered = once(docs, _sorted=F.sort_array(terms))
     marked = F.transform(
         "_sorted",
         lambda t, i: F.struct(

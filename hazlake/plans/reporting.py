@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from hazlake.operators import rollup
+from hazlake.operators.normalize import normalize
 from hazlake.plans.analysis import scored_history
 from hazlake.plans.derived import derived
+from hazlake.session import cut
 
 
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,7 +36,7 @@ def monthly_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trend_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
-    trend = rollup.with_high_share(rollup.monthly_trend(history(spark, sf_dir)))
+    trend = rollup.with_high_share(cut(rollup.monthly_trend(history(spark, sf_dir))))
     return rollup.with_shares(trend).select(
         "period", "total_reports", "high_risk_count", "high_risk_percent", "bar_percent"
     )
@@ -48,12 +50,13 @@ def top_precursors_by_location(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dashboard_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rolled = rollup.location_rollup(history(spark, sf_dir))
+    rolled = cut(rollup.location_rollup(history(spark, sf_dir)).select("location", "total_reports"))
     return rollup.with_shares(rolled).select("location", "total_reports", "corpus_percent", "bar_percent")
 
 
 def global_distributions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rollup.global_distributions(history(spark, sf_dir)).select("dimension", "key", "n")
+    raw = derived(spark, sf_dir, "raw_reports")
+    return rollup.global_distributions(scored_history(raw), normalize(raw)).select("dimension", "key", "n")
 
 
 QUERIES = {
