@@ -28,17 +28,15 @@ def char_terms(text: Column, low: int = 3, high: int = 5) -> Column:
     words = F.filter(F.split(F.lower(text), r"(?U)\s+"), lambda w: w != "")
     padded = F.transform(words, lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
 
+    def pieces(w: Column, n: int) -> Column:
+        last = F.length(w) - n + 1
+        starts = F.sequence(F.lit(1), F.greatest(last, F.lit(1)))
+        # a word shorter than the smallest size gives itself once
+        short = F.array(w) if n == low else F.array().cast("array<string>")
+        return F.when(last >= 1, F.transform(starts, lambda i: F.substring(w, i, F.lit(n)))).otherwise(short)
+
     def grams(w: Column) -> Column:
-        none = F.array().cast("array<string>")
-        sizes = []
-        for n in range(low, high + 1):
-            count = F.length(w) - n + 1
-            several = F.transform(
-                F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i, n=n: F.substring(w, i, F.lit(n))
-            )
-            # a word shorter than the smallest size gives itself once
-            sizes.append(F.when(count >= 1, several).otherwise(F.array(w) if n == low else none))
-        return F.concat(*sizes)
+        return F.concat(*[pieces(w, n) for n in range(low, high + 1)])
 
     return F.flatten(F.transform(padded, grams))
 
