@@ -18,7 +18,7 @@ MISSING = (
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA",
     "NULL", "NaN", "None", "n/a", "nan", "null",
 )
-OFFSET_ROWS = 5_000_000  # split offsets one task may hold
+OFFSET_ROWS = 500_000  # split offsets one task may hold
 
 
 def blank_missing(df: DataFrame) -> DataFrame:
