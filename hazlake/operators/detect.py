@@ -16,8 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hazlake.functions.mapping import constant, once
-from hazlake.functions.numbers import round_even
-from hazlake.functions.text import alternation, sentences, shadow, strip
+from hazlake.functions.text import alternation, sentences, shadow
 from hazlake.functions.taxonomy import (
     ACTIVE_DAMAGE,
     HEADER_FACTOR,
@@ -110,8 +109,7 @@ def _context(s: Column) -> Column:
         s.alias("text"),
         _mark(s).alias("marked"),
         (s.rlike(MITIGATED) & ~s.rlike(ACTIVE_DAMAGE)).alias("safe"),
-        # the target may follow the prefix at once, so its trailing blanks are required here too
-        s.rlike(NEGATION_PREFIXES[0]).alias("negated_near"),
+            s.rlike(NEGATION_PREFIXES[0]).alias("negated_near"),
         s.rlike(NEGATION_PREFIXES[1]).alias("negated_far"),
         s.rlike(NEGATION_SUFFIX).alias("negated_after"),
     )
@@ -240,7 +238,7 @@ def detect_precursors(
     work = work.withColumn("_header_only", _header_only(F.col("_low"), taxonomy)).withColumn(
         "_context",
         F.filter(
-            F.transform(F.filter(sentences_of("_low"), lambda s: s.rlike(start) & s.rlike(gate)), _context),
+            F.transform(F.filter(sentences(F.col("_low")), lambda s: s.rlike(start) & s.rlike(gate)), _context),
             lambda ctx: ~ctx["safe"],
         ),
     )
@@ -264,16 +262,6 @@ def detect_precursors(
     ).select(*df.columns, "precursors")
 
 
-def sentences_of(low: str) -> Column:
-    """Sentences of an already lower-cased column."""
-    parts = F.transform(F.split(F.col(low), r"[.\n;!?]+"), strip)
-    return F.filter(parts, lambda s: F.length(s) > 3)
-
-
 def precursor_rows(df: DataFrame, *keys: str) -> DataFrame:
     """Long form: one row per report and precursor."""
     return df.select(*keys, F.explode("precursors").alias("p")).select(*keys, "p.*")
-
-
-def rounded_alignment(value: Column) -> Column:
-    return round_even(value, 3)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from hazlake.functions.lookups import LEVELS, SEVERITY_LABELS
-from hazlake.functions.taxonomy import COMPOUNDS, EMERGENCY_ACTION, TAXONOMY
+from hazlake.functions.taxonomy import EMERGENCY_ACTION, TAXONOMY
 from hazlake.operators.score import ROUTINE_ADVICE
 from hazlake.operators.screening import SCREEN_RULES
 from oracle.intake import FIT, TEXT

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from hazlake.functions import lookups as L
 from hazlake.functions.taxonomy import TAXONOMY
-from oracle.parts import HISTORY, q, round_even, values
+from oracle.parts import HISTORY, round_even, values
 
 KNOWN = "CASE WHEN upper(trim(severity_level)) IN ('I','II','III','IV','V') THEN upper(trim(severity_level)) ELSE 'I' END"
 

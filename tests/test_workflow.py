@@ -137,7 +137,7 @@ def test_char_terms(spark):
 
 
 def test_published_matrix_gives_published_metrics(spark):
-    # holdout matrix published for the reference model
+    # a published holdout matrix and its metrics
     grid = [[6, 0, 0, 1, 0], [1, 7, 4, 2, 0], [0, 5, 9, 2, 0], [0, 4, 4, 13, 0], [0, 0, 1, 3, 0]]
     levels = ["I", "II", "III", "IV", "V"]
     cells = [(levels[i], levels[j], n) for i, row in enumerate(grid) for j, n in enumerate(row)]
