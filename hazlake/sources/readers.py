@@ -68,25 +68,36 @@ def number_rows(df: DataFrame) -> DataFrame:
     )
 
 
-def latin1_files(spark: SparkSession, paths: list[str]) -> set[str]:
-    """Names of files with a line that is not valid UTF-8. Lines are checked where they are read."""
-    lines = spark.read.text(paths)
-    bad = lines.filter(~F.is_valid_utf8("value")).select(file_name(F.col("_metadata.file_path")).alias("file"))
-    return {r[0] for r in bad.distinct().collect()}
+def csv_groups(spark: SparkSession, paths: list[str]) -> list[tuple[str, list[str]]]:
+    """Files that can be read together, as (encoding, paths): same first line, same encoding.
+
+    A file is Latin-1 if one of its lines is not valid UTF-8. Lines are checked where they are
+    read; a name, a header and a flag per file come back.
+    """
+    lines = spark.read.text(paths).select(
+        "value",
+        F.col("_metadata.file_path").alias("path"),
+        F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("at"),
+    )
+    files = lines.groupBy("path").agg(
+        F.min_by(F.make_valid_utf8("value"), "at").alias("header"), F.bool_and(F.is_valid_utf8("value")).alias("utf8")
+    )
+    groups: dict[tuple, list[str]] = {}
+    for r in files.orderBy("path").collect():
+        groups.setdefault((r["header"], r["utf8"]), []).append(r["path"])
+    return [("UTF-8" if utf8 else "ISO-8859-1", members) for (_, utf8), members in groups.items()]
 
 
 def read_csv(spark: SparkSession, paths: list[str], multi_line: bool = True) -> DataFrame:
-    """CSV files with a header; each in UTF-8, or in Latin-1 if it is not valid UTF-8.
+    """CSV files with a header, in UTF-8 or else in Latin-1.
 
-    Headers may differ between files, so each is read under its own and they are stacked by name.
-    Quoted line breaks need ``multi_line``; large files without them are split if it is off.
+    Files of one header are read together; different headers are stacked by name. Quoted line
+    breaks need ``multi_line``; large files without them are split if it is off.
     """
-    latin = latin1_files(spark, paths)
     frames = []
-    for path in paths:
+    for encoding, members in csv_groups(spark, paths):
         reader = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
-        name = path.rsplit("/", 1)[-1]
-        frame = reader.option("encoding", "ISO-8859-1" if name in latin else "UTF-8").csv(path)
+        frame = reader.option("encoding", encoding).csv(members)
         numbered = number_rows(frame.withColumn("source_dataset", file_name(F.col("_metadata.file_path"))))
         frames.append(blank_missing(numbered.withColumnRenamed("_c0", "Unnamed: 0")))
     return stack(frames)

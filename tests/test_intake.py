@@ -109,6 +109,7 @@ def _xlsx(path, rows):
 def test_folder_of_files(spark, tmp_path):
     (tmp_path / "a.csv").write_text('Description,Local\n"line one\nline two, quoted",Here\n"second row",N/A\n', encoding="utf-8")
     (tmp_path / "b.csv").write_bytes("Description,Local\nCafé spill seen,Ünit\n".encode("latin-1"))
+    (tmp_path / "a2.csv").write_text("Description,Local\none more row,There\n")
     (tmp_path / "c.json").write_text(json.dumps({"reports": [{"Description": "from json"}, {"Description": "more json"}]}))
     (tmp_path / "d.json").write_text(json.dumps({"ALT-1": {"alert_status": "NEW"}}))
     (tmp_path / "e.json").write_text(json.dumps([{"other": 1}]))
@@ -119,11 +120,11 @@ def test_folder_of_files(spark, tmp_path):
     _xlsx(tmp_path / "i.xlsx", [["Description", "Local"], ["from a sheet", "Plant"]])
     spark.createDataFrame([("from parquet",)], "text string").coalesce(1).toPandas().to_parquet(tmp_path / "j.parquet")
     audit = {r["file"]: (r["is_valid"], r["reason"]) for r in audit_files(spark, str(tmp_path)).collect()}
-    assert sorted(f for f, v in audit.items() if v[0]) == ["a.csv", "b.csv", "c.json", "i.xlsx", "j.parquet"]
+    assert sorted(f for f, v in audit.items() if v[0]) == ["a.csv", "a2.csv", "b.csv", "c.json", "i.xlsx", "j.parquet"]
     assert audit["d.json"][1].startswith("Operational ID-keyed") and "lack safety" in audit["e.json"][1]
     assert "Failed to parse" in audit["f.json"][1] and "empty" in audit["g.json"][1] and "store file" in audit["alerts_store.json"][1]
     rows = {(r["source_dataset"], r["row_index"]): r for r in read_folder(spark, str(tmp_path)).collect()}
-    assert len(rows) == 7
+    assert len(rows) == 8 and rows["a2.csv", 0]["Local"] == "There"
     assert rows["a.csv", 0]["Description"] == "line one\nline two, quoted" and rows["a.csv", 1]["Local"] is None
     assert rows["b.csv", 0]["Description"] == "Café spill seen"
     assert rows["c.json", 1]["Description"] == "more json" and rows["i.xlsx", 0]["Local"] == "Plant"
