@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from hazlake.llm import quality
+from hazlake.llm import lines, quality
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -83,7 +83,23 @@ SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n
 FROM d LEFT JOIN kept USING (doc_id)"""
 
 
+LINES = rf"""
+WITH l AS (SELECT doc_id, i, string_split(coalesce(text, ''), chr(10))[i] AS line FROM documents,
+    unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS r(i)),
+m AS MATERIALIZED (SELECT *, list_transform(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), lambda w: CASE WHEN regexp_matches(w, '[0-9]') THEN '{lines.MASK}' ELSE w END) AS t FROM l),
+shape AS MATERIALIZED (SELECT len(t) AS size, t[1:{lines.DEPTH}] AS lead, t, count(DISTINCT doc_id) AS n FROM m WHERE len(t) > 0 GROUP BY ALL),
+tok AS (SELECT *, t[p] AS token FROM shape, unnest(range(1, size + 1)) AS r(p)),
+common AS (SELECT size, lead, p, token FROM tok GROUP BY ALL HAVING sum(n) >= {lines.MIN_DOCS} AND token != '{lines.MASK}'),
+tmpl AS (SELECT size, lead, t, any_value(n) AS n, list((p, token) ORDER BY p) AS fixed FROM tok JOIN common USING (size, lead, p, token) GROUP BY size, lead, t),
+drops AS (SELECT size, lead, t FROM (SELECT *, sum(n) OVER (PARTITION BY size, lead, fixed) AS docs FROM tmpl WHERE len(fixed) >= {lines.MIN_CONSTANT} * size) WHERE docs >= {lines.MIN_DOCS}),
+k AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS kept, count(*) FILTER (WHERE len(m.t) > 0) AS n FROM m ANTI JOIN drops ON m.t = drops.t GROUP BY doc_id),
+a AS (SELECT doc_id, count(*) FILTER (WHERE len(t) > 0) AS n_lines FROM m GROUP BY doc_id)
+SELECT documents.doc_id, n_lines, n_lines - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents JOIN a USING (doc_id) LEFT JOIN k USING (doc_id)"""
+
+
 ORACLES = {
+    "op4_line_dedup": LINES,
     "op5_substring_dedup": SUBSTRING,
     "op1_decontamination": _decontamination(),
     "op10_minhash": MINHASH,
