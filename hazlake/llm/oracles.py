@@ -98,7 +98,21 @@ SELECT documents.doc_id, n_lines, n_lines - coalesce(n, 0) AS n_removed, sha256(
 FROM documents JOIN a USING (doc_id) LEFT JOIN k USING (doc_id)"""
 
 
+CHAT = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+n AS (
+  SELECT *, length(role) + length(text) + 24 + length(regexp_replace(role || chr(10) || text, '[^\\]', '', 'g'))
+    + (SELECT sum(len(string_split(role || chr(10) || text, c)) - 1) FROM (VALUES ('<|'), ('[INST]'), ('[/INST]'), ('<s>'), ('</s>')) AS v(c)) AS chars FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256, sum(chars)::BIGINT AS formatted_chars
+FROM n GROUP BY conv_id"""
+
+
 ORACLES = {
+    "op8_chat_formatting": CHAT,
     "op4_line_dedup": LINES,
     "op5_substring_dedup": SUBSTRING,
     "op1_decontamination": _decontamination(),

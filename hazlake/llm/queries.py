@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hazlake.llm import decontaminate, lines, minhash, mixing, quality, substring
+from hazlake.llm import chat, decontaminate, lines, minhash, mixing, quality, secrets, substring
 from hazlake.llm.common import table
 
 
@@ -33,7 +33,17 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.report(table(spark, sf_dir, "documents"))
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(table(spark, sf_dir, "documents"))
+
+
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.report(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
+    "op3_secret_scan": op3_secret_scan,
+    "op8_chat_formatting": op8_chat_formatting,
     "op2_mixing": op2_mixing,
     "op4_line_dedup": op4_line_dedup,
     "op5_substring_dedup": op5_substring_dedup,
