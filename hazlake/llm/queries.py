@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hazlake.llm import chat, decontaminate, lines, minhash, mixing, quality, secrets, substring
-from hazlake.llm.common import table
+from hazlake.llm import chat, decontaminate, language, lines, minhash, mixing, quality, secrets, substring, warc
+from hazlake.llm.common import folder, table
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +41,19 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.report(table(spark, sf_dir, "conversations"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = folder(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), out)
+    return warc.read(spark, out).drop("payload")
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op7_warc": op7_warc,
+    "op9_language_id": op9_language_id,
     "op3_secret_scan": op3_secret_scan,
     "op8_chat_formatting": op8_chat_formatting,
     "op2_mixing": op2_mixing,
