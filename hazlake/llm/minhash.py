@@ -6,9 +6,10 @@ pairs, and every link is confirmed on the full shingle sets. With 3 rows in 30 b
 missed with probability 7e-8.
 
 Documents of one shingle set form a class, and only a class's smallest document goes on. A bucket never emits all its
-pairs: in each round its smallest members that have not been tried yet (1, then 8, 64, ...) are compared with the rest,
-and members already connected with them are skipped. Rounds end when every bucket lies within one component or all its
-members have been tried, so no link is left out and no bucket is cut short.
+pairs: in each round its first members (1, then 8, 64, ...) are compared with the rest and are then done with the bucket;
+members that are already connected with them are skipped. Between rounds, members that cannot be linked with anything
+left leave their buckets by an exact bound on the shingles they share with any other open text. Rounds end when every
+bucket's rest lies within one component, so no link between components is left out and no bucket is cut short.
 
 Defined cases: texts without words have an empty set and are linked with nothing; a text of one to four words has one
 shingle; rows without an id come behind all others (their component is null if none has an id); rows that repeat id and
@@ -143,13 +144,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     spots = stored(spots.join(shared, "bucket").select("bucket", node, "n"), "buckets")
     texts = with_key(docs).join(spots.select("node.did", "node.th").distinct(), ["did", "th"], "left_semi").dropDuplicates(["did", "th"])
     texts = stored(texts.select(node, "text"), "texts")
-    links, tried, width = None, 0, FIRST
-    unsettled = spots.withColumn("comp", F.col("node"))
+    links, width = None, FIRST
+    unsettled = spots.withColumns({"comp": F.col("node"), "m": F.col("n")})
     while True:
-        centres = _centres(unsettled, tried, width)
+        centres = _centres(unsettled, width)
         pairs = (
             unsettled.join(centres, "bucket").where("node > a AND comp != ac")
-            .where(100 * F.least("n", "an") >= SIMILARITY * F.greatest("n", "an"))
+            .where(7 * F.least("m", "am") >= 3 * (F.col("n") + F.col("an")))
             .select("a", F.col("node").alias("b")).distinct()
         )
         read = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("bt")), "b").join(
@@ -160,11 +161,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         new = stored(found.select(pair("a"), pair("b")), "links")
         links = new if links is None else links.unionByName(new)
         comps = components(links)
-        merged = spots.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        tried, width = tried + width, width * GROWTH
-        mixed = merged.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("size"))
-        mixed = mixed.where((F.col("x") != F.col("y")) & (F.col("size") > tried + 1)).select("bucket")
-        unsettled = stored(merged.join(mixed, "bucket"), "unsettled")
+        # a member that was a centre is done with its bucket; what is left matters where components still differ
+        rest = unsettled.drop("comp", "m").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        rest = _mixed(rest).join(centres.select("bucket", F.col("a").alias("node")), ["bucket", "node"], "left_anti")
+        unsettled = stored(_mixed(_possible(stored(rest, "unsettled"), texts)), "unsettled")
+        width *= GROWTH
         if unsettled.isEmpty():
             break
     label = classes.select("c1", "c2", "rep").join(comps.select(F.col("node").alias("rep"), "comp"), "rep", "left")
@@ -173,16 +174,42 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return named.select("did", "th", "n", *[F.when(F.col("n") > 0, F.col(c)).otherwise(F.struct("did", "th")).alias(c) for c in ("rep", "comp")])
 
 
-def _centres(spots: DataFrame, tried: int, width: int) -> DataFrame:
-    """The next ``width`` members of each bucket. Ranked within parts of a bucket first, so a large one is no one task's."""
-    if not tried and width == 1:
-        low = spots.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("low"))
-        return low.select("bucket", F.col("low.node").alias("a"), F.col("low.node").alias("ac"), F.col("low.n").alias("an"))
+def _centres(spots: DataFrame, width: int) -> DataFrame:
+    """The first ``width`` members of each bucket. Ranked within parts of a bucket first, so a large one is no one task's."""
+    if width == 1:
+        low = spots.groupBy("bucket").agg(F.min(F.struct("node", "n", "m", "comp")).alias("low"))
+        return low.select("bucket", F.col("low.node").alias("a"), F.col("low.comp").alias("ac"), F.col("low.n").alias("an"), F.col("low.m").alias("am"))
     part = spots.withColumn("part", F.pmod(F.xxhash64("node"), F.lit(1024)))
-    near = part.withColumn("rank", F.row_number().over(Window.partitionBy("bucket", "part").orderBy("node"))).where(F.col("rank") <= tried + width)
-    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy("node")))
-    chosen = ranked.where((F.col("rank") > tried) & (F.col("rank") <= tried + width))
-    return chosen.select("bucket", F.col("node").alias("a"), F.col("comp").alias("ac"), F.col("n").alias("an"))
+    near = part.withColumn("rank", F.row_number().over(Window.partitionBy("bucket", "part").orderBy("node"))).where(F.col("rank") <= width)
+    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy("node"))).where(F.col("rank") <= width)
+    return ranked.select("bucket", F.col("node").alias("a"), F.col("comp").alias("ac"), F.col("n").alias("an"), F.col("m").alias("am"))
+
+
+def _mixed(spots: DataFrame) -> DataFrame:
+    """The members of buckets that hold several components."""
+    several = spots.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("bucket")
+    return spots.join(several, "bucket", "left_semi")
+
+
+def _shingle_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        for did, th, text in zip(pdf["did"], pdf["th"], pdf["text"]):
+            yield pd.DataFrame({"did": did, "th": th, "s": shingle_set(text).astype(np.int64)})
+
+
+def _possible(spots: DataFrame, texts: DataFrame) -> DataFrame:
+    """Adds m, the shingles that a member shares with any other of these texts, and drops members that cannot be linked.
+
+    The intersection with a partner is at most m, and the partner has at least the bucket's smallest set, so a member
+    with 7 m < 3 (n + smallest) is below the similarity with all of them: 100 i >= 75 (n + k - i) means 7 i >= 3 (n + k).
+    """
+    open_texts = texts.join(spots.select("node").distinct(), "node", "left_semi").select("node.did", "node.th", "text")
+    alone = open_texts.mapInPandas(_shingle_rows, "did long, th long, s long").groupBy("s").agg(
+        F.count("*").alias("c"), F.min("did").alias("did"), F.min("th").alias("th")).where("c = 1")
+    alone = alone.groupBy(F.struct("did", "th").alias("node")).agg(F.count("*").alias("u"))
+    low = spots.groupBy("bucket").agg(F.min("n").alias("low"))
+    known = spots.join(alone, "node", "left").withColumn("m", F.col("n") - F.coalesce("u", F.lit(0))).drop("u")
+    return known.join(low, "bucket").where(7 * F.col("m") >= 3 * (F.col("n") + F.col("low"))).drop("low")
 
 
 def report(docs: DataFrame) -> DataFrame:
