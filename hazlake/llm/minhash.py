@@ -6,7 +6,7 @@ pairs, and every link is confirmed on the full shingle sets. With 3 rows in 30 b
 missed with probability 7e-8.
 
 Documents of one shingle set form a class, and only a class's smallest document goes on. A bucket never emits all its
-pairs: in each round its first members (1, then 8, 64, ...) are compared with the rest and are then done with the bucket;
+pairs: in each round its first members (1, then 32, 1024, ...) are compared with the rest and are then done with the bucket;
 members that are already connected with them are skipped. Between rounds, members that cannot be linked with anything
 left leave their buckets by an exact bound on the shingles they share with any other open text. Rounds end when every
 bucket's rest lies within one component, so no link between components is left out and no bucket is cut short.
@@ -29,7 +29,7 @@ from hazlake.llm.common import doc_id_of, stored, with_key
 SHINGLE, SIMILARITY = 5, 75
 BANDS, ROWS = 30, 3
 CIRCLE = 1 << 16
-FIRST, GROWTH = 1, 8
+FIRST, GROWTH = 1, 32
 _UPPER = bytes(range(65, 91))
 _LOWER = bytes(range(97, 123))
 _AZ = bytes.maketrans(_UPPER, _LOWER)
@@ -159,8 +159,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             _verify, "a_did long, a_th long, b_did long, b_th long")
         pair = lambda x: F.struct(F.col(f"{x}_did").alias("did"), F.col(f"{x}_th").alias("th")).alias(x)
         new = stored(found.select(pair("a"), pair("b")), "links")
-        links = new if links is None else links.unionByName(new)
-        comps = components(links)
+        if links is None or not new.isEmpty():
+            links = new if links is None else links.unionByName(new)
+            comps = components(links)
         # a member that was a centre is done with its bucket; what is left matters where components still differ
         rest = unsettled.drop("comp", "m").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         rest = _mixed(rest).join(centres.select("bucket", F.col("a").alias("node")), ["bucket", "node"], "left_anti")
