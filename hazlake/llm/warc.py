@@ -97,8 +97,7 @@ def _files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     def done() -> pd.DataFrame:
         content = b"".join(parts)
-        return pd.DataFrame({"file": [file], "records": [len(parts)], "bytes": [len(content) + len(EMPTY_MEMBER)],
-                             "sha256": [hashlib.sha256(content + EMPTY_MEMBER).hexdigest()], "content": [content]})
+        return pd.DataFrame({"file": [file], "content": [content]})
 
     for pdf in batches:
         for number, record in zip(pdf["file"], pdf["record"]):
@@ -114,8 +113,10 @@ def _files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def records(pages: DataFrame) -> DataFrame:
     """page, digest, record: the compressed record of each row."""
     base = pages.select(F.coalesce(F.col("page_id").cast("bigint"), F.lit(NO_ID)).alias("page"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    full = stored(base.mapInPandas(_responses, "page long, url string, digest string, length long, record binary"), "responses")
-    first = full.where(F.col("length") >= MIN_REVISIT).groupBy("digest").agg(F.min("page").alias("first"), F.max("page").alias("last")).where("first < last").select("digest", "first")
+    full = base.mapInPandas(_responses, "page long, url string, digest string, length long, record binary")
+    payload = F.coalesce("html", F.lit("")).cast("binary")
+    sized = base.select("page", F.sha2(payload, 256).alias("digest"), F.octet_length(payload).alias("length"))
+    first = sized.where(F.col("length") >= MIN_REVISIT).groupBy("digest").agg(F.min("page").alias("first"), F.max("page").alias("last")).where("first < last").select("digest", "first")
     return full.join(first, "digest", "left").select("page", "url", "digest", "length", "first", "record").mapInPandas(_revisits, "page long, digest string, record binary")
 
 
@@ -128,13 +129,19 @@ def write(pages: DataFrame, out: str, roll: int = ROLL) -> DataFrame:
     before = sizes.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("before"))  # a row for each partition
     placed = ranges.join(F.broadcast(before), "range").select(F.floor((F.col("own") + F.col("before")) / roll).cast("bigint").alias("file"), "page", "digest", "record")
     files = placed.repartition("file").sortWithinPartitions("file", "page", "digest").select("file", "record")
-    made = files.mapInPandas(_files, "file long, records long, bytes long, sha256 string, content binary")
+    made = files.mapInPandas(_files, "file long, content binary")
     temporary = f"{out}/_temporary-{uuid.uuid4().hex}"
-    made = stored(made, "archives")
     made.select("file", F.col("content").cast("string").alias("value")).write.partitionBy("file").option(
         "encoding", "ISO-8859-1").option("lineSep", EMPTY_MEMBER.decode("latin-1")).text(f"{temporary}/files")
+    size = placed.groupBy("file").agg(F.count("*").alias("records"), (F.sum(F.octet_length("record")) + len(EMPTY_MEMBER)).alias("bytes"))
+    written = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{temporary}/files")
+    written = written.select(F.regexp_extract("path", r"file=(\d+)", 1).cast("bigint").alias("file"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("found"))
+    checked = size.join(written, "file", "left")
+    broken = checked.where(F.col("found").isNull() | (F.col("found") != F.col("bytes")))
+    if not broken.isEmpty():
+        raise OSError("an archive is not as long as its records")
     name = F.format_string("archive-%08d.warc.gz", F.col("file"))
-    made.select(name.alias("file"), "records", "bytes", "sha256").coalesce(1).write.json(f"{temporary}/manifest")
+    checked.select(name.alias("file"), "records", "bytes", "sha256").write.json(f"{temporary}/manifest")
     _commit(spark, temporary, out)
     return manifest(spark, out)
 
