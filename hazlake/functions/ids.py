@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 
-def content_id(prefix: str, *keys: Column, size: int = 8) -> Column:
+def content_id(prefix: str, *keys: Column, size: int = 32) -> Column:
     joined = F.concat_ws("\x1f", *[F.coalesce(k.cast("string"), F.lit("")) for k in keys])
     return F.concat(F.lit(prefix), F.upper(F.substring(F.sha2(joined, 256), 1, size)))
 

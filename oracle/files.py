@@ -8,7 +8,7 @@ UNION ALL SELECT 'labels.parquet', count(*), 0, count(*) - 1, count(*) FROM labe
     "evidence_audit": """WITH d AS (SELECT *, doc_id % 6 AS k, printf('REP-%08d', doc_id) AS report_id, encode(text) AS body FROM documents),
 b AS (SELECT *, CASE WHEN k = 4 THEN unhex('FFD8FFE0') || body WHEN k = 3 THEN body ELSE unhex('89504E470D0A1A0A') || body END AS bytes FROM d),
 c AS (SELECT *, CASE WHEN k = 3 AND octet_length(bytes) > 0 AND (left(text, 2) = 'BM') THEN 'BMP' WHEN k = 3 OR k = 2 OR k = 0 THEN NULL WHEN k = 4 THEN 'JPEG' ELSE 'PNG' END AS fmt FROM b),
-i AS (SELECT *, CASE WHEN fmt IS NOT NULL THEN 'IMG-' || upper(left(sha256(report_id || chr(31) || sha256(bytes)), 10)) END AS image_id,
+i AS (SELECT *, CASE WHEN fmt IS NOT NULL THEN 'IMG-' || upper(left(sha256(report_id || chr(31) || sha256(bytes)), 32)) END AS image_id,
   CASE fmt WHEN 'JPEG' THEN 'jpg' WHEN 'PNG' THEN 'png' WHEN 'BMP' THEN 'bmp' END AS ext FROM c)
 SELECT report_id, fmt IS NOT NULL AS image_attached, image_id,
   CASE WHEN fmt IS NOT NULL THEN CASE WHEN doc_id % 2 = 0 THEN 'photo' || doc_id ELSE 'evidence.' || ext END END AS original_filename,

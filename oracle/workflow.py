@@ -15,7 +15,7 @@ ALLOWED = f"{EVENTS}, ok AS (SELECT * FROM ev WHERE {OFFICER})"
 
 def cid(prefix: str, *keys: str) -> str:
     joined = " || chr(31) || ".join(f"CAST({k} AS VARCHAR)" for k in keys)
-    return f"'{prefix}' || upper(left(sha256({joined}), 8))"
+    return f"'{prefix}' || upper(left(sha256({joined}), 32))"
 
 
 REPORT = f"({cid('REP-', 'row_number')})"
