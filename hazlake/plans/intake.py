@@ -109,15 +109,17 @@ def parquet_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def score_display(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Display percent, clamp and softmax over the embedding table."""
+    """Display percent and clamp of every component, and the softmax confidence of every whole vector."""
     base = spread(table(spark, sf_dir, "embeddings"), "vec_id")
-    first = F.col("embedding").cast("array<double>")
-    e = base.select("vec_id", F.element_at(first, 1).alias("x"), F.slice(first, 1, 3).alias("v"))
+    v = base.select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    scored = v.select("vec_id", "v", numbers.round_even(F.array_max(numbers.softmax(F.col("v"))), 3).alias("confidence"))
+    e = scored.select("vec_id", "confidence", F.posexplode("v").alias("component", "x"))
     return e.select(
         "vec_id",
+        "component",
         numbers.round_even(numbers.display_percent(F.col("x")), 3).alias("display"),
         numbers.clamp(F.col("x"), 0.0, 1.0).alias("clamped"),
-        numbers.round_even(F.array_max(numbers.softmax(F.col("v"))), 3).alias("confidence"),
+        "confidence",
     )
 
 

@@ -79,8 +79,10 @@ FROM reports""",
 UNION ALL SELECT 'benchmark', count(*), count(*), CAST(sum(length(text)) AS BIGINT) FROM benchmark""",
     "shared_texts": "SELECT sha256(text) AS digest FROM documents INTERSECT SELECT sha256(text) FROM conversations",
     "parquet_scan": "SELECT doc_id, n_chars FROM documents WHERE n_chars >= 1000",
-    "score_display": f"""WITH e AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z FROM embeddings),
-m AS (SELECT *, greatest(x, y, z) AS top, CASE WHEN x > 0 AND x <= 1 THEN x * 100 ELSE x END AS d FROM e),
-s AS (SELECT *, 1.0::DOUBLE / (exp(x - top) + exp(y - top) + exp(z - top)) AS c FROM m)
-SELECT vec_id, {round_even('d', 3)} AS display, least(1.0, greatest(0.0, x)) AS clamped, {round_even('c', 3)} AS confidence FROM s""",
+    "score_display": f"""WITH e AS (SELECT vec_id, list_transform(embedding, lambda a: CAST(a AS DOUBLE)) AS v FROM embeddings),
+m AS (SELECT *, list_max(v) AS top FROM e),
+s AS (SELECT *, 1.0::DOUBLE / list_sum(list_transform(v, lambda a: exp(a - top))) AS c FROM m),
+p AS (SELECT vec_id, CAST(i - 1 AS INTEGER) AS component, v[i] AS x, c FROM s, unnest(range(1, len(v) + 1)) AS r(i)),
+d AS (SELECT *, CASE WHEN x > 0 AND x <= 1 THEN x * 100 ELSE x END AS d FROM p)
+SELECT vec_id, component, {round_even('d', 3)} AS display, least(1.0, greatest(0.0, x)) AS clamped, {round_even('c', 3)} AS confidence FROM d""",
 }
