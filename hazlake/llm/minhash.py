@@ -6,10 +6,11 @@ pairs, and every link is confirmed on the full shingle sets. With 3 rows in 30 b
 missed with probability 7e-8.
 
 Documents of one shingle set form a class, and only a class's smallest document goes on. A bucket never emits all its
-pairs: in each round its first members (1, then 32, 1024, ...) are compared with the rest and are then done with the bucket;
-members that are already connected with them are skipped. Between rounds, members that cannot be linked with anything
-left leave their buckets by an exact bound on the shingles they share with any other open text. Rounds end when every
-bucket's rest lies within one component, so no link between components is left out and no bucket is cut short.
+pairs. First each member is compared with the bucket's smallest one. In a bucket whose other members then lie in several
+components, those that cannot be linked with anything left go by an exact bound on the shingles they share with any other
+open text. The rest meet in cells: the members outside the bucket's largest component with that component and with each
+other, in blocks of bounded shingle counts, each text once a cell and only links coming out. So no link between
+components is left out and no bucket is cut short.
 
 Defined cases: texts without words have an empty set and are linked with nothing; a text of one to four words has one
 shingle; rows without an id come behind all others (their component is null if none has an id); rows that repeat id and
@@ -22,14 +23,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, Window
+from pyspark.sql import Column, DataFrame, functions as F
 
 from hazlake.llm.common import doc_id_of, stored, with_key
 
 SHINGLE, SIMILARITY = 5, 75
 BANDS, ROWS = 30, 3
 CIRCLE = 1 << 16
-FIRST, GROWTH = 1, 32
+#: Shingles of a block; a cell holds two blocks, and its members are dealt by hash.
+BLOCK = 500_000
 _UPPER = bytes(range(65, 91))
 _LOWER = bytes(range(97, 123))
 _AZ = bytes.maketrans(_UPPER, _LOWER)
@@ -142,48 +144,38 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     spots = banded.select("did", "th", "n", F.explode("bands").alias("bucket"))
     shared = spots.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").select("bucket")
     spots = stored(spots.join(shared, "bucket").select("bucket", node, "n"), "buckets")
-    texts = with_key(docs).join(spots.select("node.did", "node.th").distinct(), ["did", "th"], "left_semi").dropDuplicates(["did", "th"])
-    texts = stored(texts.select(node, "text"), "texts")
-    links, width = None, FIRST
-    unsettled = spots.withColumns({"comp": F.col("node"), "m": F.col("n")})
-    while True:
-        centres = _centres(unsettled, width)
-        pairs = (
-            unsettled.join(centres, "bucket").where("node > a AND comp != ac")
-            .where(7 * F.least("m", "am") >= 3 * (F.col("n") + F.col("an")))
-            .select("a", F.col("node").alias("b")).distinct()
-        )
-        read = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("bt")), "b").join(
-            texts.select(F.col("node").alias("a"), F.col("text").alias("at")), "a")
-        found = read.select(F.col("a.did").alias("a_did"), F.col("a.th").alias("a_th"), F.col("b.did").alias("b_did"), F.col("b.th").alias("b_th"), "at", "bt").mapInPandas(
-            _verify, "a_did long, a_th long, b_did long, b_th long")
-        pair = lambda x: F.struct(F.col(f"{x}_did").alias("did"), F.col(f"{x}_th").alias("th")).alias(x)
-        new = stored(found.select(pair("a"), pair("b")), "links")
-        if links is None or not new.isEmpty():
-            links = new if links is None else links.unionByName(new)
-            comps = components(links)
-        # a member that was a centre is done with its bucket; what is left matters where components still differ
-        rest = unsettled.drop("comp", "m").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        rest = _mixed(rest).join(centres.select("bucket", F.col("a").alias("node")), ["bucket", "node"], "left_anti")
-        unsettled = stored(_mixed(_possible(stored(rest, "unsettled"), texts)), "unsettled")
-        width *= GROWTH
-        if unsettled.isEmpty():
-            break
+    low = spots.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("low"))
+    spots = stored(spots.join(low, "bucket").where("node != low.node").select("bucket", "node", "n", "low"), "members")
+    paired = spots.select(F.col("node").alias("b"), F.col("low.node").alias("a")).distinct()
+    texts = with_key(docs).join(paired.select("b.*").union(paired.select("a.*")).distinct(), ["did", "th"], "left_semi")
+    texts = stored(texts.dropDuplicates(["did", "th"]).select(node, "text"), "texts")
+    links = stored(_linked(spots, texts), "links")
+    comps = components(links)
+    rest = spots.select("bucket", "node", "n").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    rest = stored(_mixed(rest), "open")
+    sets = texts.join(rest.select("node").distinct(), "node", "left_semi").select("node.did", "node.th", "text")
+    sets = stored(sets.mapInPandas(_sets, "did long, th long, s array<long>").select(node, "s"), "sets")
+    more = stored(_settle(stored(_possible(rest, sets), "possible"), sets), "links")
+    if not more.isEmpty():
+        comps = components(links.unionByName(more))
     label = classes.select("c1", "c2", "rep").join(comps.select(F.col("node").alias("rep"), "comp"), "rep", "left")
     per_class = label.select("c1", "c2", F.coalesce("comp", "rep").alias("comp"), "rep")
     named = sig.join(per_class, ["c1", "c2"], "left")
     return named.select("did", "th", "n", *[F.when(F.col("n") > 0, F.col(c)).otherwise(F.struct("did", "th")).alias(c) for c in ("rep", "comp")])
 
 
-def _centres(spots: DataFrame, width: int) -> DataFrame:
-    """The first ``width`` members of each bucket. Ranked within parts of a bucket first, so a large one is no one task's."""
-    if width == 1:
-        low = spots.groupBy("bucket").agg(F.min(F.struct("node", "n", "m", "comp")).alias("low"))
-        return low.select("bucket", F.col("low.node").alias("a"), F.col("low.comp").alias("ac"), F.col("low.n").alias("an"), F.col("low.m").alias("am"))
-    part = spots.withColumn("part", F.pmod(F.xxhash64("node"), F.lit(1024)))
-    near = part.withColumn("rank", F.row_number().over(Window.partitionBy("bucket", "part").orderBy("node"))).where(F.col("rank") <= width)
-    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy("node"))).where(F.col("rank") <= width)
-    return ranked.select("bucket", F.col("node").alias("a"), F.col("comp").alias("ac"), F.col("n").alias("an"), F.col("m").alias("am"))
+def _pair(name: str) -> Column:
+    return F.struct(F.col(f"{name}_did").alias("did"), F.col(f"{name}_th").alias("th")).alias(name)
+
+
+def _linked(spots: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b): links between the members of buckets and their buckets' smallest ones."""
+    pairs = spots.where(7 * F.least("n", "low.n") >= 3 * (F.col("n") + F.col("low.n")))
+    pairs = pairs.select(F.col("low.node").alias("a"), F.col("node").alias("b")).distinct()
+    read = pairs.join(texts.toDF("b", "bt"), "b").join(texts.toDF("a", "at"), "a")
+    flat = read.select(F.col("a.did").alias("a_did"), F.col("a.th").alias("a_th"), F.col("b.did").alias("b_did"), F.col("b.th").alias("b_th"), "at", "bt")
+    found = flat.mapInPandas(_verify, "a_did long, a_th long, b_did long, b_th long")
+    return found.select(_pair("a"), _pair("b"))
 
 
 def _mixed(spots: DataFrame) -> DataFrame:
@@ -192,27 +184,76 @@ def _mixed(spots: DataFrame) -> DataFrame:
     return spots.join(several, "bucket", "left_semi")
 
 
-def _shingle_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        for did, th, text in zip(pdf["did"], pdf["th"], pdf["text"]):
-            yield pd.DataFrame({"did": did, "th": th, "s": shingle_set(text).astype(np.int64)})
+        yield pd.DataFrame({"did": pdf["did"], "th": pdf["th"], "s": [shingle_set(x).astype(np.int64) for x in pdf["text"]]})
 
 
-def _possible(spots: DataFrame, texts: DataFrame) -> DataFrame:
+def _possible(spots: DataFrame, sets: DataFrame) -> DataFrame:
     """Adds m, the shingles that a member shares with any other of these texts, and drops members that cannot be linked.
 
     The intersection with a partner is at most m, and the partner has at least the bucket's smallest set, so a member
     with 7 m < 3 (n + smallest) is below the similarity with all of them: 100 i >= 75 (n + k - i) means 7 i >= 3 (n + k).
     """
-    open_texts = texts.join(spots.select("node").distinct(), "node", "left_semi").select("node.did", "node.th", "text")
-    alone = open_texts.mapInPandas(_shingle_rows, "did long, th long, s long").groupBy("s").agg(
-        F.count("*").alias("c"), F.min("did").alias("did"), F.min("th").alias("th")).where("c = 1")
-    alone = alone.groupBy(F.struct("did", "th").alias("node")).agg(F.count("*").alias("u"))
+    alone = sets.select("node", F.explode("s").alias("s")).groupBy("s").agg(
+        F.count("*").alias("c"), F.min("node").alias("node")).where("c = 1")
+    alone = alone.groupBy("node").agg(F.count("*").alias("u"))
     low = spots.groupBy("bucket").agg(F.min("n").alias("low"))
     known = spots.join(alone, "node", "left").withColumn("m", F.col("n") - F.coalesce("u", F.lit(0))).drop("u")
     return known.join(low, "bucket").where(7 * F.col("m") >= 3 * (F.col("n") + F.col("low"))).drop("low")
 
 
+def _settle(spots: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): all links between members of one bucket that lie in different components.
+
+    A bucket's largest component (main) needs no pairs of its own. Its blocks meet the blocks of all other members, and
+    these meet each other; a cell is one such pair of blocks.
+    """
+    per = spots.groupBy("bucket", "comp").agg(F.sum("n").alias("size"))
+    split = per.groupBy("bucket").agg(F.max(F.struct("size", "comp")).alias("main"), F.sum("size").alias("total"))
+    blocks = split.where("total > main.size").select(
+        "bucket", F.col("main.comp").alias("main"), F.ceil(F.col("main.size") / BLOCK).alias("mains"),
+        F.ceil((F.col("total") - F.col("main.size")) / BLOCK).alias("others"))
+    placed = spots.join(blocks, "bucket").withColumn("is_main", F.col("comp") == F.col("main"))
+    at = F.pmod(F.xxhash64("node"), F.when(F.col("is_main"), F.col("mains")).otherwise(F.col("others")))
+    cell = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.cast("long").alias("i"), j.cast("long").alias("j"))
+    every = lambda count: F.sequence(F.lit(0).cast("long"), F.col(count) - 1)
+    with_main = F.transform(every("mains"), lambda i: cell("main", i, F.col("block")))
+    with_others = F.transform(every("others"), lambda j: cell("other", F.least("block", j), F.greatest("block", j)))
+    cells = F.when(F.col("is_main"), F.transform(every("others"), lambda j: cell("main", F.col("block"), j)))
+    cells = placed.withColumn("block", at).select(
+        "node", "n", "m", "comp", "is_main", "bucket", F.explode(cells.otherwise(F.concat(with_main, with_others))).alias("cell"))
+    read = cells.join(sets, "node").select(
+        "bucket", "cell.*", "node.*", "n", "m", F.col("comp.did").alias("c_did"), F.col("comp.th").alias("c_th"), "is_main", "s")
+    found = read.groupBy("bucket", "kind", "i", "j").applyInPandas(_cell_links, "a_did long, a_th long, b_did long, b_th long")
+    return found.distinct().select(_pair("a"), _pair("b"))
+
+
+def _cell_links(cell: pd.DataFrame) -> pd.DataFrame:
+    """Links between members of different components of a cell, counted on their full sets."""
+    found = []
+    n, m, main = (cell[c].to_numpy() for c in ("n", "m", "is_main"))
+    c_did, c_th = cell["c_did"].to_numpy(), cell["c_th"].to_numpy()
+    ids = np.unique(np.concatenate(cell["s"].to_list()), return_inverse=True)[1]
+    ends = np.cumsum(n)
+    mark = np.zeros(int(ids.max()) + 1, bool)
+    for y in np.flatnonzero(~main):
+        apart = ((c_did != c_did[y]) | (c_th != c_th[y])) & (7 * np.minimum(m, m[y]) >= 3 * (n + n[y]))
+        if cell["kind"].iat[0] == "main":
+            apart &= main
+        if not apart.any():
+            continue
+        own = ids[ends[y] - n[y]:ends[y]]
+        mark[own] = True
+        both = np.add.reduceat(mark[ids], ends - n)
+        mark[own] = False
+        near = np.flatnonzero(apart & (100 * both >= SIMILARITY * (n + n[y] - both)))
+        found += [(y, x) for x in near]
+    pair = np.array(found, dtype=np.int64).reshape(-1, 2)
+    did, th = cell["did"].to_numpy(), cell["th"].to_numpy()
+    return pd.DataFrame({"a_did": did[pair[:, 0]], "a_th": th[pair[:, 0]], "b_did": did[pair[:, 1]], "b_th": th[pair[:, 1]]})
+
+
 def report(docs: DataFrame) -> DataFrame:
     found = near_duplicates(docs)
     component = doc_id_of(F.col("comp.did"))
