@@ -117,8 +117,10 @@ def test_templates_generalise_numbers_and_rare_fields(spark):
     assert all("Copyright" not in r["text"] and "own text" in r["text"] for r in got)
 
 
-def test_near_duplicates_of_a_large_family(spark):
-    """Members of one family, linked and not: the components equal those of all pairs."""
+@pytest.mark.parametrize("block", [minhash.BLOCK, 700])
+def test_near_duplicates_of_a_large_family(spark, monkeypatch, block):
+    """Members of one family, linked and not: the components equal those of all pairs, in one block or many."""
+    monkeypatch.setattr(minhash, "BLOCK", block)
     rng, base = random.Random(3), [f"w{i}" for i in range(150)]
     texts = []
     for i in range(90):
