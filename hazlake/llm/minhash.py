@@ -123,7 +123,7 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = e.union(e.select("v", "u"))
         low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
         e = stored(small.select("u", "m").union(small.select("v", "m")).where("u != m").distinct().toDF("u", "v"), "edges")
@@ -156,14 +156,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sets = texts.join(rest.select("node").distinct(), "node", "left_semi").select("node.did", "node.th", "text")
     sets = stored(sets.mapInPandas(_sets, "did long, th long, s array<long>").select(node, "s"), "sets")
     more = stored(_settle(stored(_possible(rest, sets), "possible"), sets), "links")
-    if not more.isEmpty():
-        comps = components(links.unionByName(more))
     label = classes.select("c1", "c2", "rep").join(comps.select(F.col("node").alias("rep"), "comp"), "rep", "left")
     per_class = label.select("c1", "c2", F.coalesce("comp", "rep").alias("comp"), "rep")
+    if not more.isEmpty():  # these links join components, so each component is one node of them
+        joined = components(_contracted(more, comps)).select(F.col("node").alias("comp"), F.col("comp").alias("low"))
+        per_class = per_class.join(joined, "comp", "left").select("c1", "c2", F.coalesce("low", "comp").alias("comp"), "rep")
     named = sig.join(per_class, ["c1", "c2"], "left")
     return named.select("did", "th", "n", *[F.when(F.col("n") > 0, F.col(c)).otherwise(F.struct("did", "th")).alias(c) for c in ("rep", "comp")])
 
 
+def _contracted(links: DataFrame, comps: DataFrame) -> DataFrame:
+    """The links (a, b) with each end replaced by the smallest node of its component."""
+    for end in ("a", "b"):
+        named = comps.select(F.col("node").alias(end), "comp")
+        links = links.join(named, end, "left").withColumn(end, F.coalesce("comp", end)).drop("comp")
+    return links
+
+
 def _pair(name: str) -> Column:
     return F.struct(F.col(f"{name}_did").alias("did"), F.col(f"{name}_th").alias("th")).alias(name)
 
