@@ -213,7 +213,7 @@ def _possible(spots: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _settle(spots: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b): all links between members of one bucket that lie in different components.
+    """(a, b): links that join all components whose members in one bucket are linked.
 
     A bucket's largest component (main) needs no pairs of its own. Its blocks meet the blocks of all other members, and
     these meet each other; a cell is one such pair of blocks.
@@ -239,15 +239,18 @@ def _settle(spots: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _cell_links(cell: pd.DataFrame) -> pd.DataFrame:
-    """Links between members of different components of a cell, counted on their full sets."""
+    """Links that join the components of a cell, counted on full sets.
+
+    A link within what earlier links of the cell have joined adds nothing, so there are fewer links than components.
+    """
     found = []
     n, m, main = (cell[c].to_numpy() for c in ("n", "m", "is_main"))
-    c_did, c_th = cell["c_did"].to_numpy(), cell["c_th"].to_numpy()
+    part = cell.groupby(["c_did", "c_th"]).ngroup().to_numpy().copy()
     ids = np.unique(np.concatenate(cell["s"].to_list()), return_inverse=True)[1]
     ends = np.cumsum(n)
     mark = np.zeros(int(ids.max()) + 1, bool)
     for y in np.flatnonzero(~main):
-        apart = ((c_did != c_did[y]) | (c_th != c_th[y])) & (7 * np.minimum(m, m[y]) >= 3 * (n + n[y]))
+        apart = (part != part[y]) & (7 * np.minimum(m, m[y]) >= 3 * (n + n[y]))
         if cell["kind"].iat[0] == "main":
             apart &= main
         if not apart.any():
@@ -257,7 +260,10 @@ def _cell_links(cell: pd.DataFrame) -> pd.DataFrame:
         both = np.add.reduceat(mark[ids], ends - n)
         mark[own] = False
         near = np.flatnonzero(apart & (100 * both >= SIMILARITY * (n + n[y] - both)))
-        found += [(y, x) for x in near]
+        if len(near):
+            joined, first = np.unique(part[near], return_index=True)
+            found += [(y, x) for x in near[first]]
+            part[np.isin(part, joined)] = part[y]
     pair = np.array(found, dtype=np.int64).reshape(-1, 2)
     did, th = cell["did"].to_numpy(), cell["th"].to_numpy()
     return pd.DataFrame({"a_did": did[pair[:, 0]], "a_th": th[pair[:, 0]], "b_did": did[pair[:, 1]], "b_th": th[pair[:, 1]]})
