@@ -1,7 +1,8 @@
 """Secret scan: fixed patterns, and a randomness test battery over the remaining tokens.
 
-Base spans come from three patterns. The battery looks at every other run of 20 or more encoding characters that mixes
-classes. Its encoding (hex, base32, base64) is inferred from the characters, which are mapped to their alphabet's values:
+Base spans come from three patterns. The battery looks at every other run of 20 or more encoding characters with a
+letter, also right behind an equals sign; equals signs at its end are padding unless such characters follow. Its
+encoding (hex, base32, base64) is inferred from the characters, which are mapped to their alphabet's values:
 
 * chi-squared of the alphabet's counts against uniformity,
 * a runs test of values above and below the alphabet's middle,
@@ -10,8 +11,8 @@ classes. Its encoding (hex, base32, base64) is inferred from the characters, whi
 A token stays a candidate while no test rejects randomness (Bonferroni over the three). Its p-value is the chance that
 ordinary text of the same length and alphabet, whose symbols repeat as often as in natural language (index of
 coincidence), would come as close to uniformity: a non-central chi-squared tail, so a short token needs to be closer than
-a long one. Candidates are accepted by Benjamini-Hochberg within length classes over all documents, on a fine grid of
-p-values.
+a long one. Candidates are accepted by Benjamini-Hochberg within classes of length and of tokens with and without a digit
+over all documents, on a fine grid of p-values; words and identifiers thus raise no limit for tokens with digits.
 
 Defined cases: null text is empty; positions are code points of the whole text, ends exclusive; battery tokens that
 touch a base span are left to it; rows are judged one by one, so repeated rows and rows without an id get their own
@@ -34,7 +35,8 @@ BASE = {
     "hex": r"[0-9a-f]{32,}",
 }
 KINDS = (*BASE, "random")
-TOKEN = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{20,}+={0,2}"
+#: The letter spares rules and tables; a run of encoding characters has one but for a chance the battery would not accept.
+TOKEN = r"(?<![A-Za-z0-9+/_-])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{20,}+(?:={1,2}(?![A-Za-z0-9+/_=-]))?"
 ALPHABETS = {
     "hex": "0123456789abcdef",
     "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
@@ -144,19 +146,18 @@ def scan(docs: DataFrame, rate: float = RATE) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = once(docs.select("doc_id", text.alias("text")), base=base_spans(F.col("text")), tokens=spans(F.col("text"), TOKEN, lambda x: F.lit(True)))
     free = F.filter("tokens", lambda t: ~F.exists("base", lambda s: (s["a"] < t["b"]) & (t["a"] < s["b"])))
-    tested = F.transform(free, lambda t: F.struct(t["a"].alias("a"), t["b"].alias("b"), p_value(t["body"]).alias("p")))
+    tested = F.transform(free, lambda t: F.struct(t["a"].alias("a"), t["b"].alias("b"), p_value(t["body"]).alias("p"), t["body"].rlike("[0-9]").alias("digit")))
     found = stored(once(rows.select("doc_id", "base", "tokens"), tested=tested).select("doc_id", "base", "tested"), "secrets")
-    length = F.col("t.b") - F.col("t.a")
-    group = lambda n: sum(((n >= x).cast("int") for x in LENGTHS), F.lit(0))
+    group = lambda t: sum(((t["b"] - t["a"] >= x).cast("int") for x in LENGTHS), F.lit(0)) + F.when(t["digit"], len(LENGTHS) + 1).otherwise(0)
     step = lambda p: F.when(p.isNotNull(), F.ceil(F.log10(F.greatest(p, F.lit(1e-300))) * GRID))
-    tokens = found.select(F.explode("tested").alias("t")).select(group(length).alias("group"), step(F.col("t.p")).alias("step"))
+    tokens = found.select(F.explode("tested").alias("t")).select(group(F.col("t")).alias("group"), step(F.col("t.p")).alias("step"))
     counts = tokens.groupBy("group", "step").agg(F.count("*").alias("n"))
     order = Window.partitionBy("group").orderBy(F.col("step").asc_nulls_last())
     ranks = counts.withColumns({"upto": F.sum("n").over(order), "all": F.sum("n").over(Window.partitionBy("group"))})
     good = ranks.where(F.col("step").isNotNull() & (F.col("all") * F.pow(F.lit(10.0), F.col("step") / GRID) <= rate * F.col("upto")))
     limits = {r["group"]: r["step"] for r in good.groupBy("group").agg(F.max("step").alias("step")).collect()}
-    limit = lambda n: F.element_at(F.array(*[F.lit(limits.get(g)).cast("bigint") for g in range(len(LENGTHS) + 1)]), group(n) + 1)
-    taken = F.filter("tested", lambda t: F.coalesce(step(t["p"]) <= limit(t["b"] - t["a"]), F.lit(False)))
+    limit = lambda t: F.element_at(F.array(*[F.lit(limits.get(g)).cast("bigint") for g in range(2 * (len(LENGTHS) + 1))]), group(t) + 1)
+    taken = F.filter("tested", lambda t: F.coalesce(step(t["p"]) <= limit(t), F.lit(False)))
     extra = F.transform(taken, lambda t: F.struct(t["a"].alias("a"), F.lit(len(BASE)).alias("kind"), t["b"].alias("b")))
     return found.select("doc_id", "base", F.array_sort(F.concat("base", extra)).alias("all"))
 

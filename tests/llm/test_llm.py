@@ -110,6 +110,15 @@ def test_battery_tells_random_from_ordinary(spark):
     assert {r["doc_id"] for r in got.collect() if r["spans"]} == {0, 1}
 
 
+def test_battery_reads_values_behind_an_equals_sign(spark):
+    values = ["wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "x9KfT2mQ7LzR4vWbN8sYcJ1dHpE6aUoG3iB5", "x9KfT2mQ7LzR4vWbN8sYcJ1dHpE6aUoG3iB5==", "kQzRfYtWmBxLsVhNcJgDpTaUeXiOwZbKyMqHvFrS"]
+    before = ["AWS_SECRET_ACCESS_KEY=", "https://h.example/a?sig=", "BLOB=", "VALUE="]
+    texts = [k + v for k, v in zip(before, values)] + ["A_LONG_ORDINARY_SETTING_NAME=", "/usr/share/local/configuration"]
+    got = secrets.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    want = {i: f"random:{len(k)}:{len(k) + len(v)}" for i, (k, v) in enumerate(zip(before, values))}
+    assert {r["doc_id"]: r["spans"] for r in got.collect() if r["spans"]} == want
+
+
 def test_templates_generalise_numbers_and_rare_fields(spark):
     rng = random.Random(2)
     rows = [(i, f"Copyright (c) by {rng.choice('abcdefghij') * 5}{i} all rights reserved here\nown text number {i} of a kind {rng.random()} x{i} y{i} z{i}") for i in range(60)]
