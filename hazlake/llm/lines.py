@@ -6,6 +6,8 @@ the next levels are the leading tokens; each leaf holds lines of one shape. With
 recurring if at least ``min_docs`` documents hold it and at least ``min_constant`` of its tokens are constant; its
 lines are dropped wherever they stand, the first document included.
 
+Documents are counted, not lines: many lines of one shape within a document count once.
+
 Only leaves that enough documents reach are looked at token by token, and equal lines are counted together before any
 shuffle, so a line that a third of all documents share is a few rows.
 
@@ -22,6 +24,8 @@ from hazlake.llm.common import doc_id_of, stored, with_key
 
 DEPTH, MIN_DOCS, MIN_CONSTANT = 3, 20, 0.6
 MASK = "<*>"
+#: Tells the rows of documents apart.
+DOC = ("did", "th", "copy")
 
 
 def masked_lines(text: Column) -> Column:
@@ -46,30 +50,48 @@ def split_lines(docs: DataFrame) -> DataFrame:
     return once(with_key(docs), lines=masked_lines(F.coalesce("text", F.lit("")))).select("did", "th", "lines")
 
 
-def recurring(cut: DataFrame, spots: DataFrame, depth: int, min_docs: int, min_constant: float) -> DataFrame:
-    """(leaf, line, template, docs): the lines that recurring templates cover, by hash."""
+def held(pairs: DataFrame, keys: list[str], min_docs: int) -> DataFrame:
+    """Keys (with docs) that at least min_docs documents hold: distinct per document first, then counted."""
+    each = pairs.select(*keys, *DOC).distinct()
+    return each.groupBy(*keys).agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs)
+
+
+def common_of(units: DataFrame, spots: DataFrame, keys: list[str], min_docs: int) -> DataFrame:
+    """Keys that at least min_docs documents hold, of units (leaf, line, n, keys): n is a line's number of documents.
+
+    A line of min_docs documents settles its keys, and so does a sum of n below it; only the keys in between are counted
+    document by document, and none of their lines is in min_docs documents.
+    """
+    bounds = units.groupBy(*keys).agg(F.max("n").alias("most"), F.sum("n").alias("sum")).where(F.col("sum") >= min_docs)
+    bounds = stored(bounds.select(*keys, (F.col("most") >= min_docs).alias("sure")), "bounds")
+    lines = units.join(bounds.where(~F.col("sure")), keys).select("leaf", "line", *[k for k in keys if k != "leaf"])
+    counted = held(lines.join(spots.select("leaf", "line", *DOC).distinct(), ["leaf", "line"]), keys, min_docs)
+    return bounds.where("sure").select(*keys).unionByName(counted.select(*keys))
+
+
+def recurring(spots: DataFrame, depth: int, min_docs: int, min_constant: float) -> DataFrame:
+    """(leaf, line, template): the lines that recurring templates cover, by hash."""
     # shape first, by hashes only, so that one-off lines are counted cheaply
     busy = stored(spots.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("leaf"), "leaves")
-    each = cut.select(F.explode(F.array_distinct(F.filter("lines", lambda x: x != ""))).alias("mask"))
-    each = each.select("mask", leaf_of(F.col("mask"), depth).alias("leaf"), F.xxhash64("mask").alias("line"))
-    shapes = stored(each.groupBy("leaf", "line", "mask").agg(F.count("*").alias("n")).join(busy, "leaf"), "shapes")
-    tokens = shapes.select("leaf", "line", "n", F.posexplode(F.split("mask", " ")).alias("at", "token"))
-    common = tokens.groupBy("leaf", "at", "token").agg(F.sum("n").alias("docs")).where(F.col("docs") >= min_docs)
-    constant = tokens.join(common, ["leaf", "at", "token"]).where(F.col("token") != MASK)
+    # a line that repeats within a document counts once
+    near = stored(spots.join(busy, "leaf").groupBy("leaf", "line", *DOC).agg(F.first("mask").alias("mask")), "near")
+    shapes = stored(near.groupBy("leaf", "line").agg(F.count("*").alias("n"), F.first("mask").alias("mask")), "shapes")
+    tokens = shapes.select("leaf", "line", "n", F.posexplode(F.split("mask", " ")).alias("at", "token")).where(F.col("token") != MASK)
+    common = common_of(tokens, near, ["leaf", "at", "token"], min_docs)
+    constant = tokens.join(common, ["leaf", "at", "token"])
     fixed = constant.groupBy("leaf", "line").agg(F.sort_array(F.collect_list(F.struct("at", "token"))).alias("fixed"))
     shaped = shapes.join(fixed, ["leaf", "line"]).withColumn("size", F.size(F.split("mask", " ")))
     shaped = shaped.where(F.size("fixed") >= min_constant * F.col("size"))
-    named = shaped.select("leaf", "line", "n", F.xxhash64("leaf", F.to_json("fixed")).alias("template"))
-    often = named.groupBy("leaf", "template").agg(F.sum("n").alias("docs")).where(F.col("docs") >= min_docs)
-    return named.join(often, ["leaf", "template"]).select("leaf", "line", "template", "docs")
+    named = stored(shaped.select("leaf", "line", "n", F.xxhash64("leaf", F.to_json("fixed")).alias("template")), "named")
+    return named.join(common_of(named, near, ["leaf", "template"], min_docs), ["leaf", "template"]).select("leaf", "line", "template")
 
 
 def dropped(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, min_constant: float = MIN_CONSTANT) -> DataFrame:
     """(did, th, gone): for each text with such lines, their numbers from 0."""
-    cut = split_lines(docs)
-    spots = cut.select("did", "th", F.posexplode("lines").alias("at", "mask")).where(F.col("mask") != "")
-    spots = stored(spots.select("did", "th", "at", leaf_of(F.col("mask"), depth).alias("leaf"), F.xxhash64("mask").alias("line")), "lines")
-    drop = stored(recurring(cut, spots, depth, min_docs, min_constant).select("leaf", "line"), "templates")
+    cut = split_lines(docs).withColumn("copy", F.monotonically_increasing_id())
+    spots = cut.select(*DOC, F.posexplode("lines").alias("at", "mask")).where(F.col("mask") != "")
+    spots = stored(spots.select(*DOC, "at", "mask", leaf_of(F.col("mask"), depth).alias("leaf"), F.xxhash64("mask").alias("line")), "lines")
+    drop = stored(recurring(spots, depth, min_docs, min_constant).select("leaf", "line"), "templates")
     return spots.join(drop, ["leaf", "line"]).groupBy("did", "th").agg(F.collect_set("at").alias("gone"))
 
 

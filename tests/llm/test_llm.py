@@ -126,6 +126,17 @@ def test_templates_generalise_numbers_and_rare_fields(spark):
     assert all("Copyright" not in r["text"] and "own text" in r["text"] for r in got)
 
 
+def test_lines_of_one_document_are_one_document(spark):
+    glossary = lambda i, n: "\n".join(f"See also the word{chr(97 + k)}{'x' * i} entry here" for k in range(n))
+    kept = lambda rows: [r["text"] for r in lines.drop_lines(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert kept([(1, glossary(1, 25))]) == [glossary(1, 25)]
+    few = [(i, glossary(i, 10)) for i in range(lines.MIN_DOCS - 1)]
+    assert kept(few) == [t for _, t in few]
+    assert kept([*few, (lines.MIN_DOCS, glossary(lines.MIN_DOCS, 1))]) == [""] * lines.MIN_DOCS
+    # rows that repeat a document count as documents
+    assert kept([(1, "See also this entry")] * lines.MIN_DOCS) == [""] * lines.MIN_DOCS
+
+
 @pytest.mark.parametrize("block", [minhash.BLOCK, 700])
 def test_near_duplicates_of_a_large_family(spark, monkeypatch, block):
     """Members of one family, linked and not: the components equal those of all pairs, in one block or many."""
