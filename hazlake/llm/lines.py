@@ -4,7 +4,8 @@ A line's tokens are its words, those with a digit masked as a variable. The tree
 the next levels are the leading tokens; each leaf holds lines of one shape. Within a leaf a token that fewer than
 ``min_docs`` documents show at its place is a variable field, too, and the template is what remains. A template is
 recurring if at least ``min_docs`` documents hold it and at least ``min_constant`` of its tokens are constant; its
-lines are dropped wherever they stand, the first document included.
+lines are dropped wherever they stand, the first document included. A line with too many masked words for that is a
+template of its own, digits included, if ``min_docs`` documents hold it word for word.
 
 Documents are counted, not lines: many lines of one shape within a document count once.
 
@@ -45,9 +46,14 @@ def leaf_of(mask: Column, depth: int) -> Column:
     return F.xxhash64(size_of(mask), F.substring_index(mask, " ", depth))
 
 
-def split_lines(docs: DataFrame) -> DataFrame:
-    """did, th, lines: the masked lines of each text in order."""
-    return once(with_key(docs), lines=masked_lines(F.coalesce("text", F.lit("")))).select("did", "th", "lines")
+def split_lines(docs: DataFrame, min_constant: float = MIN_CONSTANT) -> DataFrame:
+    """did, th, lines (mask, raw): the masked lines of each text in order; raw is a hash where too much is masked for a template."""
+    rows = once(with_key(docs), masks=masked_lines(F.coalesce("text", F.lit(""))))
+    plain = lambda x: F.trim(F.regexp_replace(x, r"[\x20\x09\x0B-\x0D]+", " "))
+    masked = lambda m: (F.length(m) - F.length(F.replace(m, F.lit(MASK), F.lit("")))) / len(MASK)
+    own = lambda m, x: F.when(size_of(m) - masked(m) < min_constant * size_of(m), F.xxhash64(plain(x)))
+    pairs = F.zip_with("masks", F.split(F.coalesce("text", F.lit("")), "\n"), lambda m, x: F.struct(m.alias("mask"), own(m, x).alias("raw")))
+    return once(rows, lines=pairs).select("did", "th", "lines")
 
 
 def held(pairs: DataFrame, keys: list[str], min_docs: int) -> DataFrame:
@@ -88,11 +94,13 @@ def recurring(spots: DataFrame, depth: int, min_docs: int, min_constant: float)
 
 def dropped(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, min_constant: float = MIN_CONSTANT) -> DataFrame:
     """(did, th, gone): for each text with such lines, their numbers from 0."""
-    cut = split_lines(docs).withColumn("copy", F.monotonically_increasing_id())
-    spots = cut.select(*DOC, F.posexplode("lines").alias("at", "mask")).where(F.col("mask") != "")
-    spots = stored(spots.select(*DOC, "at", "mask", leaf_of(F.col("mask"), depth).alias("leaf"), F.xxhash64("mask").alias("line")), "lines")
+    cut = split_lines(docs, min_constant).withColumn("copy", F.monotonically_increasing_id())
+    spots = cut.select(*DOC, F.posexplode("lines").alias("at", "l")).select(*DOC, "at", "l.mask", "l.raw").where(F.col("mask") != "")
+    spots = stored(spots.select(*DOC, "at", "mask", "raw", leaf_of(F.col("mask"), depth).alias("leaf"), F.xxhash64("mask").alias("line")), "lines")
     drop = stored(recurring(spots, depth, min_docs, min_constant).select("leaf", "line"), "templates")
-    return spots.join(drop, ["leaf", "line"]).groupBy("did", "th").agg(F.collect_set("at").alias("gone"))
+    verbatim = stored(held(spots.where("raw IS NOT NULL"), ["raw"], min_docs).select("raw"), "verbatim")
+    gone = spots.join(drop, ["leaf", "line"]).select("did", "th", "at").union(spots.join(verbatim, "raw").select("did", "th", "at"))
+    return gone.groupBy("did", "th").agg(F.collect_set("at").alias("gone"))
 
 
 def without_lines(text: Column, gone: Column) -> Column:

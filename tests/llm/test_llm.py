@@ -137,6 +137,13 @@ def test_lines_of_one_document_are_one_document(spark):
     assert kept([(1, "See also this entry")] * lines.MIN_DOCS) == [""] * lines.MIN_DOCS
 
 
+def test_lines_with_many_numbers_recur_word_for_word(spark):
+    rows = [(i, f"Page 3 of 10\nTel.  555-1234\n{i} {i + 1} {i + 2}\nRoom 7 floor 2") for i in range(lines.MIN_DOCS - 1)]
+    rows += [(99, "Page 3  of 10\nTel. 555-1234\nPage 4 of 10\n5 6 8")]
+    got = {r["doc_id"]: r["text"] for r in lines.drop_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: f"{i} {i + 1} {i + 2}\nRoom 7 floor 2" for i in range(lines.MIN_DOCS - 1)} | {99: "Page 4 of 10\n5 6 8"}
+
+
 @pytest.mark.parametrize("block", [minhash.BLOCK, 700])
 def test_near_duplicates_of_a_large_family(spark, monkeypatch, block):
     """Members of one family, linked and not: the components equal those of all pairs, in one block or many."""
