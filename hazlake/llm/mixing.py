@@ -1,10 +1,11 @@
 """Mixing sources to target weights on a low-discrepancy schedule.
 
 Targets: each source gets its weight's share of all words, but at most ``MAX_REPEAT`` times its own; what is cut off is
-shared out again by weight. Schedule: slot i has the point i * g mod 2**32, g the golden ratio's fraction of 2**32; the
-points fall into the sources' cumulative targets, and the slots of a source are ranked. A source's documents, shuffled by
-hash, are laid end to end and cut into blocks of equally many words; its slot of rank r takes block r modulo its number
-of blocks. A document's share follows from joining its pieces with the slots of their blocks.
+shared out again by weight. A source's documents, shuffled by hash, are laid end to end and cut into blocks that differ
+by one word at most and are small beside both the source and its target; it gets as many slots as its target holds such
+blocks. Schedule: slot i has the point i * g mod 2**32, g the golden ratio's fraction of 2**32; in the order of their
+points the slots go to the sources, and the slots of a source are ranked. Its slot of rank r takes block r modulo its
+number of blocks. A document's share follows from joining its pieces with the slots of their blocks.
 
 Ranks and running sums are taken in two levels, within about sqrt(n) hash buckets and over the buckets, so no source is
 one task's work.
@@ -24,15 +25,15 @@ from hazlake.llm.common import doc_id_of, small, stored, with_key, words_of
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEAT = 3
-#: At least so many slots for each source on average, unless there are fewer words; blocks hold no more than MAX_BLOCK words.
-SLOTS_PER_SOURCE, MAX_BLOCK = 4000, 4096
+#: At least so many blocks in each source and in its target, unless there are fewer words; blocks hold no more than MAX_BLOCK words.
+BLOCKS, MAX_BLOCK = 500, 4096
 GOLDEN, CIRCLE = 2654435769, 1 << 32
 BROADCAST_ROWS = 1_000_000
 
 
 def ranked(df: DataFrame, order: str, rows: int) -> DataFrame:
     """Adds ``rank`` from 0 in the order of a column, over ranges of it that no single task holds together."""
-    ranges = stored(df.repartitionByRange(max(1, math.isqrt(rows) // 256 + 1), order).withColumn("range", F.spark_partition_id()), "ranges")
+    ranges = stored(df.repartitionByRange(max(1, math.isqrt(rows) // 256 + 1), F.col(order).asc_nulls_last()).withColumn("range", F.spark_partition_id()), "ranges")
     sizes = ranges.groupBy("range").agg(F.count("*").alias("n"))
     before = sizes.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("before"))
     own = F.row_number().over(Window.partitionBy("range").orderBy(F.col(order).asc_nulls_last())) - 1
@@ -72,24 +73,34 @@ def placed(docs: DataFrame, n_docs: int) -> DataFrame:
     return both.select("did", "th", "a.source", "size", (F.col("own") + F.col("before")).alias("start"), "place")
 
 
-def schedule(plan: DataFrame, n_sources: int, total: int, block: int) -> DataFrame:
+def cut_up(plan: DataFrame, most: int) -> DataFrame:
+    """Adds blocks and slots: how many blocks a source's words make, and how many of them its target holds."""
+    block = F.least(F.col("source_size").cast("double"), "target") / BLOCKS
+    block = F.greatest(F.lit(1), F.least(F.lit(MAX_BLOCK), F.floor(block)))
+    cut = plan.withColumn("blocks", F.ceil(F.col("source_size") / block))
+    slots = F.least(F.round(F.col("target") * F.col("blocks") / F.col("source_size")).cast("bigint"), most * F.col("blocks"))
+    return cut.withColumn("slots", F.when(F.col("source_size") > 0, slots).otherwise(0))
+
+
+def schedule(plan: DataFrame, n_sources: int) -> DataFrame:
     """slot, source, rank: which source each slot of the mix takes, and its rank among the source's slots."""
-    n = -(-total // block)
-    bins = max(1, min(4 * n_sources, CIRCLE))
-    width = F.floor(F.col("target") / F.lit(float(max(1, total))) * CIRCLE).cast("bigint")
-    wide = ranked(plan.withColumn("width", width), "source", n_sources)
+    n = plan.agg(F.coalesce(F.sum("slots"), F.lit(0))).first()[0]
+    bins = max(1, 4 * n_sources)
+    wide = ranked(plan.withColumn("width", F.col("slots")), "source", n_sources)
     parts = max(1, math.isqrt(n_sources) // 256 + 1)
     group = wide.withColumn("part", F.floor(F.col("rank") * parts / F.lit(max(1, n_sources))))
     sums = group.groupBy("part").agg(F.sum("width").alias("w"))
     before = sums.select("part", (F.sum("w").over(Window.orderBy("part")) - F.col("w")).alias("before"))
     own = F.sum("width").over(Window.partitionBy("part").orderBy("rank"))
     ends = group.withColumn("own", own).join(before, "part").select("source", "width", (F.col("own") + F.col("before")).alias("to")).where("width > 0")
-    size = -(-CIRCLE // bins)
+    size = max(1, -(-n // bins))
     spread = ends.select("source", (F.col("to") - F.col("width")).alias("from"), "to").withColumn(
         "bin", F.explode(F.sequence(F.floor(F.col("from") / size), F.floor((F.col("to") - 1) / size))))
     spread = stored(spread, "schedule-bins")
     slots = plan.sparkSession.range(n).select(F.col("id").alias("slot"), ((F.col("id") % CIRCLE) * GOLDEN % CIRCLE).alias("u"))
-    hit = slots.withColumn("bin", F.floor(F.col("u") / size)).join(small(spread, n_sources + bins, BROADCAST_ROWS), "bin").where("u >= from AND u < to")
+    # points that wrap round the circle are told apart by their slot
+    slots = ranked(slots.withColumn("point", F.struct("u", "slot")), "point", n).select("slot", F.col("rank").alias("place"))
+    hit = slots.withColumn("bin", F.floor(F.col("place") / size)).join(small(spread, n_sources + bins, BROADCAST_ROWS), "bin").where("place >= from AND place < to")
     run = max(1, math.isqrt(n))
     taken = stored(hit.select("slot", "source", F.floor(F.col("slot") / run).alias("run")), "slots")
     sums = taken.groupBy("source", "run").agg(F.count("*").alias("n"))
@@ -105,25 +116,30 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_REP
     doc_id, source, size, source_size, target, taken.
     """
     sized = stored(with_key(docs, docs["source"].cast("string").alias("source"), F.size(words_of(F.col("text"))).cast("bigint").alias("size")).drop("text"), "sizes")
-    plan, n_sources, total = targets(sized, weights, most)
-    plan = stored(plan, "targets")
-    block = max(1, min(MAX_BLOCK, total // max(1, SLOTS_PER_SOURCE * n_sources)))
+    plan, n_sources, _ = targets(sized, weights, most)
+    plan = stored(cut_up(plan, most), "targets")
     n_docs = sized.count()
-    blocks = plan.select("source", F.ceil(F.col("source_size") / block).alias("blocks"))
-    slots = schedule(plan, n_sources, total, block).alias("a").join(blocks.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source")))
-    slots = slots.where(F.col("rank") < most * F.col("blocks")).select("slot", "a.source", "rank", (F.col("rank") % F.col("blocks")).alias("block"))
+    few = n_sources <= BROADCAST_ROWS // 10
+    cuts = plan.select("source", "source_size", "blocks", "slots")
+    cuts = F.broadcast(cuts) if few else cuts
+    slots = schedule(plan, n_sources).alias("a").join(cuts.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source")))
+    slots = slots.select("slot", "a.source", "rank", (F.col("rank") % F.col("blocks")).alias("block"))
     uses = slots.groupBy("source", "block").agg(F.count("*").alias("times"))
     rows = placed(sized, n_docs).withColumn("row", F.monotonically_increasing_id())
     rows = stored(rows, "placed")
-    end = F.col("start") + F.col("size")
-    pieces = rows.where("size > 0").select("row", "source", "start", end.alias("end"), F.explode(
-        F.sequence(F.floor(F.col("start") / block), F.floor((end - 1) / block))).alias("block"))
-    overlap = F.least(F.col("end"), (F.col("b.block") + 1) * block) - F.greatest(F.col("start"), F.col("b.block") * block)
+    # block k begins at word k * source_size / blocks, rounded down; blocks without a slot need no pieces
+    block_of = lambda word: F.expr(f"(({word} + 1) * blocks - 1) div source_size")
+    begin = lambda k: F.expr(f"({k}) * blk_size div blk_count")
+    spot = rows.where("size > 0").alias("a").join(cuts.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source")))
+    spot = spot.select("row", "a.source", "start", (F.col("start") + F.col("size")).alias("end"), "source_size", "blocks", "slots")
+    spot = spot.withColumns({"from": block_of("start"), "to": F.least(block_of("(end - 1)"), F.least("blocks", "slots") - 1)}).where(F.col("from") <= F.col("to"))
+    pieces = spot.select("row", "source", "start", "end", F.col("source_size").alias("blk_size"), F.col("blocks").alias("blk_count"), F.explode(F.sequence("from", "to")).alias("block"))
+    overlap = F.least(F.col("end"), begin("b.block + 1")) - F.greatest(F.col("start"), begin("b.block"))
     taken = (
         pieces.alias("a").join(uses.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.block") == F.col("b.block")))
         .groupBy("row").agg(F.sum(overlap * F.col("times")).alias("taken"))
     )
-    out = rows.join(taken, "row", "left").alias("a").join(F.broadcast(plan).alias("b") if n_sources <= BROADCAST_ROWS // 10 else plan.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source")))
+    out = rows.join(taken, "row", "left").alias("a").join((F.broadcast(plan) if few else plan).alias("b"), F.col("a.source").eqNullSafe(F.col("b.source")))
     return slots, out.select(doc_id_of(F.col("did")).alias("doc_id"), "a.source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"))
 
 

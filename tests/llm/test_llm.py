@@ -89,6 +89,20 @@ def test_mixing_targets_and_repeats(spark):
     assert sorted(map(tuple, mixing.report(frame).collect())) == sorted(tuple(r)[:5] if len(r) == 5 else (r["doc_id"], r["size"], r["source_size"], r["target"], r["taken"]) for r in got)
 
 
+def test_small_sources_get_their_targets_beside_a_large_one(spark):
+    # at most 3 times its own words; a source of few words gets as large a share of its target as one of many
+    sizes = {"a": [20_000] * 60, "b": [1], "c": [200], "d": [700, 800], "e": [5000], None: [33]}
+    rows = [(s, " ".join(["w"] * n)) for s, ns in sizes.items() for n in ns]
+    frame = spark.createDataFrame([(i, t, s) for i, (s, t) in enumerate(rows)], "doc_id long, text string, source string")
+    slots, shares = mixing.mix(frame)
+    got = shares.groupBy("source").agg({"taken": "sum", "target": "max"}).collect()
+    assert len(got) == len(sizes)
+    for r in got:
+        assert abs(r["sum(taken)"] - r["max(target)"]) <= 0.005 * r["max(target)"] + 1, r
+    used = [(r["source"] or "", r["rank"]) for r in slots.select("source", "rank").collect()]
+    assert len(set(used)) == len(used) and {r for s, r in used if s == "b"} == {0, 1, 2}
+
+
 def test_secret_base_spans(spark):
     rows = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     rows |= {-1: 'é API_KEY="abcdefgh" token=api_key:abcdefghi token: abc AKIA' + "A1" * 8 + " " + "ab12" * 9, -2: "token=abcdefgh " * 2000}
