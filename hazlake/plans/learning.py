@@ -26,7 +26,7 @@ def _benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tfidf_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = tfidf.with_terms(_documents(spark, sf_dir).select("doc_id", "cleaned_text"), "cleaned_text")
-    vocabulary = tfidf.fit_vocabulary(docs, max_features=2000)
+    vocabulary = tfidf.fit_vocabulary(docs)
     weights = tfidf.term_weights(tfidf.vectorize(docs, vocabulary), vocabulary, "doc_id")
     return weights.withColumn("weight", round_even(F.col("weight"), 6))
 
