@@ -48,7 +48,7 @@ def quota(name: str, counts: str, draws: str) -> str:
 
 
 ORACLES = {
-    "tfidf_weights": f"WITH {vocab_ctes(2000)} SELECT doc_id, term, {round_even('w', 6)} AS weight FROM dw",
+    "tfidf_weights": f"WITH {vocab_ctes(20_000)} SELECT doc_id, term, {round_even('w', 6)} AS weight FROM dw",
     "similar_incidents": f"""WITH {vocab_ctes(20000)},
 qs AS (SELECT item_id, {clean('text')} AS body FROM benchmark), qw AS MATERIALIZED (SELECT item_id, {terms_list('body')} AS w FROM qs),
 qt AS (SELECT item_id, unnest(w) AS term FROM qw UNION ALL SELECT item_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM qw),
