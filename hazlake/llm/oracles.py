@@ -118,7 +118,71 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AN
   CASE WHEN payload_bytes >= 100 AND page_id > first THEN first END AS refers_to FROM f"""
 
 
+#: A document's checksum, bit by bit: the remainder of the reflected polynomial 0xEDB88320.
+CRC32 = """xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({}, ''), lambda ch: ascii(ch)::BIGINT)),
+  lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, (x & 1) * 3988292384::BIGINT))))"""
+
+
+def _repair() -> str:
+    """Per state the least (cost, edits) so far, written as one string, row after row; then the edits read back."""
+    add = lambda s, cost, letter: f"printf('%08d', left({s}, 8)::BIGINT + {cost}) || substr({s}, 9) || '{letter}'"
+    put = lambda s, cost, letter: f"CASE WHEN {s} IS NOT NULL THEN {add(s, cost, letter)} END"
+    said = lambda role, s, letter, cost: f"CASE WHEN fault NOT IN ('blank', 'duplicate'){role} THEN {put(s, cost, letter)} END"
+    keep = lambda ini, s: said(f" AND ini = '{ini}'", s, "K", "late")
+    turn = lambda s: said("", s, "R", "3 + late")
+    delete = lambda s: put(s, 4, "D")
+    return rf"""
+WITH RECURSIVE k AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name FROM conversations),
+c AS MATERIALIZED (SELECT *, {CRC32.format('name')} % 20 AS f FROM k),
+d AS (
+  SELECT conv_id, turn, CASE f WHEN 4 THEN 'user' ELSE role END AS role, CASE f WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM c, unnest(range(CASE f WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copies(t)),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM d),
+r AS MATERIALIZED (
+  SELECT *, left(role, 1) AS ini, CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'blank'
+    WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+    WHEN NOT regexp_matches(text, '[.!?][ 	-]*$') THEN 'truncated' ELSE '' END AS fault,
+    lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS pair FROM o),
+walk AS (
+  SELECT DISTINCT conv_id, 0::BIGINT AS i, '00000000' AS s0, NULL::VARCHAR AS s1, NULL::VARCHAR AS s2, NULL::VARCHAR AS s3 FROM conversations
+  UNION ALL
+  SELECT conv_id, i, {delete('s0')}, least({delete('s1')}, {keep('s', 's0')}),
+    least({delete('s2')}, {keep('u', 's0')}, {keep('u', 's1')}, {keep('u', 's3')}, {turn('s0')}, {turn('s1')}, {turn('s3')}),
+    least({delete('s3')}, {keep('a', 's2')}, {turn('s2')})
+  FROM (
+    SELECT w.conv_id, r.i, r.ini, r.fault, CASE r.fault WHEN 'truncated' THEN 3 ELSE 0 END AS late, s0, s1, s2, least(s3, {put('s2', 3, 'I')}) AS s3
+    FROM (SELECT * REPLACE (least(s2, {put('s0', 3, 'I')}, {put('s1', 3, 'I')}, {put('s3', 3, 'I')}) AS s2) FROM walk) w
+    JOIN r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.i = w.i + 1)),
+last AS (SELECT conv_id, max_by(struct_pack(s0, s1, s2, s3), i) AS s FROM walk GROUP BY conv_id),
+e AS (SELECT conv_id, s.s0 AS s0, least(s.s3, {put('least(s.s2, ' + put('s.s0', 3, 'I') + ', ' + put('s.s1', 3, 'I') + ')', 3, 'I')}) AS s3 FROM last),
+done AS (SELECT conv_id, left(least(s0, s3), 8)::BIGINT AS cost, substr(least(s0, s3), 9) AS audit FROM e),
+l AS (SELECT conv_id, p, substr(audit, p, 1) AS letter, p - len(replace(left(audit, p), 'I', '')) AS inserted, len(replace(left(audit, p), 'D', '')) AS said,
+  len(replace(audit, 'D', '')) % 2 AS odd FROM done, unnest(range(1, len(audit) + 1)) AS place(p)),
+lines AS (
+  SELECT l.conv_id, string_agg(CASE WHEN letter = 'K' THEN r.role WHEN (said - odd) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' ||
+    CASE WHEN letter = 'I' THEN '' ELSE r.text END, chr(10) ORDER BY p) AS repaired
+  FROM l LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM l.conv_id AND r.i = p - inserted AND letter <> 'I' WHERE letter <> 'D' GROUP BY l.conv_id),
+n AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank,
+    count(*) FILTER (WHERE fault = 'duplicate') AS duplicate, count(*) FILTER (WHERE fault = 'truncated') AS truncated,
+    count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY conv_id)
+SELECT done.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, cost, audit, sha256(coalesce(repaired, '')) AS repaired_sha256
+FROM done LEFT JOIN lines ON lines.conv_id IS NOT DISTINCT FROM done.conv_id LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM done.conv_id"""
+
+
+NEIGHBOURS = """
+WITH v AS (
+  SELECT row_number() OVER () AS r, vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+d AS (SELECT q.r, q.vec_id AS query_id, o.vec_id, list_distance(q.e, o.e) AS score FROM v AS q JOIN v AS o ON q.r <> o.r AND len(q.e) = len(o.e) WHERE q.vec_id % 100 = 0)
+SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score, vec_id) AS rank FROM d) WHERE rank <= 10"""
+
+
 ORACLES = {
+    "op11_conversation_repair": _repair(),
+    "op13_neighbours": NEIGHBOURS,
     "op7_warc": WARC,
     "op8_chat_formatting": CHAT,
     "op4_line_dedup": LINES,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hazlake.llm import chat, decontaminate, language, lines, minhash, mixing, quality, secrets, substring, warc
+from hazlake.llm import chat, decontaminate, language, lines, minhash, mixing, neighbours, periodic, quality, repair, secrets, substring, warc
 from hazlake.llm.common import folder, table
 
 
@@ -51,6 +51,18 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.report(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.report(table(spark, sf_dir, "conversations"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.report(table(spark, sf_dir, "documents"))
+
+
+def op13_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.report(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op7_warc": op7_warc,
     "op9_language_id": op9_language_id,
@@ -62,4 +74,7 @@ QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op10_minhash": op10_minhash,
     "op6_quality_rules": op6_quality_rules,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_neighbours": op13_neighbours,
 }
