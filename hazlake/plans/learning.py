@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from hazlake.functions.lookups import LEVELS
 from hazlake.functions.numbers import round_even
 from hazlake.functions.text import clean
 from hazlake.operators import metrics, severity, splits, tfidf
@@ -65,7 +66,8 @@ def overall_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _unique(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return deduplicate(normalize(derived(spark, sf_dir, "raw_reports")))
+    """The unique reports, written once: splits and folds read them several times."""
+    return cut(deduplicate(normalize(derived(spark, sf_dir, "raw_reports"))))
 
 
 def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,37 +83,34 @@ def split_leakage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked.agg(F.count("*").alias("leaked_texts"))
 
 
-QUICK = {
-    "Multinomial Naive Bayes": severity.Candidate("bayes", balanced=False, sublinear=False, max_features=2000),
-    "Logistic Regression (Balanced)": severity.Candidate("logistic", max_features=2000),
-}
-
-
-def severity_model_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cross-validated comparison of the two quick learners, with the winner marked."""
-    dev = severity.with_model_text(_unique(spark, sf_dir))
-    table = metrics.cross_validation_table(severity.compare_models(dev, QUICK, folds=2, max_iter=5))
-    best = metrics.best_model(table).scalar()
-    return table.withColumn("is_best", F.col("model") == best)
+def _split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """row_index, severity_level, split, model_text of the unique reports."""
+    rows = severity.with_model_text(splits.stratified_split(_unique(spark, sf_dir)))
+    return cut(rows.select("row_index", "severity_level", "split", "model_text"))
 
 
 def severity_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Level and class probabilities of every report from a model fitted on the training split."""
-    rows = cut(severity.with_model_text(splits.stratified_split(_unique(spark, sf_dir))))
-    model = severity.fit_severity(
-        rows.filter("split <> 'test'"), QUICK["Logistic Regression (Balanced)"], max_iter=10
-    )
-    judged = model.predict(rows.select("row_index", "severity_level", "split", "model_text"))
-    return judged.select(
+    """Level and class probabilities of every report by Naive Bayes, fitted on all rows outside the test split."""
+    rows = _split(spark, sf_dir)
+    judged = severity.bayes_predictions(rows.withColumn("part", F.when(F.col("split") == "test", 0).otherwise(1)), "row_index")
+    out = rows.select("row_index", "split", "severity_level").join(judged, "row_index")
+    return out.select(
         "row_index", "split", "severity_level", "raw_level", "raw_confidence",
-        *[F.col("class_probabilities")[v].alias(f"p_{v.lower()}") for v in model.labels],
+        *[F.col("class_probabilities")[v].alias(f"p_{v.lower()}") for v in LEVELS],
     )
 
 
+def bayes_cross_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five-fold cross-validation of Naive Bayes over all terms, on the rows outside the test split."""
+    dev = _split(spark, sf_dir).filter("split <> 'test'")
+    folded = splits.stratified_folds(dev, 5, text="model_text")
+    return metrics.cross_validation_table(severity.bayes_folds(folded.select("row_index", "severity_level", "model_text", "fold"), "row_index"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         tfidf_weights, similar_incidents, confusion_matrix, confusion_wide, per_class_metrics, per_class_report,
-        overall_metrics, stratified_split, stratified_folds, split_leakage, severity_model_cv, severity_predictions,
+        overall_metrics, stratified_split, stratified_folds, split_leakage, severity_predictions, bayes_cross_validation,
     )
 }

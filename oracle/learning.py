@@ -47,7 +47,57 @@ def quota(name: str, counts: str, draws: str) -> str:
 {name} AS (SELECT severity_level, CAST(f + CASE WHEN o <= rest THEN 1 ELSE 0 END AS BIGINT) AS k FROM {name}_r)"""
 
 
+SPLIT = f"""{UNIQUE}, n AS (SELECT severity_level, count(*) AS n FROM rk GROUP BY 1),
+{quota('t', 'n', '(SELECT ceil(0.15::DOUBLE * sum(n)) FROM n)')},
+n2 AS (SELECT severity_level, n - k AS n FROM n JOIN t USING (severity_level)),
+{quota('v', 'n2', '(SELECT ceil(0.15::DOUBLE / (1 - 0.15::DOUBLE) * sum(n)) FROM n2)')},
+split AS (SELECT row_index, severity_level, CASE WHEN r <= t.k THEN 'test' WHEN r <= t.k + v.k THEN 'val' ELSE 'train' END AS split
+  FROM rk JOIN t USING (severity_level) JOIN v USING (severity_level)),
+told AS (SELECT row_index, severity_level, split, 'Description: ' || cleaned_text || ' Industry Sector: ' || industry_sector || ' Worker Type: ' || worker_type ||
+  ' Gender: ' || gender AS txt FROM split JOIN uniq USING (row_index, severity_level))"""
+
+
+def bayes_ctes(models: str, labels: tuple = LEVELS) -> str:
+    """CTE ``proba(m, row_index, part, label, p)`` from ``rows(row_index, severity_level, part, txt)``; model m never sees part m."""
+    return f"""m(m) AS (VALUES {models}), lv(label) AS (SELECT label FROM {GRID} AS g(label, pos)),
+ww AS MATERIALIZED (SELECT row_index, part, severity_level AS label, {terms_list('txt')} AS w FROM rows),
+tt AS (SELECT row_index, part, label, unnest(w) AS term FROM ww UNION ALL
+  SELECT row_index, part, label, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM ww),
+tc AS MATERIALIZED (SELECT row_index, part, label, term, count(*) AS c FROM tt GROUP BY ALL),
+sz AS (SELECT m, count(*) AS n FROM m JOIN rows ON part <> m GROUP BY m),
+df AS MATERIALIZED (SELECT m, term, count(*) AS df FROM m JOIN tc ON part <> m GROUP BY ALL),
+xx AS (SELECT m, row_index, part, label, term, c * (ln((1 + n)::DOUBLE / (1 + df)::DOUBLE) + 1) AS x FROM tc JOIN df USING (term) JOIN sz USING (m)),
+xw AS MATERIALIZED (SELECT *, x / sqrt(sum(x * x) OVER (PARTITION BY m, row_index)) AS w FROM xx),
+cs AS MATERIALIZED (SELECT m, label, term, sum(w) AS s FROM xw WHERE part <> m GROUP BY ALL),
+vs AS (SELECT m, count(*) AS v FROM df GROUP BY m),
+tot AS (SELECT m, label, sum(s) + 0.1::DOUBLE * any_value(v) AS b FROM cs JOIN vs USING (m) GROUP BY m, label),
+pri AS (SELECT m, severity_level AS label, ln(count(*)::DOUBLE / any_value(n)::DOUBLE) AS pr FROM m JOIN rows ON part <> m JOIN sz USING (m) GROUP BY m, severity_level),
+ll AS (SELECT xw.m, row_index, tot.label, sum(w * (ln(coalesce(s, 0.0::DOUBLE) + 0.1::DOUBLE) - ln(b))) AS l
+  FROM xw JOIN tot ON tot.m = xw.m LEFT JOIN cs ON cs.m = xw.m AND cs.label = tot.label AND cs.term = xw.term GROUP BY ALL),
+jl AS (SELECT pri.m, rows.row_index, part, severity_level, pri.label, pr + coalesce(l, 0.0::DOUBLE) AS j
+  FROM rows CROSS JOIN pri LEFT JOIN ll ON ll.m = pri.m AND ll.row_index = rows.row_index AND ll.label = pri.label),
+ex AS (SELECT *, exp(j - max(j) OVER (PARTITION BY m, row_index)) AS e FROM jl),
+proba AS (SELECT m, row_index, part, severity_level, label, e / sum(e) OVER (PARTITION BY m, row_index) AS p FROM ex),
+told_level AS (SELECT m, row_index, part, severity_level, max(p) AS p, first(label ORDER BY p DESC, label) AS raw_level FROM proba GROUP BY ALL)"""
+
+
+CV_METRICS = f"""cells AS (SELECT m, a.label, count(*) FILTER (WHERE severity_level = a.label AND raw_level = a.label)::DOUBLE AS tp,
+  count(*) FILTER (WHERE severity_level <> a.label AND raw_level = a.label)::DOUBLE AS fp, count(*) FILTER (WHERE severity_level = a.label AND raw_level <> a.label)::DOUBLE AS fn
+  FROM pred CROSS JOIN lv a GROUP BY m, a.label),
+sc AS (SELECT *, tp + fn AS sup, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS p, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS r FROM cells WHERE tp + fn + fp > 0),
+f1 AS (SELECT *, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END AS f FROM sc),
+fold AS (SELECT m, sum(tp) / sum(sup) AS accuracy, avg(f) AS macro_f1_score, sum(f * sup) / sum(sup) AS weighted_f1_score, avg(p) AS macro_precision, avg(r) AS macro_recall FROM f1 GROUP BY m),
+mean AS (SELECT {', '.join(f'avg({c}) AS {c}' for c in ('accuracy', 'macro_f1_score', 'weighted_f1_score', 'macro_precision', 'macro_recall'))} FROM fold)"""
+
 ORACLES = {
+    "severity_predictions": f"""WITH {SPLIT}, rows AS (SELECT *, CASE WHEN split = 'test' THEN 0 ELSE 1 END AS part FROM told), {bayes_ctes('(0)')}
+SELECT t.row_index, split, t.severity_level, raw_level, {round_even('t.p', 3)} AS raw_confidence,
+  {', '.join(f"(SELECT {round_even('p', 3)} FROM proba WHERE proba.row_index = t.row_index AND label = '{lv}') AS p_{lv.lower()}" for lv in LEVELS)}
+FROM told_level t JOIN told USING (row_index)""",
+    "bayes_cross_validation": f"""WITH {SPLIT}, rows AS (
+  SELECT row_index, severity_level, txt, CAST(row_number() OVER (PARTITION BY severity_level ORDER BY sha256('42|' || txt)) % 5 AS INT) AS part FROM told WHERE split <> 'test'),
+{bayes_ctes('(0), (1), (2), (3), (4)')}, pred AS (SELECT * FROM told_level WHERE part = m), {CV_METRICS}
+SELECT 'Multinomial Naive Bayes' AS model, {', '.join(f"{round_even(c, 4)} AS dev_cv_{c}" for c in ('accuracy', 'macro_f1_score', 'weighted_f1_score', 'macro_precision', 'macro_recall'))} FROM mean""",
     "tfidf_weights": f"WITH {vocab_ctes(20_000)} SELECT doc_id, term, {round_even('w', 6)} AS weight FROM dw",
     "similar_incidents": f"""WITH {vocab_ctes(20000)},
 qs AS (SELECT item_id, {clean('text')} AS body FROM benchmark), qw AS MATERIALIZED (SELECT item_id, {terms_list('body')} AS w FROM qs),
