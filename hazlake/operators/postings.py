@@ -45,7 +45,7 @@ def with_counts(df: DataFrame, text: str, chars: bool = False, stop_words: Seque
     if not chars:
         return df
     df = _space(df, char_terms(F.col(text)), "char", "_chars")
-    return once(df, counts=F.concat("counts", "_chars")).drop("_chars")
+    return df.withColumn("counts", F.concat("counts", "_chars")).drop("_chars")
 
 
 def term_usage(corpus: DataFrame, models: Sequence[int]) -> DataFrame:
@@ -96,18 +96,18 @@ def per_model(values: dict[int, object], default: object = None) -> Column:
 
 
 def index_terms(usage: DataFrame, limits: dict[str, int], sizes: dict[int, int]) -> DataFrame:
-    """(model, space, term, i, idf) for vocabularies with limits: word places first, then those of characters."""
+    """(model, space, term, i, df, idf) for vocabularies with limits: word places first, then those of characters."""
     out, offset = None, 0
     for space, limit in limits.items():
         chosen = top_terms(usage.filter(F.col("space") == space), limit)
         place = F.row_number().over(Window.partitionBy("model").orderBy("term")) - 1 + offset
-        chosen = chosen.select("model", "space", "term", place.alias("i"), idf(F.col("df"), per_model(sizes)).alias("idf"))
+        chosen = chosen.select("model", "space", "term", place.alias("i"), "df", idf(F.col("df"), per_model(sizes)).alias("idf"))
         out, offset = chosen if out is None else out.unionByName(chosen), offset + limit
     return out
 
 
 def features(corpus: DataFrame, vocabulary: DataFrame, models: Sequence[int], sublinear: bool = True) -> DataFrame:
-    """(model, key, label, part, idx, val): each row under each model's vocabulary; each space's part has length one.
+    """(model, key, the corpus's other columns, idx, val): each row under each model's vocabulary; each space's part has length one.
 
     The vocabulary is bounded by its limits times the models, and broadcast. Rows stay where their key places them.
     """
@@ -117,16 +117,17 @@ def features(corpus: DataFrame, vocabulary: DataFrame, models: Sequence[int], su
     none = spark.range(1).select(F.lit("").alias("space"), F.lit("").alias("term"), always.alias("uses"))
     known = vocabulary.groupBy("space", "term").agg(F.collect_list(entry).alias("uses")).unionByName(none)
     mark = F.array(F.struct(F.lit("").alias("space"), F.lit("").alias("term"), F.lit(1).alias("n")))
-    placed = corpus.repartition("key").select("key", "label", "part", F.inline(F.concat("counts", mark)))
-    hits = placed.join(F.broadcast(known), ["space", "term"]).select("key", "label", "part", "space", "n", F.inline("uses"))
+    carried = [c for c in corpus.columns if c not in ("key", "counts")]
+    placed = corpus.repartition("key").select("key", *carried, F.inline(F.concat("counts", mark)))
+    hits = placed.join(F.broadcast(known), ["space", "term"]).select("key", *carried, "space", "n", F.inline("uses"))
     tf = (1 + F.log(F.col("n").cast("double"))) if sublinear else F.col("n").cast("double")
     each = F.struct("i", "space", (tf * F.col("idf")).alias("x"))
-    rows = hits.groupBy("key", "model").agg(F.first("label").alias("label"), F.first("part").alias("part"), F.sort_array(F.collect_list(each)).alias("all"))
+    rows = hits.groupBy("key", "model").agg(*[F.first(c).alias(c) for c in carried], F.sort_array(F.collect_list(each)).alias("all"))
     rows = once(rows, _in=F.filter("all", lambda e: e["i"] >= 0))
     norm = lambda s: F.sqrt(F.aggregate("_in", F.lit(0.0), lambda a, e: a + F.when(e["space"] == s, e["x"] * e["x"]).otherwise(0.0)))
     rows = once(rows, _word=norm("word"), _char=norm("char"))
     val = F.transform("_in", lambda e: e["x"] / F.when(e["space"] == "word", F.col("_word")).otherwise(F.col("_char")))
-    return rows.select("model", "key", "label", "part", F.transform("_in", lambda e: e["i"]).alias("idx"), val.alias("val"))
+    return rows.select("model", "key", *carried, F.transform("_in", lambda e: e["i"]).alias("idx"), val.alias("val"))
 
 
 def join_terms(rows: DataFrame, table: DataFrame, on: Sequence[str], uses: str, total: int) -> DataFrame:

@@ -1,58 +1,107 @@
 """Retrieval of similar past reports by cosine similarity of TF-IDF vectors.
 
-Corpus vectors are placed by document once. From there each document meets the terms of the
-queries, its products are summed and those below the threshold dropped, all in the same stage:
-only pairs that reach the threshold leave it. The best of each query are then kept per task before
-the final ranking.
+An index holds the vocabulary and the unit vectors of a corpus. A search is exact for the best ``top_n`` above a threshold.
+A query's terms are ordered from rare to frequent; what its frequent terms can add to any similarity is at most their norm,
+so documents are only met on the terms before the norm of the rest falls below a share of the query's bound. A first
+look-up of the rarest terms gives each query ``top_n`` documents, whose exact similarities raise its bound from the
+threshold. In the second, sums that stay below the bound even with the norm of the rest are dropped where they are made:
+documents are placed by key once, all their products are summed there, and only pairs that can reach the bound leave the
+stage. These are verified on whole vectors in the row. Queries are asked in blocks whose terms are broadcast, so a term
+found in every document is spread like the documents.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from hazlake.functions.ids import incident_ref
+from hazlake.functions.mapping import once
 from hazlake.functions.numbers import clamp, round_even
-from hazlake.operators.tfidf import Vocabulary, fit_vocabulary, vectorize, with_terms
+from hazlake.operators import postings
+from hazlake.session import cut
 
 METHOD = "TF-IDF + Cosine Similarity (Sublinear TF, n-gram 1-2)"
-BROADCAST_TERMS = 1_000_000  # query terms (a few tens of bytes each) one task may hold
-HOT_SPLITS = 32
-
-
-def _postings(vectors: DataFrame, key: str, weight: str) -> DataFrame:
-    return vectors.select(key, F.explode("vector").alias("t")).select(
-        key, F.col("t.i").alias("i"), F.col("t.w").alias(weight)
-    )
-
-
-def _few(df: DataFrame, limit: int) -> bool:
-    return df.limit(limit + 1).count() <= limit
-
-
-def cosine_pairs(
-    queries: DataFrame, corpus: DataFrame, threshold: float, query_key: str, doc_key: str, broadcast_terms: int = BROADCAST_TERMS
-) -> DataFrame:
-    """``(query, doc, similarity)`` for pairs at or above the threshold.
-
-    Both inputs carry ``vector``. A query set whose terms fit is sent to every task. A larger one
-    is joined by term, with each term's documents dealt over several tasks, so that a term found
-    in a third of all documents is not one task's work.
-    """
-    asked = _postings(queries, query_key, "wq")
-    if _few(asked, broadcast_terms):
-        # placed by document, the sums below need no further shuffle
-        placed = corpus.select(doc_key, "vector").repartition(doc_key)
-        joined = _postings(placed, doc_key, "wd").join(F.broadcast(asked), "i")
-    else:
-        dealt = _postings(corpus, doc_key, "wd").withColumn(
-            "part", F.pmod(F.xxhash64(doc_key), F.lit(HOT_SPLITS)).cast("int")
-        )
-        copies = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(HOT_SPLITS - 1))))
-        joined = dealt.join(copies, ["i", "part"])
-    scored = joined.groupBy(doc_key, query_key).agg(F.sum(F.col("wq") * F.col("wd")).alias("similarity"))
-    return scored.withColumn("similarity", clamp(F.col("similarity"), 0.0, 1.0)).filter(
-        F.col("similarity") >= threshold
-    )
+#: Terms of queries in one block (some 40 bytes each, broadcast).
+BLOCK = 1_000_000
+#: The first look-up's terms hold all but this norm of a query; the second's all but this share of its bound.
+SEED, REST = 0.9, 0.25
+#: Of summing in another order, and of ranks by similarity to six places.
+SLACK, SAME = 1e-9, 1e-6
+
+
+@dataclass(frozen=True)
+class Index:
+    """vocabulary (term, i, df, idf), bounded by its limit, and vectors (key, idx, val) of length one."""
+
+    vocabulary: DataFrame
+    vectors: DataFrame
+
+
+def _corpus(df: DataFrame, key: str, text: str) -> DataFrame:
+    named = df.select(F.col(key).alias("key"), F.lit(None).cast("string").alias("label"), F.lit(1).alias("part"), F.col(text).alias("_text"))
+    return postings.with_counts(named, "_text").drop("_text")
+
+
+def build_index(corpus: DataFrame, doc_text: str = "cleaned_text", doc_key: str = "doc_id", max_features: int = 20_000) -> Index:
+    """Terms are counted once a row; texts are expected to be cleaned, and keys to be unique."""
+    counted = cut(_corpus(corpus, doc_key, doc_text))
+    sizes = postings.training_rows(counted, [0])
+    vocabulary = cut(postings.index_terms(cut(postings.term_usage(counted, [0])), {"word": max_features}, sizes))
+    return Index(vocabulary, cut(postings.features(counted, vocabulary, [0]).select("key", "idx", "val")))
+
+
+def _asked(queries: DataFrame, index: Index) -> DataFrame:
+    """query, i, wq, df, rest: the norm of this term and all more frequent ones of the query."""
+    pairs = F.zip_with("idx", "val", lambda i, w: F.struct(i.alias("i"), w.alias("wq")))
+    terms = queries.select(F.col("key").alias("query"), F.inline(pairs))
+    known = terms.join(F.broadcast(index.vocabulary.select("i", "df")), "i")
+    frequent_first = Window.partitionBy("query").orderBy(F.desc("df"), "i")
+    return known.withColumn("rest", F.sqrt(F.sum(F.col("wq") * F.col("wq")).over(frequent_first)))
+
+
+def _open(asked: DataFrame, index: Index, blocks: int) -> DataFrame:
+    """query, doc, partial, of the pairs whose sum over the asked terms, with ``left``, can reach the query's ``bound``."""
+    pairs = F.zip_with("idx", "val", lambda i, w: F.struct(i.alias("i"), w.alias("wd")))
+    placed = index.vectors.repartition("key").select(F.col("key").alias("doc"), F.inline(pairs))
+    found = None
+    for block in range(blocks):
+        own = asked.filter(F.pmod(F.xxhash64("query"), F.lit(blocks)) == block).select("query", "i", "wq", "bound", "left")
+        sums = placed.join(F.broadcast(own), "i").groupBy("doc", "query").agg(
+            F.sum(F.col("wq") * F.col("wd")).alias("partial"), F.first("bound").alias("bound"), F.first("left").alias("left"))
+        sums = sums.filter(F.col("partial") + F.col("left") >= F.col("bound")).select("query", "doc", "partial")
+        found = sums if found is None else found.unionByName(sums)
+    return found
+
+
+def _exact(pairs: DataFrame, queries: DataFrame, index: Index) -> DataFrame:
+    """query, doc, similarity of the pairs, on whole vectors."""
+    docs = index.vectors.select(F.col("key").alias("doc"), "idx", "val")
+    asked = queries.select(F.col("key").alias("query"), F.col("idx").alias("qi"), F.col("val").alias("qw"))
+    read = pairs.select("query", "doc").join(asked, "query").join(docs, "doc")
+    both = F.zip_with("idx", "val", lambda i, w: F.struct(i.alias("i"), w.alias("w")))
+    read = once(read, _shared=F.filter(both, lambda e: F.array_contains("qi", e["i"])))
+    dot = F.aggregate("_shared", F.lit(0.0), lambda a, e: a + e["w"] * F.get("qw", F.array_position("qi", e["i"]).cast("int") - 1))
+    return once(read, similarity=clamp(dot, 0.0, 1.0)).select("query", "doc", "similarity")
+
+
+def search(index: Index, queries: DataFrame, query_text: str = "report_text", query_key: str = "query_id", top_n: int = 3, threshold: float = 0.10) -> DataFrame:
+    """query, doc, similarity, rank: the ``top_n`` best of each query among all documents at the threshold or above."""
+    vectors = cut(postings.features(_corpus(queries, query_key, query_text), index.vocabulary, [0]).select("key", "idx", "val"))
+    asked = cut(_asked(vectors, index))
+    blocks = max(1, -(-asked.count() // BLOCK))
+    seeds = asked.filter(F.col("rest") >= SEED).withColumns({"bound": F.lit(0.0), "left": F.lit(0.0)})
+    first = top_matches(_open(seeds, index, blocks).withColumnRenamed("partial", "similarity"), top_n, "query", "doc")
+    found = _exact(first, vectors, index).groupBy("query").agg(F.count("*").alias("n"), F.min("similarity").alias("last"))
+    raised = F.when(F.col("n") >= top_n, F.col("last") - SAME)
+    bounds = found.select("query", F.greatest(F.lit(threshold), raised).alias("bound"))
+    bounded = asked.join(bounds, "query", "left").withColumn("bound", F.coalesce("bound", F.lit(threshold)) - SLACK)
+    kept = F.col("rest") >= REST * F.col("bound")
+    left = F.coalesce(F.max(F.when(~kept, F.col("rest"))).over(Window.partitionBy("query")), F.lit(0.0))
+    bounded = cut(bounded.withColumn("left", left).filter(kept))
+    exact = _exact(_open(bounded, index, blocks), vectors, index).filter(F.col("similarity") >= threshold)
+    return top_matches(exact, top_n, "query", "doc")
 
 
 def top_matches(pairs: DataFrame, top_n: int, query_key: str, doc_key: str) -> DataFrame:
@@ -72,21 +121,14 @@ def find_similar(
     top_n: int = 3,
     threshold: float = 0.10,
     max_features: int = 20_000,
-    vocabulary: Vocabulary | None = None,
-    **options,
+    index: Index | None = None,
 ) -> DataFrame:
     """Most similar corpus reports for a set of queries. Blank or unknown queries match nothing.
 
-    Texts are expected to be cleaned. ``vocabulary`` reuses the terms of an earlier fit.
+    Texts are expected to be cleaned. ``index`` reuses an earlier one.
     """
-    docs = with_terms(corpus.select(doc_key, doc_text), doc_text)
-    if vocabulary is None:
-        vocabulary = fit_vocabulary(docs, max_features=max_features)
-    asked = with_terms(queries.select(query_key, query_text), query_text)
-    pairs = cosine_pairs(
-        vectorize(asked, vocabulary), vectorize(docs, vocabulary), threshold, query_key, doc_key, **options
-    )
-    return top_matches(pairs, top_n, query_key, doc_key)
+    index = index or build_index(corpus, doc_text, doc_key, max_features)
+    return search(index, queries, query_text, query_key, top_n, threshold).withColumnsRenamed({"query": query_key, "doc": doc_key})
 
 
 def incident_records(matches: DataFrame, corpus: DataFrame, doc_key: str = "doc_id") -> DataFrame:

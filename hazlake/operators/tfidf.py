@@ -1,27 +1,24 @@
 """TF-IDF over words and word pairs.
 
 Weights follow the usual definition: tf = 1 + ln(count), idf = ln((1 + n) / (1 + df)) + 1, rows
-scaled to length one. Counting and weighting happen inside each document row; what is shuffled is
-one partial word count per task and term.
+scaled to length one. Here a row is weighed inside the row, by a vocabulary with a limit; how
+vocabularies are counted and features of many models made as tables is in ``postings``.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import lru_cache
 
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from hazlake.functions.mapping import once
 from hazlake.functions.stopwords import ENGLISH
 from hazlake.functions.text import tokens, with_bigrams
 
-MAX_VOCABULARY = 200_000  # terms that may be held by the driver and every task
-
 
 def char_terms(text: Column, low: int = 3, high: int = 5) -> Column:
     """Character n-grams of each word padded by one blank on both sides; short words count once."""
@@ -56,40 +53,17 @@ def _counter(application: str, terms: tuple[str, ...], column: str) -> CountVect
     return CountVectorizerModel.from_vocabulary(list(terms), column, "_counts")
 
 
-def fit_vocabulary(docs: DataFrame, terms: str = "terms", max_features: int = 20_000) -> Vocabulary:
-    """The most frequent terms of the corpus, ties by name, and in how many documents each is."""
-    if max_features > MAX_VOCABULARY:
-        raise ValueError(f"at most {MAX_VOCABULARY} terms fit into every task")
-    # sorting a document's terms shows where each first occurs, so one pass counts both the
-    # occurrences and the documents of a term
-    ordered = once(docs, _sorted=F.sort_array(terms))
-    marked = F.transform(
-        "_sorted",
-        lambda t, i: F.struct(
-            t.alias("term"), ((i == 0) | (F.get("_sorted", i - 1) != t)).alias("first")
-        ),
-    )
-    counts = (
-        ordered.select(F.explode(marked).alias("t"))
-        .groupBy("t.term")
-        .agg(F.count("*").alias("n"), F.count_if("t.first").alias("df"))
-    )
-    top = counts.orderBy(F.desc("n"), "term").limit(max_features).collect()
-    total = docs.count()
-    frequency = {r["term"]: r["df"] for r in top}
-    chosen = sorted(frequency)
-    idf = tuple(math.log((1 + total) / (1 + frequency[t])) + 1 for t in chosen)
-    return Vocabulary(tuple(chosen), idf, total)
+def counter(spark: SparkSession, terms: tuple[str, ...], column: str) -> CountVectorizerModel:
+    """Counts of a bounded vocabulary's terms as a sparse vector ``_counts``."""
+    return _counter(spark.sparkContext.applicationId, terms, column)
 
 
 def vectorize(docs: DataFrame, vocabulary: Vocabulary, terms: str = "terms", sublinear: bool = True) -> DataFrame:
     """Add ``vector``: array of ``(i, w)`` scaled to length one; unknown terms are dropped."""
-    application = docs.sparkSession.sparkContext.applicationId
-    counter = _counter(application, vocabulary.terms, terms)
     scaler = ElementwiseProduct(
         scalingVec=Vectors.dense(vocabulary.idf), inputCol="_counts", outputCol="_scaled"
     )
-    counted = scaler.transform(counter.transform(docs))
+    counted = scaler.transform(counter(docs.sparkSession, vocabulary.terms, terms).transform(docs))
     counts, scaled = F.unwrap_udt("_counts"), F.unwrap_udt("_scaled")
     weights = scaled["values"]
     if sublinear:
@@ -100,15 +74,6 @@ def vectorize(docs: DataFrame, vocabulary: Vocabulary, terms: str = "terms", sub
     return once(counted, vector=unit).select(*docs.columns, "vector")
 
 
-def term_weights(vectors: DataFrame, vocabulary: Vocabulary, key: str) -> DataFrame:
-    """Long form ``(key, term, weight)``."""
-    spark = vectors.sparkSession
-    names = spark.createDataFrame(list(enumerate(vocabulary.terms)), "i int, term string")
-    rows = vectors.select(key, F.explode("vector").alias("t")).select(key, "t.i", "t.w")
-    # the names are the vocabulary, bounded by max_features
-    return rows.join(F.broadcast(names), "i").select(key, "term", F.col("w").alias("weight"))
-
-
 def with_terms(df: DataFrame, text: str, out: str = "terms", stop_words: Sequence[str] = ENGLISH) -> DataFrame:
     """Add the words of a text without stop words, then its pairs of neighbouring words."""
     # the words are a column of their own: they are used several times below

@@ -7,10 +7,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from hazlake.functions.lookups import LEVELS
 from hazlake.functions.numbers import round_even
 from hazlake.functions.text import clean
-from hazlake.operators import metrics, severity, splits, tfidf
+from hazlake.operators import metrics, severity, splits
 from hazlake.operators.normalize import normalize
 from hazlake.operators.quality import deduplicate
-from hazlake.operators.similar import find_similar, incident_records
+from hazlake.operators.similar import build_index, find_similar, incident_records
 from hazlake.plans.derived import derived, table
 from hazlake.session import cut, spread
 
@@ -26,10 +26,12 @@ def _benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tfidf_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = tfidf.with_terms(_documents(spark, sf_dir).select("doc_id", "cleaned_text"), "cleaned_text")
-    vocabulary = tfidf.fit_vocabulary(docs)
-    weights = tfidf.term_weights(tfidf.vectorize(docs, vocabulary), vocabulary, "doc_id")
-    return weights.withColumn("weight", round_even(F.col("weight"), 6))
+    index = build_index(_documents(spark, sf_dir).select("doc_id", "cleaned_text"))
+    pairs = F.zip_with("idx", "val", lambda i, w: F.struct(i.alias("i"), w.alias("w")))
+    rows = index.vectors.select(F.col("key").alias("doc_id"), F.inline(pairs))
+    # the names are the vocabulary, bounded by its limit
+    named = rows.join(F.broadcast(index.vocabulary.select("i", "term")), "i")
+    return named.select("doc_id", "term", round_even(F.col("w"), 6).alias("weight"))
 
 
 def similar_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,10 +109,18 @@ def bayes_cross_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.cross_validation_table(severity.bayes_folds(folded.select("row_index", "severity_level", "model_text", "fold"), "row_index"))
 
 
+def severity_model_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five-fold comparison of all candidates on the rows outside the test split, with the winner marked."""
+    dev = _split(spark, sf_dir).filter("split <> 'test'")
+    table = cut(metrics.cross_validation_table(severity.compare_models(dev)))
+    best = metrics.best_model(table).scalar()
+    return table.withColumn("is_best", F.col("model") == best)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         tfidf_weights, similar_incidents, confusion_matrix, confusion_wide, per_class_metrics, per_class_report,
-        overall_metrics, stratified_split, stratified_folds, split_leakage, severity_predictions, bayes_cross_validation,
+        overall_metrics, stratified_split, stratified_folds, split_leakage, severity_predictions, bayes_cross_validation, severity_model_cv,
     )
 }

@@ -97,7 +97,7 @@ FROM told_level t JOIN told USING (row_index)""",
     "bayes_cross_validation": f"""WITH {SPLIT}, rows AS (
   SELECT row_index, severity_level, txt, CAST(row_number() OVER (PARTITION BY severity_level ORDER BY sha256('42|' || txt)) % 5 AS INT) AS part FROM told WHERE split <> 'test'),
 {bayes_ctes('(0), (1), (2), (3), (4)')}, pred AS (SELECT * FROM told_level WHERE part = m), {CV_METRICS}
-SELECT 'Multinomial Naive Bayes' AS model, {', '.join(f"{round_even(c, 4)} AS dev_cv_{c}" for c in ('accuracy', 'macro_f1_score', 'weighted_f1_score', 'macro_precision', 'macro_recall'))} FROM mean""",
+SELECT 'Naive Bayes' AS model, {', '.join(f"{round_even(c, 4)} AS dev_cv_{c}" for c in ('accuracy', 'macro_f1_score', 'weighted_f1_score', 'macro_precision', 'macro_recall'))} FROM mean""",
     "tfidf_weights": f"WITH {vocab_ctes(20_000)} SELECT doc_id, term, {round_even('w', 6)} AS weight FROM dw",
     "similar_incidents": f"""WITH {vocab_ctes(20000)},
 qs AS (SELECT item_id, {clean('text')} AS body FROM benchmark), qw AS MATERIALIZED (SELECT item_id, {terms_list('body')} AS w FROM qs),
