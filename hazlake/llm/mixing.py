@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, functions as F, Window
+from pyspark.sql import Column, DataFrame, functions as F, Window
 
 from hazlake.llm.common import doc_id_of, small, stored, with_key, words_of
 
@@ -73,6 +73,28 @@ def placed(docs: DataFrame, n_docs: int) -> DataFrame:
     return both.select("did", "th", "a.source", "size", (F.col("own") + F.col("before")).alias("start"), "place")
 
 
+def point_of(slot: Column) -> Column:
+    """slot * GOLDEN mod 2**32, in two halves that stay below 2**49."""
+    low = slot % CIRCLE
+    return (F.shiftright(low, 16) * GOLDEN % 65536 * 65536 + (low % 65536) * GOLDEN) % CIRCLE
+
+
+def _div(a: Column, b: Column, c: Column, more: Column | int = 0) -> Column:
+    """(a * b + more) div c of whole numbers, in 38 digits: a below 10**20, b below 10**17."""
+    product = a.cast("decimal(20,0)") * b.cast("decimal(17,0)")
+    return F.call_function("div", product + F.lit(more).cast("decimal(1,0)"), c.cast("decimal(20,0)"))
+
+
+def block_of(word: Column, size: Column, blocks: Column) -> Column:
+    """The block that holds a source's word: the last k with begin(k) <= word, of blocks that differ by one word at most."""
+    return _div(word + 1, blocks, size, -1)
+
+
+def begin(block: Column, size: Column, blocks: Column) -> Column:
+    """The first word of a block: block * size / blocks, rounded down."""
+    return _div(block, size, blocks)
+
+
 def cut_up(plan: DataFrame, most: int) -> DataFrame:
     """Adds blocks and slots: how many blocks a source's words make, and how many of them its target holds."""
     block = F.least(F.col("source_size").cast("double"), "target") / BLOCKS
@@ -97,7 +119,7 @@ def schedule(plan: DataFrame, n_sources: int) -> DataFrame:
     spread = ends.select("source", (F.col("to") - F.col("width")).alias("from"), "to").withColumn(
         "bin", F.explode(F.sequence(F.floor(F.col("from") / size), F.floor((F.col("to") - 1) / size))))
     spread = stored(spread, "schedule-bins")
-    slots = plan.sparkSession.range(n).select(F.col("id").alias("slot"), ((F.col("id") % CIRCLE) * GOLDEN % CIRCLE).alias("u"))
+    slots = plan.sparkSession.range(n).select(F.col("id").alias("slot"), point_of(F.col("id")).alias("u"))
     # points that wrap round the circle are told apart by their slot
     slots = ranked(slots.withColumn("point", F.struct("u", "slot")), "point", n).select("slot", F.col("rank").alias("place"))
     hit = slots.withColumn("bin", F.floor(F.col("place") / size)).join(small(spread, n_sources + bins, BROADCAST_ROWS), "bin").where("place >= from AND place < to")
@@ -127,14 +149,14 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_REP
     uses = slots.groupBy("source", "block").agg(F.count("*").alias("times"))
     rows = placed(sized, n_docs).withColumn("row", F.monotonically_increasing_id())
     rows = stored(rows, "placed")
-    # block k begins at word k * source_size / blocks, rounded down; blocks without a slot need no pieces
-    block_of = lambda word: F.expr(f"(({word} + 1) * blocks - 1) div source_size")
-    begin = lambda k: F.expr(f"({k}) * blk_size div blk_count")
+    # blocks without a slot need no pieces
+    at = lambda word: block_of(word, F.col("source_size"), F.col("blocks"))
+    start_of = lambda k: begin(k, F.col("blk_size"), F.col("blk_count"))
     spot = rows.where("size > 0").alias("a").join(cuts.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source")))
     spot = spot.select("row", "a.source", "start", (F.col("start") + F.col("size")).alias("end"), "source_size", "blocks", "slots")
-    spot = spot.withColumns({"from": block_of("start"), "to": F.least(block_of("(end - 1)"), F.least("blocks", "slots") - 1)}).where(F.col("from") <= F.col("to"))
+    spot = spot.withColumns({"from": at(F.col("start")), "to": F.least(at(F.col("end") - 1), F.least("blocks", "slots") - 1)}).where(F.col("from") <= F.col("to"))
     pieces = spot.select("row", "source", "start", "end", F.col("source_size").alias("blk_size"), F.col("blocks").alias("blk_count"), F.explode(F.sequence("from", "to")).alias("block"))
-    overlap = F.least(F.col("end"), begin("b.block + 1")) - F.greatest(F.col("start"), begin("b.block"))
+    overlap = F.least(F.col("end"), start_of(F.col("b.block") + 1)) - F.greatest(F.col("start"), start_of(F.col("b.block")))
     taken = (
         pieces.alias("a").join(uses.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.block") == F.col("b.block")))
         .groupBy("row").agg(F.sum(overlap * F.col("times")).alias("taken"))
