@@ -49,6 +49,11 @@ def with_key(docs: DataFrame, *extra: Column) -> DataFrame:
     )
 
 
+def whole_row(docs: DataFrame) -> Column:
+    """All columns as a struct ``row``, whatever their names hold (dots, backquotes, names that others have)."""
+    return F.struct(*[docs["`" + c.replace("`", "``") + "`"] for c in docs.columns]).alias("row")
+
+
 def doc_id_of(column: Column) -> Column:
     return F.when(column != NO_ID, column)
 

@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from hazlake.llm.common import doc_id_of, lower_az, small, stored, text_of, with_key
+from hazlake.llm.common import doc_id_of, lower_az, small, stored, text_of, whole_row, with_key
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 13
@@ -23,7 +23,10 @@ BROADCAST_ROWS = 200_000
 
 
 def item_words(text: Column) -> Column:
-    return F.regexp_extract_all(lower_az(text_of(text)), F.lit(WORD), F.lit(0))
+    whole = text_of(text)
+    # a text without other letters is lowered as a whole, which is much cheaper
+    low = F.when(F.length(whole) == F.octet_length(whole), F.lower(whole)).otherwise(lower_az(whole))
+    return F.regexp_extract_all(low, F.lit(WORD), F.lit(0))
 
 
 def windows(items: DataFrame, size: int = WINDOW) -> DataFrame:
@@ -51,17 +54,26 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> Data
     """Per row of documents: did, th, n_words, n_hit, items (sorted ids), n_rows."""
     split = with_key(docs).select("did", "th", item_words(F.col("text")).alias("w"))
     keyed, n = keyed_windows(split.select(F.explode("w").alias("word")), items, size)
-    spots = split.select("did", "th", "w", F.posexplode("w").alias("pos", "word"))
-    start = F.col("pos") - F.col("at")
-    hits = (
-        spots.join(small(keyed, n, BROADCAST_ROWS), "word")
-        .where((start >= 0) & (start + F.col("len") <= F.size("w")))
-        .where(F.slice("w", start + 1, F.col("len")) == F.col("win"))
-        .select("did", "th", F.lit(0).alias("n"), F.lit(0).alias("n_words"), F.struct(start.alias("s"), (start + F.col("len")).alias("e")).alias("span"), "items")
-    )
-    none = split.select("did", "th", F.lit(1).alias("n"), F.size("w").alias("n_words"),
-                        F.lit(None).cast("struct<s:int,e:int>").alias("span"), F.lit(None).cast("array<string>").alias("items"))
-    per = none.unionByName(hits).groupBy("did", "th").agg(
+    # behind its words each document has an empty one, which no text has: it brings the document's own row in the same pass
+    none = keyed.sparkSession.range(1).select(
+        F.lit(None).cast("array<string>").alias("win"), F.lit(None).cast("array<string>").alias("items"), F.lit(0).alias("len"), F.lit("").alias("word"), F.lit(0).alias("at"))
+    keyed = keyed.unionByName(none)
+    span = F.struct(F.col("start").alias("s"), (F.col("start") + F.col("len")).alias("e"))
+    start, fits = F.col("pos") - F.col("at"), (F.col("start") >= 0) & (F.col("start") + F.col("len") <= F.col("n_words"))
+    own = F.col("word") == ""
+    same = F.slice("w", F.col("start") + 1, F.col("len")) == F.col("win")
+    spots = split.withColumn("n_words", F.size("w"))
+    each = F.posexplode(F.concat("w", F.array(F.lit("")))).alias("pos", "word")
+    if n <= BROADCAST_ROWS:
+        met = spots.select("did", "th", "w", "n_words", each).join(F.broadcast(keyed), "word").withColumn("start", start)
+        hits = met.where(own | (fits & same))
+    else:
+        # narrow rows meet the windows; the words come in once, for documents that a window may fit into
+        met = spots.select("did", "th", "n_words", each).join(keyed, "word").withColumn("start", start).where(own | fits)
+        texts = split.dropDuplicates(["did", "th"])
+        hits = met.where(own).withColumn("w", F.lit(None).cast("array<string>")).unionByName(met.where(~own).join(texts, ["did", "th"]).where(same))
+    hits = hits.select("did", "th", F.when(own, 1).otherwise(0).alias("n"), "n_words", F.when(~own, span).alias("span"), "items")
+    per = hits.groupBy("did", "th").agg(
         F.sum("n").alias("n_rows"), F.max("n_words").alias("n_words"), F.sort_array(F.collect_set("span")).alias("spans"),
         F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
     zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("to"))
@@ -86,5 +98,5 @@ def report(docs: DataFrame, items: DataFrame) -> DataFrame:
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of documents that are not contaminated, with all their columns."""
     bad = contamination(docs, items).where(is_contaminated()).select("did", "th")
-    rows = with_key(docs, F.struct(*[docs[c] for c in docs.columns]).alias("row")).drop("text")
+    rows = with_key(docs, whole_row(docs)).drop("text")
     return rows.join(bad, ["did", "th"], "left_anti").select("row.*")

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hazlake.functions.mapping import once
-from hazlake.llm.common import doc_id_of, stored, with_key
+from hazlake.llm.common import doc_id_of, stored, whole_row, with_key
 
 DEPTH, MIN_DOCS, MIN_CONSTANT = 3, 20, 0.6
 MASK = "<*>"
@@ -122,7 +122,7 @@ def report(docs: DataFrame) -> DataFrame:
 
 def drop_lines(docs: DataFrame) -> DataFrame:
     """The rows of documents without such lines; n_chars follows the text where the column exists."""
-    rows = with_key(docs, F.struct(*[docs[c] for c in docs.columns]).alias("row")).join(dropped(docs), ["did", "th"], "left")
+    rows = with_key(docs, whole_row(docs)).join(dropped(docs), ["did", "th"], "left")
     text = without_lines(F.col("text"), F.col("gone"))
     fresh = {"text": text, "n_chars": F.when(F.col("gone").isNull(), F.col("row.n_chars")).otherwise(F.length(text))} if "n_chars" in docs.columns else {"text": text}
     return rows.select(*[fresh.get(c, F.col("row").getField(c)).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])

@@ -25,7 +25,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from hazlake.llm.common import doc_id_of, stored, with_key
+from hazlake.llm.common import doc_id_of, stored, whole_row, with_key
 
 SHINGLE, SIMILARITY = 5, 75
 BANDS, ROWS = 30, 3
@@ -282,5 +282,5 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Rows without words stay; of rows that repeat id and text one stays.
     """
     keep = near_duplicates(docs).where(F.col("comp") == F.struct("did", "th")).select("did", "th").distinct()
-    rows = with_key(docs, F.struct(*[docs[c] for c in docs.columns]).alias("row")).drop("text")
+    rows = with_key(docs, whole_row(docs)).drop("text")
     return rows.join(keep, ["did", "th"]).dropDuplicates(["did", "th"]).select("row.*")
