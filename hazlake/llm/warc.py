@@ -3,17 +3,20 @@
 Payloads become gzip members, one record each, with regenerated headers and digests. Of records with equal payloads of
 at least ``MIN_REVISIT`` bytes that with the smallest page id is the response, the others are revisits of it. Records
 are range-sorted by page id; files are rolled by the running compressed size, which does not depend on how Spark cut the
-ranges, so equal input gives equal files. Files are written under a temporary name, renamed, and become valid with the
+ranges, so equal input gives equal files. Sizes and places are settled on narrow rows first, so records are compressed
+twice, but moved only once. Files are written under a temporary name, renamed, and become valid with the
 manifest that lists them, which is renamed last; the reader takes listed files only. All files go through Spark's
 writers and Hadoop's renames, so any shared store will do.
 
 Defined cases: null html is an empty payload; a null url becomes ``about:blank``; blanks and line breaks in urls are
-percent-encoded; rows without an id come last; rows that repeat an id and payload are written each, all of them as
-responses if one is; an empty table gives an empty manifest; other columns are ignored.
+percent-encoded; rows without an id come last; rows that repeat an id and payload are written each, and count as pages of
+their own (of equal ones of at least ``MIN_REVISIT`` bytes one is the response, by url); very long payloads are one record
+of one task; an empty table gives an empty manifest; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import bisect
 import gzip
 import hashlib
 import io
@@ -26,8 +29,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, Window
 
 from hazlake.llm.common import NO_ID, doc_id_of, stored
+from hazlake.operators.postings import join_terms
 
 MIN_REVISIT, ROLL = 100, 16 << 20
+#: Groups of files whose first keys (some 100 bytes each) every task holds.
+GROUPS = 4096
 DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: An empty gzip member: ends each file, since Spark's text writer ends each row with a separator.
@@ -66,74 +72,133 @@ def revisit(page: int, url: str | None, length: int, digest: str, first: int) ->
     return _member(own, _http(length))
 
 
-def _responses(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        rows = []
-        for page, url, html in zip(pdf["page"], pdf["url"], pdf["html"]):
-            payload = (html or "").encode("utf-8", "surrogatepass")
-            digest = hashlib.sha256(payload).hexdigest()
-            rows.append((page, url, digest, len(payload), response(page, url, payload, digest)))
-        yield pd.DataFrame(rows, columns=["page", "url", "digest", "length", "record"])
+def _payload(html: str | None) -> tuple[bytes, str]:
+    payload = (html or "").encode("utf-8", "surrogatepass")
+    return payload, hashlib.sha256(payload).hexdigest()
 
 
-def _revisits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The narrow facts of each row: its digest, and the sizes of its payload and of its record as a response."""
     for pdf in batches:
-        again = pdf["first"].notna() & (pdf["first"] < pdf["page"])
-        pdf["record"] = [revisit(p, u, n, d, int(f)) if a else r for p, u, n, d, f, r, a in zip(pdf["page"], pdf["url"], pdf["length"], pdf["digest"], pdf["first"], pdf["record"], again)]
-        yield pdf[["page", "digest", "record"]]
+        rows = []
+        for page, url, html in zip(pdf["page"], pdf["url"], pdf["html"]):
+            payload, digest = _payload(html)
+            rows.append((page, url, digest, len(payload), len(response(page, url, payload, digest))))
+        yield pd.DataFrame(rows, columns=["page", "url", "digest", "length", "own"])
 
 
-def _running(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    total = 0
+def _sized(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The bytes that all rows of a page, payload and url take: of a shared payload one is a response, the others revisits."""
     for pdf in batches:
-        sizes = pdf["record"].map(len)
-        yield pdf.assign(size=sizes, own=total + sizes.cumsum() - sizes)
-        total += int(sizes.sum())
-
+        size = []
+        for page, url, digest, length, own, n, first, answers in zip(*(pdf[c] for c in ("page", "url", "digest", "length", "own", "n", "first", "answers"))):
+            again = len(revisit(page, url, length, digest, first)) if first >= 0 else 0
+            size.append(own * n if first < 0 else own + again * (n - 1) if answers else again * n)
+        yield pdf.assign(size=size)[["page", "digest", "n", "first", "size"]]
 
-def _files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Records, sorted by file, joined to one row a file."""
-    file, parts = None, []
 
-    def done() -> pd.DataFrame:
-        content = b"".join(parts)
-        return pd.DataFrame({"file": [file], "content": [content]})
-
-    for pdf in batches:
-        for number, record in zip(pdf["file"], pdf["record"]):
-            if number != file and parts:
-                yield done()
-                parts = []
-            file = number
-            parts.append(record)
-    if parts:
-        yield done()
-
-
-def records(pages: DataFrame) -> DataFrame:
-    """page, digest, record: the compressed record of each row."""
+def _records(starts: list[tuple[int, str]]):
+    """Each row's compressed response and the group it falls into."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for page, url, html in zip(pdf["page"], pdf["url"], pdf["html"]):
+                payload, digest = _payload(html)
+                group = bisect.bisect_right(starts, (page, digest)) - 1
+                rows.append((group, page, digest, 1, url, len(payload), response(page, url, payload, digest)))
+            yield pd.DataFrame(rows, columns=["group", "page", "digest", "kind", "url", "length", "record"])
+
+    return run
+
+
+def _files(offsets: list[int], roll: int):
+    """Records, sorted by group, page, digest and kind, joined to one row a file.
+
+    A marker (kind 0) before the records of a page and payload names the page that the payload is first found on.
+    """
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, key, file, parts, offset, first = None, None, None, [], 0, None
+
+        def done() -> pd.DataFrame:
+            return pd.DataFrame({"file": [file], "content": [b"".join(parts)]})
+
+        for pdf in batches:
+            for g, page, digest, kind, url, length, record in zip(*(pdf[c] for c in ("group", "page", "digest", "kind", "url", "length", "record"))):
+                if g != group:
+                    group, offset = g, offsets[g]
+                if (page, digest) != key:
+                    key, first, seen = (page, digest), None, 0
+                    if offset // roll != file and parts:
+                        yield done()
+                        parts = []
+                    file = offset // roll
+                if not kind:
+                    first = int(length)
+                    continue
+                if first is not None and (first < page or seen):
+                    record = revisit(page, url, int(length), digest, first)
+                seen += 1
+                parts.append(record)
+                offset += len(record)
+        if parts:
+            yield done()
+
+    return run
+
+
+def placement(pages: DataFrame) -> DataFrame:
+    """page, digest, n (rows), first (page whose response its revisits refer to, -1 if none), size (bytes of its records),
+    before (bytes of all records before them in the order of page and digest)."""
     base = pages.select(F.coalesce(F.col("page_id").cast("bigint"), F.lit(NO_ID)).alias("page"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    full = base.mapInPandas(_responses, "page long, url string, digest string, length long, record binary")
-    payload = F.coalesce("html", F.lit("")).cast("binary")
-    sized = base.select("page", F.sha2(payload, 256).alias("digest"), F.octet_length(payload).alias("length"))
-    first = sized.where(F.col("length") >= MIN_REVISIT).groupBy("digest").agg(F.min("page").alias("first"), F.max("page").alias("last")).where("first < last").select("digest", "first")
-    return full.join(first, "digest", "left").select("page", "url", "digest", "length", "first", "record").mapInPandas(_revisits, "page long, digest string, record binary")
+    facts = base.mapInPandas(_measured, "page long, url string, digest string, length long, own long")
+    facts = stored(facts, "facts")
+    keys = stored(facts.groupBy("page", "digest", "url").agg(F.max("length").alias("length"), F.max("own").alias("own"), F.count("*").alias("n")), "keys")
+    total = keys.count()
+    large = keys.where(F.col("length") >= MIN_REVISIT)
+    shared = large.groupBy("digest").agg(F.min(F.struct("page", "url")).alias("head"), F.sum("n").alias("rows"), F.count("*").alias("uses")).where("rows > 1")
+    shared = stored(shared.select("digest", F.col("head.page").alias("first"), F.col("head.url").alias("first_url"), "uses"), "shared")
+    # a payload that a great part of the pages has is joined by broadcast
+    found = join_terms(large, shared, ["digest"], "uses", total)
+    found = found.withColumn("answers", (F.col("page") == F.col("first")) & F.col("url").eqNullSafe(F.col("first_url"))).drop("uses", "first_url")
+    rest = keys.join(found.select("page", "digest").distinct(), ["page", "digest"], "left_anti")
+    rest = rest.withColumns({"first": F.lit(-1).cast("bigint"), "answers": F.lit(True)})
+    sized = found.unionByName(rest).mapInPandas(_sized, "page long, digest string, n long, first long, size long")
+    sized = sized.groupBy("page", "digest").agg(F.sum("n").alias("n"), F.max("first").alias("first"), F.sum("size").alias("size"))
+    ranges = stored(sized.repartitionByRange("page", "digest").withColumn("range", F.spark_partition_id()), "ranges")
+    sums = ranges.groupBy("range").agg(F.sum("size").alias("n"))
+    before = sums.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("start"))  # a row for each partition
+    own = F.sum("size").over(Window.partitionBy("range").orderBy("page", "digest")) - F.col("size")
+    return ranges.withColumn("own", own).join(F.broadcast(before), "range").select("page", "digest", "n", "first", "size", (F.col("own") + F.col("start")).alias("before"))
 
 
 def write(pages: DataFrame, out: str, roll: int = ROLL) -> DataFrame:
-    """Writes the archive to a new folder; returns its manifest: file, records, bytes, sha256."""
+    """Writes the archive to a new folder; returns its manifest: file, records, bytes, sha256.
+
+    What a record's place depends on is narrow: digests, sizes and first pages. From them follow all files, and at most
+    ``GROUPS`` groups of neighbouring files whose first keys and offsets every task knows. So a record is moved once, to its
+    group, where running sizes give its file again.
+    """
     spark = pages.sparkSession
-    ranges = records(pages).repartitionByRange("page", "digest").sortWithinPartitions("page", "digest").withColumn("range", F.spark_partition_id())
-    ranges = stored(ranges.mapInPandas(_running, "page long, digest string, record binary, range int, size long, own long"), "ranges")
-    sizes = ranges.groupBy("range").agg(F.sum("size").alias("n"))
-    before = sizes.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("before"))  # a row for each partition
-    placed = ranges.join(F.broadcast(before), "range").select(F.floor((F.col("own") + F.col("before")) / roll).cast("bigint").alias("file"), "page", "digest", "record")
-    files = placed.repartition("file").sortWithinPartitions("file", "page", "digest").select("file", "record")
-    made = files.mapInPandas(_files, "file long, content binary")
+    pages = pages.select("page_id", "url", "html")
+    places = stored(placement(pages), "places").withColumn("file", F.floor(F.col("before") / roll).cast("bigint"))
+    last = places.agg(F.max("file")).first()[0]
+    per_group = (0 if last is None else last) // GROUPS + 1
+    head = F.min(F.struct("page", "digest", "before"))
+    heads = places.groupBy(F.floor(F.col("file") / per_group).alias("g")).agg(head.alias("h")).orderBy("g").select("g", "h.*").collect()
+    starts, offsets = [(r["page"], r["digest"]) for r in heads], [r["before"] for r in heads]
+    base = pages.select(F.coalesce(F.col("page_id").cast("bigint"), F.lit(NO_ID)).alias("page"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    schema = "group int, page long, digest string, kind int, url string, length long, record binary"
+    wide = base.mapInPandas(_records(starts), schema)
+    group = F.floor(F.floor(F.col("before") / roll) / per_group)
+    numbered = spark.createDataFrame([(r["g"], i) for i, r in enumerate(heads)], "g long, group int")
+    marked = places.where("first >= 0").select("page", "digest", "first", group.alias("g")).join(F.broadcast(numbered), "g")
+    markers = marked.select("group", "page", "digest", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.col("first").alias("length"), F.lit(None).cast("binary").alias("record"))
+    moved = wide.unionByName(markers).repartition("group").sortWithinPartitions("group", "page", "digest", "kind", "url")
+    made = moved.mapInPandas(_files(offsets, roll), "file long, content binary")
     temporary = f"{out}/_temporary-{uuid.uuid4().hex}"
     made.select("file", F.col("content").cast("string").alias("value")).write.partitionBy("file").option(
         "encoding", "ISO-8859-1").option("lineSep", EMPTY_MEMBER.decode("latin-1")).text(f"{temporary}/files")
-    size = placed.groupBy("file").agg(F.count("*").alias("records"), (F.sum(F.octet_length("record")) + len(EMPTY_MEMBER)).alias("bytes"))
+    size = places.groupBy("file").agg(F.sum("n").alias("records"), (F.sum("size") + len(EMPTY_MEMBER)).alias("bytes"))
     written = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{temporary}/files")
     written = written.select(F.regexp_extract("path", r"file=(\d+)", 1).cast("bigint").alias("file"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("found"))
     checked = size.join(written, "file", "left")
