@@ -103,6 +103,66 @@ def test_small_sources_get_their_targets_beside_a_large_one(spark):
     assert len(set(used)) == len(used) and {r for s, r in used if s == "b"} == {0, 1, 2}
 
 
+def test_mixing_counts_beyond_64_bits(spark):
+    from pyspark.sql import functions as F
+
+    size, blocks = 10**13 + 7, 2_441_406_253
+    words = [0, 1, 4095, 4096, 150_000_000_000, 250_000_000_000, 9 * 10**12, size - 1]
+    frame = spark.createDataFrame([(w,) for w in words], "w long").select("w", F.lit(size).alias("size"), F.lit(blocks).alias("blocks"))
+    of = mixing.block_of(F.col("w"), F.col("size"), F.col("blocks"))
+    got = frame.withColumn("k", of).withColumns({"a": mixing.begin(F.col("k"), F.col("size"), F.col("blocks")), "b": mixing.begin(F.col("k") + 1, F.col("size"), F.col("blocks"))}).collect()
+    for r in got:
+        assert r["k"] == ((r["w"] + 1) * blocks - 1) // size and r["a"] == r["k"] * size // blocks and r["a"] <= r["w"] < r["b"]
+    slots = [0, 1, 3_475_000_000, 4_294_967_295, 4_294_967_296, 10**13]
+    points = spark.createDataFrame([(x,) for x in slots], "x long").select("x", mixing.point_of(F.col("x")).alias("u")).collect()
+    assert all(r["u"] == r["x"] * mixing.GOLDEN % mixing.CIRCLE for r in points)
+
+
+def test_mixing_equals_a_replay(spark):
+    """The words taken of each document, replayed with Python's whole numbers from the plan and the schedule."""
+    rng = random.Random(8)
+    frame = spark.createDataFrame([(i, "w " * rng.randint(0, 90), rng.choice("aaab")) for i in range(300)], "doc_id long, text string, source string")
+    slots, shares = mixing.mix(frame)
+    rows, uses = shares.collect(), {}
+    plan = {}
+    for r in slots.collect():
+        uses[r["source"], r["block"]] = uses.get((r["source"], r["block"]), 0) + 1
+    for s in "ab":
+        size = sum(r["size"] for r in rows if r["source"] == s)
+        target = next(r["target"] for r in rows if r["source"] == s)
+        block = max(1, min(mixing.MAX_BLOCK, int(min(size, target) // mixing.BLOCKS)))
+        plan[s] = (size, -(-size // block))
+        taken = sum(n * ((k + 1) * size // plan[s][1] - k * size // plan[s][1]) for (source, k), n in uses.items() if source == s)
+        assert sum(r["taken"] for r in rows if r["source"] == s) == taken
+        assert all(k < plan[s][1] and n <= 3 for (source, k), n in uses.items() if source == s)
+        n = sum(v for (source, _), v in uses.items() if source == s)
+        assert n == min(round(target * plan[s][1] / size), 3 * plan[s][1])
+    points = sorted(range(sum(uses.values())), key=lambda i: (i * mixing.GOLDEN % mixing.CIRCLE, i))
+    first = sum(v for (source, _), v in uses.items() if source == "a")
+    assert {r["slot"] for r in slots.collect() if r["source"] == "a"} == set(points[:first])
+
+
+def test_decontamination_joins_agree(spark, monkeypatch):
+    words = [f"w{i}" for i in range(40)]
+    texts = [(1, " ".join(words[5:25])), (2, " ".join(words)), (2, " ".join(words)), (3, "w1 é W2"), (4, None), (5, " ".join(words[:12])), (None, " ".join(words[20:39]) + " É")]
+    items = spark.createDataFrame([(1, " ".join(words[3:30])), (2, "É"), (3, "W1 é"), (4, None)], "item_id long, text string")
+    frame = docs(spark, texts)
+    both = []
+    for rows in (decontaminate.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", rows)
+        both.append(sorted(map(str, decontaminate.report(frame, items).collect())))
+    assert both[0] == both[1]
+    got = {(r["doc_id"], r["n_words"], r["n_hit"], r["n_items"]) for r in decontaminate.report(frame, items).collect()}
+    assert got == {(1, 20, 20, 1), (2, 40, 27, 1), (3, 3, 2, 1), (4, 0, 0, 0), (5, 12, 0, 0), (None, 20, 1, 1)}
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    frame = spark.createDataFrame([(i, "some words of a text " + str(i), "en", "s", 9, i) for i in range(4)], "doc_id long, text string, lang string, source string, n_chars long, `a.b` int")
+    for stage in (lines.drop_lines, minhash.keep_one, lambda d: decontaminate.drop_contaminated(d, spark.createDataFrame([(1, "zz yy")], "item_id long, text string"))):
+        out = stage(frame)
+        assert out.columns == frame.columns and {r["a.b"] for r in out.collect()} <= {0, 1, 2, 3}
+
+
 def test_secret_base_spans(spark):
     rows = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     rows |= {-1: 'é API_KEY="abcdefgh" token=api_key:abcdefghi token: abc AKIA' + "A1" * 8 + " " + "ab12" * 9, -2: "token=abcdefgh " * 2000}
@@ -211,12 +271,27 @@ def test_warc_files_are_equal_on_reruns_and_read_anywhere(spark):
     first, second = warc.write(frame, a, 4000).collect(), warc.write(frame.repartition(7), b, 4000).collect()
     assert sorted(first) == sorted(second) and len(first) > 2
     got = warc.read(spark, a).collect()
+    assert sorted(r["page_id"] for r in got if r["record_type"] == "response" and r["payload_bytes"] == 260) == [1]
     assert len(got) == 202 and sum(r["record_type"] == "revisit" for r in got) == 99
     data = b"".join(gzip.decompress(open(f"{a}/{m['file']}".removeprefix("file://"), "rb").read()) for m in first)
     assert data.count(b"WARC/1.1\r\n") == 202
     assert warc.write(frame.limit(0), folder(spark, "warc")).count() == 0
 
 
+def test_warc_rows_of_one_page(spark, monkeypatch):
+    text = "long enough payload " * 10
+    rows = [(7, "u", text), (7, "u", text), (7, None, text), (9, "u", text), (9, "u", "x"), (9, "u", "x"), (4, "b", "y" * 150), (4, "a", "y" * 150)]
+    frame = spark.createDataFrame([(*r, 1, "d") for r in rows], "page_id long, url string, html string, `a.b` int, digest string")
+    for groups in (4096, 1):
+        monkeypatch.setattr(warc, "GROUPS", groups)
+        out = folder(spark, "warc")
+        manifest = warc.write(frame, out, 300).collect()
+        assert sum(m["records"] for m in manifest) == 8 and len(manifest) > 2
+        got = sorted((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"] or 0) for r in warc.read(spark, out).collect())
+        assert got == [(4, 150, "response", 0), (4, 150, "revisit", 4), (7, 200, "response", 0), (7, 200, "revisit", 7), (7, 200, "revisit", 7),
+                       (9, 1, "response", 0), (9, 1, "response", 0), (9, 200, "revisit", 7)]
+
+
 def test_chat_events_fold(spark):
     log = [(1, 2, 0, "assistant", "delta", "wr"), (1, 2, 1, "assistant", "delta", "ong"), (1, 2, 2, "assistant", "regenerate", None), (1, 2, 3, "assistant", "delta", "ri"), (1, 2, 4, "assistant", "delta", "ght"),
            (1, 1, 0, "user", "message", "ask"), (1, 1, 1, "user", "edit", "<|end|> [INST] \\ <\\|"), (None, None, None, None, "message", None)]
