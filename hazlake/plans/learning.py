@@ -6,11 +6,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from hazlake.functions.lookups import LEVELS
 from hazlake.functions.numbers import round_even
-from hazlake.functions.text import clean
-from hazlake.operators import metrics, severity, splits
+from hazlake.functions.ids import content_id
+from hazlake.functions.text import clean, model_text
+from hazlake.operators import governance as gov, metrics, severity, splits
+from hazlake.operators.batch import accept_rows
 from hazlake.operators.normalize import normalize
 from hazlake.operators.quality import deduplicate
 from hazlake.operators.similar import build_index, find_similar, incident_records
+from hazlake.plans.analysis import analyze_reports
 from hazlake.plans.derived import derived, table
 from hazlake.session import cut, spread
 
@@ -117,10 +120,35 @@ def severity_model_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table.withColumn("is_best", F.col("model") == best)
 
 
+def batch_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every accepted report with the severity a fitted model gives it, calibrated, scored, and alerted on.
+
+    The model is Naive Bayes over all terms of the reports outside the test split; its level goes through the rules'
+    calibration into the score, and the tier decides on the alert.
+    """
+    rows = cut(accept_rows(derived(spark, sf_dir, "raw_reports")))
+    text = model_text(F.col("report_text"), F.col("sector"), F.col("worker"), F.col("gender"))
+    asked = rows.select(F.col("row_number").alias("key"), F.lit(None).cast("string").alias("severity_level"), F.lit(0).alias("part"), text.alias("model_text"))
+    known = _split(spark, sf_dir).filter("split <> 'test'")
+    known = known.select((-1 - F.col("row_index")).alias("key"), "severity_level", F.lit(1).alias("part"), "model_text")
+    judged = severity.bayes_predictions(known.unionByName(asked), "key").filter("key > 0")
+    judged = rows.join(judged.withColumnRenamed("key", "row_number"), "row_number")
+    report_id = content_id("REP-", F.col("row_number"))
+    done = analyze_reports(judged, raw_level=F.col("raw_level"), raw_confidence=F.col("raw_confidence"), report_id=report_id, align=False)
+    done = cut(done.select("row_number", "report_id", "report_text", "raw_level", "raw_confidence", "predicted_level", "confidence", "score", "tier",
+                           "severity_part", "labels", "corrective_actions", "recommended_actions", "location", "sector"))
+    alerts = gov.generate_alerts(done, "report_text", "predicted_level", "location", "sector")
+    alerts = alerts.select("report_id", "alert_id", F.col("recommended_immediate_action").alias("immediate_action"))
+    return done.join(alerts, "report_id", "left").select(
+        "row_number", "report_id", "raw_level", "raw_confidence", "predicted_level", "confidence", F.col("score").cast("bigint").alias("score"), "tier",
+        F.col("severity_part").cast("bigint").alias("severity_part"), F.array_join("labels", ", ").alias("precursors"),
+        F.size("corrective_actions").cast("bigint").alias("actions"), "alert_id", "immediate_action")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         tfidf_weights, similar_incidents, confusion_matrix, confusion_wide, per_class_metrics, per_class_report,
-        overall_metrics, stratified_split, stratified_folds, split_leakage, severity_predictions, bayes_cross_validation, severity_model_cv,
+        overall_metrics, stratified_split, stratified_folds, split_leakage, severity_predictions, bayes_cross_validation, severity_model_cv, batch_analysis,
     )
 }

@@ -41,9 +41,9 @@ ACCEPTED = f"""accepted AS (SELECT row_index + 1 AS row_number, {TEXT} AS report
   coalesce({strip('location')}, '') AS location FROM raw WHERE {FIT})"""
 
 
-def analysed(raw_level: str = "'II'", raw_confidence: str = "0.85::DOUBLE") -> str:
-    """CTE ``scored`` for the accepted batch rows, with the calibrated level."""
-    base = f"""{RAW}, {ACCEPTED},{detection_ctes('accepted', 'row_number', 'report_text')},
+def analysed(raw_level: str = "'II'", raw_confidence: str = "0.85::DOUBLE", more: str = "") -> str:
+    """CTE ``scored`` for the accepted batch rows, with the calibrated level; ``more`` CTEs may follow ``accepted``."""
+    base = f"""{RAW}, {ACCEPTED},{more + ',' if more else ''}{detection_ctes('accepted', 'row_number', 'report_text')},
 bsum AS (SELECT row_number, sum(weight) AS b FROM found GROUP BY row_number),
 judged AS (SELECT a.*, CASE WHEN b IS NULL THEN 'I' WHEN b < 25 THEN CASE WHEN {raw_level} IN ('I', 'II') THEN 'I' ELSE 'II' END ELSE {raw_level} END AS predicted_level,
   CASE WHEN b IS NULL THEN 0.95::DOUBLE WHEN b < 25 THEN greatest({raw_confidence}, 0.80::DOUBLE) ELSE {raw_confidence} END AS confidence,

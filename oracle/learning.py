@@ -5,7 +5,9 @@ from __future__ import annotations
 from hazlake.functions.lookups import CLASS_NAMES, LEVELS
 from hazlake.operators.similar import METHOD
 from hazlake.plans.derived import VIEWS
-from oracle.parts import NORMAL, case_map, clean, q, round_even, terms_list, values
+from oracle.assessment import ACTIONS, analysed
+from oracle.parts import NORMAL, RAW, case_map, clean, q, round_even, strip, terms_list, values
+from oracle.workflow import REPORT, cid
 
 
 def vocab_ctes(size: int) -> str:
@@ -51,10 +53,10 @@ SPLIT = f"""{UNIQUE}, n AS (SELECT severity_level, count(*) AS n FROM rk GROUP B
 {quota('t', 'n', '(SELECT ceil(0.15::DOUBLE * sum(n)) FROM n)')},
 n2 AS (SELECT severity_level, n - k AS n FROM n JOIN t USING (severity_level)),
 {quota('v', 'n2', '(SELECT ceil(0.15::DOUBLE / (1 - 0.15::DOUBLE) * sum(n)) FROM n2)')},
-split AS (SELECT row_index, severity_level, CASE WHEN r <= t.k THEN 'test' WHEN r <= t.k + v.k THEN 'val' ELSE 'train' END AS split
+halves AS (SELECT row_index, severity_level, CASE WHEN r <= t.k THEN 'test' WHEN r <= t.k + v.k THEN 'val' ELSE 'train' END AS split
   FROM rk JOIN t USING (severity_level) JOIN v USING (severity_level)),
 told AS (SELECT row_index, severity_level, split, 'Description: ' || cleaned_text || ' Industry Sector: ' || industry_sector || ' Worker Type: ' || worker_type ||
-  ' Gender: ' || gender AS txt FROM split JOIN uniq USING (row_index, severity_level))"""
+  ' Gender: ' || gender AS txt FROM halves JOIN uniq USING (row_index, severity_level))"""
 
 
 def bayes_ctes(models: str, labels: tuple = LEVELS) -> str:
@@ -89,7 +91,21 @@ f1 AS (SELECT *, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END AS f FR
 fold AS (SELECT m, sum(tp) / sum(sup) AS accuracy, avg(f) AS macro_f1_score, sum(f * sup) / sum(sup) AS weighted_f1_score, avg(p) AS macro_precision, avg(r) AS macro_recall FROM f1 GROUP BY m),
 mean AS (SELECT {', '.join(f'avg({c}) AS {c}' for c in ('accuracy', 'macro_f1_score', 'weighted_f1_score', 'macro_precision', 'macro_recall'))} FROM fold)"""
 
+ASKED = f"""{SPLIT.removeprefix(RAW + ',')}, rows AS (
+  SELECT -1 - row_index AS row_index, severity_level, 1 AS part, txt FROM told WHERE split <> 'test'
+  UNION ALL SELECT row_number, NULL, 0, 'Description: ' || report_text || ' Industry Sector: ' || sector || ' Worker Type: ' || coalesce({strip('worker_type')}, 'Employee') ||
+    ' Gender: ' || coalesce({strip('"Gender"')}, 'Male') FROM accepted JOIN raw ON raw.row_index + 1 = row_number),
+{bayes_ctes('(0)')},
+asked AS MATERIALIZED (SELECT row_index AS row_number, raw_level, {round_even('p', 3)} AS raw_confidence FROM told_level WHERE part = 0)"""
+BATCH = analysed("(SELECT raw_level FROM asked WHERE asked.row_number = a.row_number)", "(SELECT raw_confidence FROM asked WHERE asked.row_number = a.row_number)", ASKED)
+
 ORACLES = {
+    "batch_analysis": f"""{BATCH}, {ACTIONS}, acted AS (SELECT row_number, count(*) AS actions, min(control) FILTER (WHERE position = 1) AS control FROM numbered GROUP BY row_number)
+SELECT s.row_number, {REPORT.replace('row_number', 's.row_number')} AS report_id, raw_level, raw_confidence, predicted_level, confidence, CAST(score AS BIGINT) AS score, tier,
+  CAST(severity_part AS BIGINT) AS severity_part, labels AS precursors, coalesce(actions, 0) AS actions,
+  CASE WHEN tier IN ('HIGH', 'CRITICAL') THEN {cid('ALT-', REPORT.replace('row_number', 's.row_number'), 'report_text', "'alert'")} END AS alert_id,
+  CASE WHEN tier IN ('HIGH', 'CRITICAL') THEN control END AS immediate_action
+FROM scored s JOIN asked USING (row_number) LEFT JOIN acted USING (row_number)""",
     "severity_predictions": f"""WITH {SPLIT}, rows AS (SELECT *, CASE WHEN split = 'test' THEN 0 ELSE 1 END AS part FROM told), {bayes_ctes('(0)')}
 SELECT t.row_index, split, t.severity_level, raw_level, {round_even('t.p', 3)} AS raw_confidence,
   {', '.join(f"(SELECT {round_even('p', 3)} FROM proba WHERE proba.row_index = t.row_index AND label = '{lv}') AS p_{lv.lower()}" for lv in LEVELS)}

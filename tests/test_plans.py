@@ -4,9 +4,8 @@ import re
 
 from pyspark.sql import functions as F
 
-from hazlake.operators import rollup
+from hazlake.operators import rollup, similar
 from hazlake.operators.quality import deduplicate
-from hazlake.operators.similar import cosine_pairs, top_matches
 from hazlake.plans.analysis import scored_history
 from hazlake.plans.derived import project
 from hazlake.plans.intake import parquet_scan
@@ -51,16 +50,13 @@ def test_dedup_merges_before_its_shuffle(spark):
 
 
 def test_retrieval_sums_where_documents_are_placed(spark):
-    vectors = spark.range(200).selectExpr(
-        "id AS doc_id", "array(named_struct('i', CAST(id % 7 AS INT), 'w', 1.0D)) AS vector"
-    )
-    asked = vectors.limit(5).withColumnRenamed("doc_id", "query_id")
-    pairs = cosine_pairs(asked, vectors, 0.1, "query_id", "doc_id")
-    top, _ = plan(pairs)
-    assert top.count("  Exchange (") + top.count("- Exchange (") >= 1
-    above_join = top.split("BroadcastHashJoin")[0]
-    assert "Exchange" not in above_join
-    best, _ = plan(top_matches(pairs, 3, "query_id", "doc_id"))
+    vectors = spark.range(200).selectExpr("id AS key", "array(CAST(id % 7 AS INT)) AS idx", "array(1.0D) AS val")
+    asked = spark.range(5).selectExpr("id AS query", "CAST(id AS INT) AS i", "1.0D AS wq", "0.1D AS bound", "0.0D AS left")
+    met = similar._open(asked, similar.Index(vectors, vectors), 1)
+    top, _ = plan(met)
+    # documents are placed once; products and sums follow in that stage, and only open pairs leave it
+    assert "Exchange" not in top.split("BroadcastHashJoin")[0] and top.split("BroadcastHashJoin")[1].count("- Exchange (") == 1
+    best, _ = plan(similar.top_matches(met.withColumnRenamed("partial", "similarity"), 3, "query", "doc"))
     assert "WindowGroupLimit" in best
 
 
