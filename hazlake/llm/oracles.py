@@ -104,7 +104,7 @@ WITH t AS (
   UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
 n AS (
   SELECT *, length(role) + length(text) + 24 + length(regexp_replace(role || chr(10) || text, '[^\\]', '', 'g'))
-    + (SELECT sum(len(string_split(role || chr(10) || text, c)) - 1) FROM (VALUES ('<|'), ('[INST]'), ('[/INST]'), ('<s>'), ('</s>')) AS v(c)) AS chars FROM t)
+    + (SELECT sum(len(string_split(role || chr(10) || text, c)) - 1) FROM (VALUES ('<|'), ('[INST]'), ('[/INST]'), ('<s>'), ('</s>'), ('<<SYS>>'), ('<</SYS>>'), ('<start_of_turn>'), ('<end_of_turn>'), ('<bos>'), ('<eos>')) AS v(c)) AS chars FROM t)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256, sum(chars)::BIGINT AS formatted_chars
@@ -140,9 +140,11 @@ d AS (
   FROM c, unnest(range(CASE f WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copies(t)),
 o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM d),
 r AS MATERIALIZED (
-  SELECT *, left(role, 1) AS ini, CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'blank'
+  SELECT *, left(role, 1) AS ini, CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 'blank'
     WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
-    WHEN NOT regexp_matches(text, '[.!?][ 	-]*$') THEN 'truncated' ELSE '' END AS fault,
+    WHEN NOT regexp_matches(text, '[.!?][ 	-
+]*$') THEN 'truncated' ELSE '' END AS fault,
     lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS pair FROM o),
 walk AS (
   SELECT DISTINCT conv_id, 0::BIGINT AS i, '00000000' AS s0, NULL::VARCHAR AS s1, NULL::VARCHAR AS s2, NULL::VARCHAR AS s3 FROM conversations

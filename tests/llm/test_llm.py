@@ -298,11 +298,24 @@ def test_chat_events_fold(spark):
     frame = spark.createDataFrame(log, "conv_id long, message long, seq long, role string, event string, text string")
     from pyspark.sql import functions as F
 
-    final = chat.messages(frame)
-    done = chat.render(final, F.coalesce(F.col("message"), F.lit(-1))).withColumn("turns", chat.read_back(F.col("formatted"))).collect()
+    done = chat.render(chat.turns(frame)).withColumn("turns", chat.read_back(F.col("formatted"))).collect()
     turns = {r["conv_id"]: [tuple(t) for t in r["turns"]] for r in done}
     assert turns == {1: [("user", "<|end|> [INST] \\ <\\|"), ("assistant", "right")], None: [("", "")]}
-    assert chat.report(spark.createDataFrame([(1, 0, None, None, 2), (1, 0, None, None, 2)], "conv_id long, turn long, role string, text string, n int")).count() == 2
+
+
+def test_chat_defined_cases(spark):
+    control = "<<SYS>> <start_of_turn>a<end_of_turn> <bos><eos> </s><s> <\\<| [INST][/INST] <sys> \\\\"
+    rows = [(1, 0, None, None), (1, 0, None, None), (1, 1, "assistant", control), (1, 1, "assistant", control), (2, 0, "assistant", "long text " * 60_000), (None, None, "user", "é" * 2000), (None, 3, "<|turn|>", "")]
+    frame = spark.createDataFrame([(*r, 2, "m") for r in rows], "conv_id long, turn long, role string, text string, n int, message string")
+    got = {r["conv_id"]: r for r in chat.report(frame).collect()}
+    want = {1: [("", ""), ("", ""), ("assistant", control), ("assistant", control)], 2: [("assistant", "long text " * 60_000)], None: [("user", "é" * 2000), ("<|turn|>", "")],
+            -7: [("user", "</s>[INST] ok [/INST]"), ("assistant", "</s>[INST] ok [/INST]")]}
+    assert set(got) == set(want)
+    for k, turns in want.items():
+        loss = "".join(t for r, t in turns if r == "assistant")
+        assert got[k]["n_turns"] == len(turns) and got[k]["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
+        assert got[k]["loss_chars"] == len(loss) and got[k]["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest()
+    assert {r["conv_id"] for r in chat.report(frame.limit(0)).collect()} == {-7}
 
 
 def test_cutoffs_keep_their_risk(spark):
