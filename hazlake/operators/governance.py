@@ -6,7 +6,7 @@ events is folded by many tasks.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from hazlake.functions.ids import content_id
 from hazlake.functions.numbers import percent
@@ -19,7 +19,8 @@ DEFAULT_CONTROL = "Begin an emergency inspection and secure the area at once."
 DEFAULT_COMMENT = "Classification checked and accepted by the safety officer."
 DEFAULT_REJECTION = "Marked as a false positive by the safety officer."
 DEFAULT_TASK = "Execute safety mitigation."
-SALTS = 16
+#: Widths of the time slices that action events are folded in, from fine to coarse.
+SLICES = ("hour", "month")
 
 
 # ---- access -----------------------------------------------------------------------------------
@@ -48,8 +49,15 @@ def unknown_targets(events: DataFrame, targets: DataFrame, key: str) -> DataFram
 
 # ---- alerts -----------------------------------------------------------------------------------
 
-def generate_alerts(scored: DataFrame, text: str, level: str, location: str, department: str) -> DataFrame:
-    """A new alert for every HIGH or CRITICAL report."""
+def generate_alerts(
+    scored: DataFrame, text: str, level: str, location: str, department: str, created: Column | None = None
+) -> DataFrame:
+    """A new alert for every HIGH or CRITICAL report, as a whole record.
+
+    ``created`` is the time of the analysis, by default now. The fields of the audit trail start as null.
+    """
+    created = F.current_timestamp() if created is None else created
+    nobody = F.lit(None).cast("string")
     first_action = F.try_element_at("corrective_actions", F.lit(1))
     control = F.coalesce(
         F.nullif(first_action["immediate_control"], F.lit("")),
@@ -60,6 +68,7 @@ def generate_alerts(scored: DataFrame, text: str, level: str, location: str, dep
     return scored.filter(F.col("tier").isin("HIGH", "CRITICAL")).select(
         content_id("ALT-", F.col("report_id"), F.col(text), F.lit("alert")).alias("alert_id"),
         "report_id",
+        created.alias("timestamp"),
         F.col("tier").alias("risk_level"),
         F.col("score").alias("risk_score"),
         F.col("labels").alias("detected_precursors"),
@@ -69,6 +78,26 @@ def generate_alerts(scored: DataFrame, text: str, level: str, location: str, dep
         F.coalesce(F.nullif(F.col(location), F.lit("")), F.lit("Field Site")).alias("location"),
         F.coalesce(F.nullif(F.col(department), F.lit("")), F.lit("Mining")).alias("department"),
         excerpt(F.col(text)).alias("observation_excerpt"),
+        nobody.alias("acknowledged_by"),
+        nobody.alias("resolved_by"),
+        nobody.alias("reviewer_notes"),
+        created.alias("updated_at"),
+    )
+
+
+def current_records(records: DataFrame, state: DataFrame, key: str) -> DataFrame:
+    """Records as their events have left them: fields of the state replace those of the record, if there are events.
+
+    A record without events keeps its own fields. A null in the state is taken over, since a fold may clear a field.
+    """
+    changed = [c for c in state.columns if c != key]
+    folded = state.select(F.col(key), F.struct(*changed).alias("_state"))
+    joined = records.join(folded, key, "left")
+    return joined.select(
+        *[
+            F.when(F.col("_state").isNotNull(), F.col(f"_state.{c}")).otherwise(F.col(c)).alias(c) if c in changed else F.col(c)
+            for c in records.columns
+        ]
     )
 
 
@@ -273,13 +302,31 @@ def decide_reviews(valid: DataFrame) -> DataFrame:
 
 # ---- corrective actions -----------------------------------------------------------------------
 
+CONTEXT_FIELDS = (
+    "precursor_id", "related_precursor", "immediate_control", "verification_step", "escalation_condition",
+    "follow_up_action", "reason",
+)
+CONTEXT = "struct<" + ",".join(f"{f}:string" for f in CONTEXT_FIELDS) + ">"
+
+
 def create_actions(requests: DataFrame) -> DataFrame:
-    """Requests as new OPEN actions; ``error`` says why one is turned down."""
+    """Requests as new OPEN actions with all fields of a record; ``error`` says why one is turned down.
+
+    A request may bring its own ``action_id``, ``created_at``, ``due_date`` and ``ai_generated_context``. Otherwise the
+    id is a digest of report, ``position`` (if there is one) and description, the time is now, and the others are null.
+    """
     def blank(c: str) -> Column:
         return strip(F.coalesce(F.col(c), F.lit(""))) == ""
 
+    given = {
+        "created_at": F.current_timestamp(),
+        "due_date": F.lit(None).cast("string"),
+        "ai_generated_context": F.lit(None).cast(CONTEXT),
+    }
+    requests = requests.withColumns({c: v for c, v in given.items() if c not in requests.columns})
+    time = requests.schema["created_at"].dataType
     priority = F.upper(strip(F.coalesce(F.col("priority"), F.lit("HIGH"))))
-    return requests.withColumn(
+    made = requests.withColumn(
         "error",
         F.when(blank("report_id"), "Report ID is required to create a corrective action.").when(
             blank("action_description"), "Action description is required."
@@ -294,16 +341,36 @@ def create_actions(requests: DataFrame) -> DataFrame:
             ),
             "status": F.lit("OPEN"),
             "verification_status": F.lit("UNVERIFIED"),
+            "updated_at": F.col("created_at"),
+            "completed_at": F.lit(None).cast(time),
+            "verified_at": F.lit(None).cast(time),
+            "verified_by_officer": F.lit(None).cast("string"),
+            "officer_id": F.lit(None).cast("string"),
+            "tracking_notes": F.lit(None).cast("string"),
         }
     )
+    if "action_id" in requests.columns:
+        return made
+    keys = [F.col(c) for c in ("report_id", "position", "action_description") if c in made.columns]
+    return made.withColumn("action_id", F.when(F.col("error").isNull(), content_id("ACT-", *keys)))
 
 
-def register_actions(analysed: DataFrame, report_id: str = "report_id") -> DataFrame:
-    """One tracked action per corrective action of a report, in order, with its context kept."""
+def register_actions(
+    analysed: DataFrame, report_id: str = "report_id", created: Column | None = None, due: Column | None = None
+) -> DataFrame:
+    """One tracked action per corrective action of a report, in order, with its context kept.
+
+    ``created`` and ``due`` are columns of ``analysed``: the time of the analysis (default now) and a due date.
+    """
     item = F.col("a")
-    requests = analysed.select(report_id, F.posexplode("corrective_actions").alias("position", "a")).select(
+    made = (F.current_timestamp() if created is None else created).alias("created_at")
+    until = (F.lit(None) if due is None else due).cast("string").alias("due_date")
+    told = analysed.select(report_id, made, until, F.posexplode("corrective_actions").alias("position", "a"))
+    requests = told.select(
         F.col(report_id).alias("report_id"),
         "position",
+        "created_at",
+        "due_date",
         F.coalesce(
             F.nullif(item["action"], F.lit("")), F.nullif(item["immediate_control"], F.lit("")), F.lit(DEFAULT_TASK)
         ).alias("action_description"),
@@ -312,18 +379,10 @@ def register_actions(analysed: DataFrame, report_id: str = "report_id") -> DataF
             "responsible_role"
         ),
         F.struct(
-            *[
-                item[f].alias(f)
-                for f in (
-                    "precursor_id", "related_precursor", "immediate_control", "verification_step",
-                    "escalation_condition", "follow_up_action", "reason",
-                )
-            ]
+            *[item[f].alias(f) for f in CONTEXT_FIELDS]
         ).alias("ai_generated_context"),
     )
-    return create_actions(requests).withColumn(
-        "action_id", content_id("ACT-", F.col("report_id"), F.col("position"), F.col("action_description"))
-    )
+    return create_actions(requests)
 
 
 def attach_tracking(analysed: DataFrame, tracked: DataFrame, report_id: str = "report_id") -> DataFrame:
@@ -335,86 +394,109 @@ def attach_tracking(analysed: DataFrame, tracked: DataFrame, report_id: str = "r
     return plain.join(records, [report_id, "position"], "left")
 
 
-def _since_reopened(events: DataFrame, opened: DataFrame, key: str) -> DataFrame:
-    """Add ``_counts``: the event at ``_at`` came after the last OPEN of its id, if there was one.
+def _slice_summaries(events: DataFrame, key: str, status: str, order: tuple[str, ...]) -> DataFrame:
+    """One row ``(key, _slice, _sum)`` per id and time slice, where ``_sum`` holds the few events that decide a state.
 
-    ``opened`` has one small row per id. It meets the events with the events of each id dealt over
-    several tasks, so that a busy id is not one task's work.
+    The events of a busy id are dealt by time, so each task folds one slice of it. The last OPEN of a slice is found in
+    a window that spills; the aggregate over it has the same keys and needs no further shuffle.
     """
-    salt = F.lit(SALTS)
-    dealt = events.withColumn("_part", F.pmod(F.xxhash64("_at"), salt).cast("int"))
-    copies = opened.filter("_opened IS NOT NULL").withColumn("_part", F.explode(F.sequence(F.lit(0), salt - 1)))
-    joined = dealt.join(copies, [key, "_part"], "left")
-    return joined.withColumn("_counts", F.expr("_opened IS NULL OR _at > _opened")).drop("_part", "_opened")
+    moves = valid_status(events, status, ACTION_STATUSES)
+    row = F.struct(F.struct(*order).alias("at"), F.struct(*[c for c in moves.columns if c != key]).alias("row"))
+    timed = moves.select(key, F.date_trunc(SLICES[0], F.col(order[0])).alias("_slice"), F.col(status).alias("_here"), row.alias("_e"))
+    here, at, event = F.col("_here"), F.col("_e.at"), F.col("_e")
+    opened = F.max(F.when(here == "OPEN", at)).over(Window.partitionBy(key, "_slice"))
+    # a milestone without a time is none
+    dated = here.isin("COMPLETED", "VERIFIED") & at[order[0]].isNotNull()
+    reached = dated & (F.col("_opened").isNull() | (at > F.col("_opened")))
+
+    def last(condition: Column) -> Column:
+        return F.max_by(event, F.when(condition, at))
+
+    def filled(c: str) -> Column:
+        return F.nullif(F.col(f"_e.row.{c}"), F.lit("")).isNotNull()
+
+    summary = timed.withColumn("_opened", opened).groupBy(key, "_slice").agg(
+        F.struct(
+            F.max_by(event, at).alias("last"),
+            last(here == "OPEN").alias("opened"),
+            F.min_by(event, F.when(reached, at)).alias("first"),
+            last(reached & (here == "VERIFIED")).alias("verified"),
+            *[last(filled(c)).alias(c) for c in ("notes", "officer_name", "officer_id")],
+        ).alias("_sum")
+    )
+    return summary
+
+
+def _merged(earlier: Column, later: Column) -> Column:
+    """Summary of two stretches of an id's events, the second after the first. Associative."""
+    reopened = later["opened"].isNotNull()
+
+    def newest(field: str) -> Column:
+        return F.coalesce(later[field], earlier[field])
+
+    return F.struct(
+        later["last"].alias("last"),
+        newest("opened").alias("opened"),
+        F.when(reopened, later["first"]).otherwise(F.coalesce(earlier["first"], later["first"])).alias("first"),
+        F.when(reopened, later["verified"]).otherwise(newest("verified")).alias("verified"),
+        *[newest(c).alias(c) for c in ("notes", "officer_name", "officer_id")],
+    )
+
+
+def action_summaries(events: DataFrame, key: str, status: str, order: tuple[str, ...]) -> DataFrame:
+    """``(key, _sum)`` per id: summaries of slices merged in time order, by the wider slice and then by id.
+
+    The events are read once. A merge holds the summaries of one id and slice: at most the hours of a month, then the
+    months of the log. Events without a time come first.
+    """
+    parts = _slice_summaries(events, key, status, order)
+    for width in (*SLICES[1:], None):
+        keys = [F.col(key)] + ([F.date_trunc(width, "_slice").alias("_wide")] if width else [])
+        listed = parts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_slice", "_sum"))).alias("_l"))
+        sums = F.transform("_l", lambda x: x["_sum"])
+        rest = F.slice(sums, F.lit(2), F.size("_l"))
+        parts = listed.withColumn("_sum", F.aggregate(rest, F.get(sums, F.lit(0)), _merged)).drop("_l")
+        parts = parts.withColumnRenamed("_wide", "_slice")
+    return parts
 
 
 def compact_action_events(
     events: DataFrame, key: str = "action_id", status: str = "status", order: tuple[str, ...] = ("ts", "event_id")
 ) -> DataFrame:
-    """At most seven events per action that give the same state as all of them."""
-    moves = valid_status(events, status, ACTION_STATUSES)
-    here, kept = F.col(status), [c for c in moves.columns if c != key]
-    timed = moves.withColumn("_at", F.struct(*order))
-    opened = timed.groupBy(key).agg(F.max(F.when(here == "OPEN", F.col("_at"))).alias("_opened"))
-    flagged = _since_reopened(timed, opened, key)
-    at, row = F.col("_at"), F.struct(*kept)
-    reached = F.col("_counts") & here.isin("COMPLETED", "VERIFIED")
-    choices = [F.max_by(row, at), F.max_by(row, F.when(here == "OPEN", at)), F.min_by(row, F.when(reached, at))]
-    choices += [F.max_by(row, F.when(reached & (here == "VERIFIED"), at))]
-    choices += [
-        F.max_by(row, F.when(F.nullif(F.col(c), F.lit("")).isNotNull(), at))
-        for c in ("notes", "officer_name", "officer_id")
-    ]
-    return _deciding(flagged, key, choices)
+    """At most seven events per action that give the same state as all of them.
+
+    They also give it together with all events that come later in time. An OPEN that is delivered after later completions
+    of its id finds only the kept ones of these.
+    """
+    sums = action_summaries(events, key, status, order)
+    names = ("last", "opened", "first", "verified", "notes", "officer_name", "officer_id")
+    rows = F.array_distinct(F.array_compact(F.array(*[F.col(f"_sum.{n}.row") for n in names])))
+    return sums.select(key, F.inline(rows))
 
 
 def action_state(
     events: DataFrame, key: str = "action_id", status: str = "status", order: tuple[str, ...] = ("ts", "event_id")
 ) -> DataFrame:
-    """Current state per action.
+    """Current state per action. Reopening clears the milestones, so they count from the last OPEN on."""
+    time = order[0]
 
-    Reopening clears the milestones, so they depend on what came after the last OPEN, which a
-    first fold finds; the second merges before its shuffle like the first.
-    """
-    moves = valid_status(events, status, ACTION_STATUSES)
-    at = F.struct(*order)
-    here = F.col(status)
+    def kept(field: str, column: str) -> Column:
+        return F.col(f"_sum.{field}.row.{column}")
 
-    def filled(c: str) -> Column:
-        return F.nullif(F.col(c), F.lit(""))
-
-    def last(c: str) -> Column:
-        return F.max_by(strip(F.col(c)), F.when(filled(c).isNotNull(), at)).alias(f"_{c}")
-
-    first_pass = moves.groupBy(key).agg(
-        F.max_by(here, at).alias("status"),
-        F.max(order[0]).alias("updated_at"),
-        F.max(F.when(here == "OPEN", at)).alias("_opened"),
-        last("notes"),
-        last("officer_name"),
-        last("officer_id"),
-    )
-    reached = moves.filter(here.isin("COMPLETED", "VERIFIED")).select(key, at.alias("_at"), here.alias("_status"))
-    after = _since_reopened(reached, first_pass.select(key, "_opened"), key).filter("_counts")
-    milestones = after.groupBy(key).agg(
-        F.min(F.col("_at")[order[0]]).alias("completed_at"),
-        F.max(F.when(F.col("_status") == "VERIFIED", F.col("_at")[order[0]])).alias("verified_at"),
-    )
+    now = kept("last", status)
     verification = (
-        F.when(F.col("status") == "COMPLETED", "PENDING_VERIFICATION")
-        .when(F.col("status") == "VERIFIED", "VERIFIED")
-        .otherwise("UNVERIFIED")
+        F.when(now == "COMPLETED", "PENDING_VERIFICATION").when(now == "VERIFIED", "VERIFIED").otherwise("UNVERIFIED")
     )
-    return first_pass.join(milestones, key, "left").select(
+    return action_summaries(events, key, status, order).select(
         key,
-        "status",
+        now.alias("status"),
         verification.alias("verification_status"),
-        "updated_at",
-        "completed_at",
-        "verified_at",
-        F.col("_notes").alias("tracking_notes"),
-        F.col("_officer_name").alias("verified_by_officer"),
-        F.col("_officer_id").alias("officer_id"),
+        kept("last", time).alias("updated_at"),
+        kept("first", time).alias("completed_at"),
+        kept("verified", time).alias("verified_at"),
+        strip(kept("notes", "notes")).alias("tracking_notes"),
+        strip(kept("officer_name", "officer_name")).alias("verified_by_officer"),
+        strip(kept("officer_id", "officer_id")).alias("officer_id"),
     )
 
 

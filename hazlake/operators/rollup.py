@@ -97,22 +97,29 @@ def largest_first(rolled: DataFrame, key: str) -> DataFrame:
     return rolled.orderBy(F.desc("total_reports"), key)
 
 
-def monthly_trend(
+def trend_summary(
     scored: DataFrame, order_col: str = "row_index", taxonomy: Sequence[Precursor] = TAXONOMY
 ) -> DataFrame:
-    grouped = (
-        scored.withColumn("period", year_month(F.trim("date_logged")))
-        .filter("period IS NOT NULL")
-        .groupBy("period")
-        .agg(
-            F.count("*").alias("total_reports"),
-            F.count_if(F.col("score") >= 50).alias("high_risk_count"),
-            F.count_if(F.col("score") >= 75).alias("critical_risk_count"),
-            F.sum("score").alias("_score"),
-            *_counters(taxonomy, order_col),
-        )
+    """One row of counters per month, from which the trend is read; rows of two sets of reports can be merged."""
+    dated = scored.withColumn("period", year_month(F.trim("date_logged"))).filter("period IS NOT NULL")
+    return dated.groupBy("period").agg(
+        F.count("*").alias("total_reports"),
+        F.count_if(F.col("score") >= 50).alias("high_risk_count"),
+        F.count_if(F.col("score") >= 75).alias("critical_risk_count"),
+        F.sum("score").alias("_score"),
+        *_counters(taxonomy, order_col),
     )
-    return grouped.select(
+
+
+def merge_trends(summaries: DataFrame) -> DataFrame:
+    """Summaries of several sets of reports as one row per month: counters add up, first places are the smallest."""
+    return summaries.groupBy("period").agg(
+        *[(F.min if c.startswith("_first") else F.sum)(c).alias(c) for c in summaries.columns if c != "period"]
+    )
+
+
+def read_trend(summary: DataFrame, taxonomy: Sequence[Precursor] = TAXONOMY) -> DataFrame:
+    return summary.select(
         "period",
         "total_reports",
         "high_risk_count",
@@ -122,6 +129,12 @@ def monthly_trend(
     )
 
 
+def monthly_trend(
+    scored: DataFrame, order_col: str = "row_index", taxonomy: Sequence[Precursor] = TAXONOMY
+) -> DataFrame:
+    return read_trend(trend_summary(scored, order_col, taxonomy), taxonomy)
+
+
 def global_distributions(
     scored: DataFrame, reports: DataFrame | None = None, taxonomy: Sequence[Precursor] = TAXONOMY
 ) -> DataFrame:

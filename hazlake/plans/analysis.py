@@ -30,7 +30,8 @@ def analyze_reports(
     """Detection, severity calibration, scoring with severity, texts and corrective actions.
 
     ``raw_level`` and ``raw_confidence`` come from a severity model; without one the heuristic
-    level stands in. Still one narrow stage.
+    level stands in. Still one narrow stage. Without ``report_id`` a report's id is a digest of its source, its row and
+    its text, as far as these columns exist, so that copies of a text in several rows are several reports.
     """
     found = score_reports(detect_precursors(reports, text, align=align))
     level = F.lit("II") if raw_level is None else raw_level
@@ -38,5 +39,6 @@ def analyze_reports(
     judged = calibrate(found, level, sure)
     scored = score_reports(judged, severity="predicted_level")
     out = explain_scores(scored, severity="predicted_level", text=text)
-    identity = report_id if report_id is not None else content_id("REP-", F.col(text))
+    named = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("source_dataset", "row_index", "row_number") if c in reports.columns]
+    identity = report_id if report_id is not None else content_id("REP-", *named, F.col(text))
     return out.withColumn("report_id", identity)

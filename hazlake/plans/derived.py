@@ -103,6 +103,9 @@ VIEWS = {
 }
 
 
+#: Time of a report's analysis: uploads arrive one a minute.
+ANALYSED_AT = """timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(CAST(row_number DIV 1440 AS INT), 0, CAST(row_number % 1440 AS INT))"""
+
 KEYS = {"documents": "doc_id", "events": "event_id"}
 
 

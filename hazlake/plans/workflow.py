@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from hazlake.functions.ids import content_id
 from hazlake.operators import governance as gov
 from hazlake.operators.batch import accept_rows
 from hazlake.plans.analysis import analyze_reports
-from hazlake.plans.derived import derived
+from hazlake.plans.derived import ANALYSED_AT, derived
+from hazlake.session import cut
 
 
 def _analysed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,7 +18,8 @@ def _analysed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gov.generate_alerts(_analysed(spark, sf_dir), "report_text", "predicted_level", "location", "sector")
+    analysed = _analysed(spark, sf_dir)
+    return gov.generate_alerts(analysed, "report_text", "predicted_level", "location", "sector", F.expr(ANALYSED_AT))
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,6 +83,35 @@ def alert_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gov.lookup_ids(resolved.select("alert_id", "resolved_by"), wanted, "alert_id")
 
 
+def _report_of() -> Column:
+    """The report that an event is about: users report under their own row."""
+    return content_id("REP-", F.substring("alert_id", 5, 20).cast("bigint") + 1)
+
+
+def _current_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _allowed(_events(spark, sf_dir)).withColumn("alert_id", _report_of())
+    # folded by report first: one row per id meets the alerts
+    state = gov.alert_state(events).withColumnRenamed("alert_id", "report_id")
+    return gov.current_records(_alerts(spark, sf_dir), state, "report_id")
+
+
+def current_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All alerts as whole records, as their status events have left them."""
+    return _flat_alerts(_current_alerts(spark, sf_dir))
+
+
+def closed_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest alerts that are resolved by now, in a store where most are still new."""
+    closed = gov.where_equal(_current_alerts(spark, sf_dir), alert_status=" resolved ")
+    return _flat_alerts(gov.newest_first(closed, "timestamp", "alert_id", 50))
+
+
+def events_without_alert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Status events about reports that never became an alert."""
+    events = _events(spark, sf_dir).withColumn("report_id", _report_of())
+    return gov.unknown_targets(events, _alerts(spark, sf_dir), "report_id").select("event_id", "report_id", "status")
+
+
 def _reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gov.validate_reviews(derived(spark, sf_dir, "review_events"))
 
@@ -121,28 +152,52 @@ def latest_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _actions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gov.register_actions(_analysed(spark, sf_dir))
+    due = F.date_add(F.expr(ANALYSED_AT).cast("date"), 14)
+    return gov.register_actions(_analysed(spark, sf_dir), created=F.expr(ANALYSED_AT), due=due)
+
+
+def _flat_actions(df: DataFrame, *more: str) -> DataFrame:
+    record = (
+        "action_id", "report_id", "action_description", "priority", "responsible_role", "status", "created_at", "due_date",
+        "verification_status", "updated_at", "completed_at", "verified_at", "verified_by_officer", "officer_id",
+        "tracking_notes", *more,
+    )
+    return df.select(*record, *[f"ai_generated_context.{f}" for f in gov.CONTEXT_FIELDS])
 
 
 def action_registration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _actions(spark, sf_dir).select(
-        "action_id", "report_id", F.col("position").cast("bigint"), "action_description", "priority",
-        "responsible_role", "status", "verification_status", "error",
-        F.col("ai_generated_context.precursor_id").alias("precursor_id"),
-        F.col("ai_generated_context.reason").alias("reason"),
+    actions = _actions(spark, sf_dir).withColumn("position", F.col("position").cast("bigint"))
+    return _flat_actions(actions, "position", "error")
+
+
+def _current_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Actions as their events have left them; an event is about the first or second action of its report."""
+    target = F.concat(_report_of(), F.lit("#"), (F.col("event_id") % 2).cast("string"))
+    events = _allowed(_events(spark, sf_dir)).select(
+        "event_id", "ts", target.alias("target"), F.col("action_status").alias("status"), "officer_name", "officer_id", "notes",
     )
+    actions = _actions(spark, sf_dir).withColumn("target", F.concat("report_id", F.lit("#"), F.col("position").cast("string")))
+    return gov.current_records(actions, gov.action_state(events, "target"), "target")
+
+
+def current_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flat_actions(_current_actions(spark, sf_dir))
+
+
+def current_action_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts by status and priority of the same records."""
+    return gov.action_statistics(_current_actions(spark, sf_dir))
 
 
 def action_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     urgent = gov.where_equal(_actions(spark, sf_dir), status="open", priority=" immediate ")
-    found = gov.search(
-        urgent.withColumn("tracking_notes", F.lit(None).cast("string")), "breathing", gov.ACTION_SEARCH
-    )
+    found = gov.search(urgent, "breathing", gov.ACTION_SEARCH)
     return found.select("action_id", "report_id", "responsible_role")
 
 
 def tracked_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    analysed = _analysed(spark, sf_dir)
+    # read twice, so detection runs once and its result is written
+    analysed = cut(_analysed(spark, sf_dir).select("report_id", "corrective_actions"))
     beside = gov.attach_tracking(analysed, gov.register_actions(analysed))
     return beside.select(
         "report_id", F.col("position").cast("bigint"), F.col("a.precursor_id").alias("precursor_id"), "action_id", "status"
@@ -157,8 +212,10 @@ def action_creation(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("notes").alias("action_description"),
         F.when(F.col("event_id") % 4 == 0, " medium ").when(F.col("event_id") % 4 == 1, "urgent").alias("priority"),
         F.col("officer_name").alias("responsible_role"),
+        F.col("ts").alias("created_at"),
+        F.when(F.col("event_id") % 2 == 0, "2024-12-31").alias("due_date"),
     )
-    return gov.create_actions(requests)
+    return _flat_actions(gov.create_actions(requests), "event_id", "error")
 
 
 def action_state(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,5 +245,6 @@ QUERIES = {
         role_gate, alert_generation, alert_search, alert_state, alert_counters, latest_alerts, unknown_alert_events,
         known_alert_events, alert_lookup, review_validation, review_decisions, latest_reviews, action_registration,
         action_search, tracked_actions, action_creation, action_state, action_statistics, action_priorities, latest_actions,
+        current_alerts, closed_alerts, events_without_alert, current_actions, current_action_statistics,
     )
 }

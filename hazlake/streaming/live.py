@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from hazlake.functions.ids import content_id
-from hazlake.functions.text import year_month
 from hazlake.operators import governance as gov
 from hazlake.operators.batch import accept_rows
+from hazlake.operators.rollup import merge_trends, read_trend, trend_summary
 from hazlake.plans.analysis import analyze_reports, scored_history
+from hazlake.session import cut
 
 
 def watch(spark: SparkSession, folder: str, schema, pattern: str = "*.parquet", files_per_batch: int = 100) -> DataFrame:
@@ -24,11 +25,11 @@ def watch(spark: SparkSession, folder: str, schema, pattern: str = "*.parquet",
     )
 
 
-def alert_stream(reports: DataFrame) -> DataFrame:
+def alert_stream(reports: DataFrame, created: Column | None = None) -> DataFrame:
     """Alerts for a stream or table of uploaded reports; one narrow stage, so nothing is held back."""
     rows = accept_rows(reports)
     analysed = analyze_reports(rows, report_id=content_id("REP-", F.col("row_number")), align=False)
-    return gov.generate_alerts(analysed, "report_text", "predicted_level", "location", "sector")
+    return gov.generate_alerts(analysed, "report_text", "predicted_level", "location", "sector", created)
 
 
 def write_appended(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
@@ -43,21 +44,32 @@ def write_appended(stream: DataFrame, path: str, checkpoint: str) -> StreamingQu
 
 
 def fold_stream(
-    events: DataFrame, store: str, compact: Callable[[DataFrame], DataFrame], key: str, checkpoint: str
+    events: DataFrame, store: str, compact: Callable[[DataFrame], DataFrame], key: str, checkpoint: str, buckets: int = 64
 ) -> StreamingQuery:
-    """Keep, for every id, the few events that decide its state.
+    """Keep, for every id, the few events that decide its state, in buckets of ids that are rewritten where touched.
 
-    A batch is merged with what is kept of the ids it touches, never with the whole history, and
-    written under its own number, so a repeated batch replaces itself.
+    A batch is compacted first, so a busy id brings a few rows. The buckets of its ids are read in their newest version,
+    merged, and written under the batch's number; all others stay where they are. A table beside the store,
+    ``<store>_versions``, says for each batch which one holds the newest version of each bucket, so nothing is searched
+    for, and a repeated batch starts from the versions before it and replaces itself. Versions that the last batches no
+    longer name can be deleted. ``buckets`` is fixed for a store; choose it so that one bucket is some 100 MB.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        merged = batch
-        if number > 0:
-            earlier = _newest(spark, store, key, number)
-            merged = batch.unionByName(earlier.join(batch.select(key).distinct(), key, "left_semi"))
-        compact(merged).write.mode("overwrite").parquet(f"{store}/batch={number}")
+        rows = cut(compact(batch))
+        # at most as many rows as there are buckets
+        touched = sorted(r[0] for r in rows.select(bucket_of(key, buckets)).distinct().collect())
+        versions = _versions(spark, store, number - 1) if number else {}
+        paths = [f"{store}/batch={versions[b]}/bucket={b}" for b in touched if b in versions]
+        if paths:
+            rows = rows.unionByName(spark.read.schema(rows.schema).parquet(*paths))
+        if touched:
+            merged = compact(rows).withColumn("bucket", bucket_of(key, buckets))
+            merged.write.partitionBy("bucket").mode("overwrite").parquet(f"{store}/batch={number}")
+        newest = {**versions, **dict.fromkeys(touched, number)}
+        table = spark.createDataFrame(list(newest.items()), "bucket int, version long")
+        table.coalesce(1).write.mode("overwrite").parquet(f"{store}_versions/batch={number}")
 
     return (
         events.writeStream.foreachBatch(merge)
@@ -67,32 +79,46 @@ def fold_stream(
     )
 
 
-def _newest(spark: SparkSession, store: str, key: str, before: int | None = None) -> DataFrame:
-    parts = spark.read.option("basePath", store).parquet(store)
-    if before is not None:
-        parts = parts.filter(F.col("batch") < before)
-    last = parts.groupBy(key).agg(F.max("batch").alias("batch"))
-    return parts.join(last, [key, "batch"], "left_semi").drop("batch")
+def bucket_of(key: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(F.col(key)), F.lit(buckets)).cast("int").alias("bucket")
+
+
+def _versions(spark: SparkSession, store: str, number: int) -> dict[int, int]:
+    return {r["bucket"]: r["version"] for r in spark.read.parquet(f"{store}_versions/batch={number}").collect()}
 
 
 def read_state(spark: SparkSession, store: str, key: str, fold: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Current state of every id from the events kept."""
-    return fold(_newest(spark, store, key))
+    """Current state of every id from the newest version of every bucket."""
+    last = spark.read.parquet(f"{store}_versions").agg(F.max("batch")).first()[0]
+    paths = [f"{store}/batch={n}/bucket={b}" for b, n in _versions(spark, store, last).items()]
+    return fold(spark.read.parquet(*paths))
 
 
-def trend_stream(reports: DataFrame) -> DataFrame:
-    """Counts by month of a stream of raw reports, for ``update`` or ``complete`` output.
+def fold_trend(reports: DataFrame, store: str, checkpoint: str) -> StreamingQuery:
+    """The monthly trend of a stream of raw reports, with all its columns.
 
-    A month is no fixed-length window and report dates are free text, so the month itself is the
-    key: the state is one row per month ever seen.
+    Report dates are free text and a month is no fixed-length window, so the state is a table of one row of counters per
+    month ever seen. Each batch adds its own counters to those of the batch before and writes them under its own number;
+    a repeated batch changes nothing.
     """
-    scored = scored_history(reports).withColumn("period", year_month(F.trim("date_logged")))
+
+    def merge(batch: DataFrame, number: int) -> None:
+        summary = trend_summary(scored_history(batch))
+        if number:
+            earlier = batch.sparkSession.read.schema(summary.schema).parquet(f"{store}/batch={number - 1}")
+            summary = merge_trends(summary.unionByName(earlier))
+        summary.write.mode("overwrite").parquet(f"{store}/batch={number}")
+
     return (
-        scored.filter("period IS NOT NULL")
-        .groupBy("period")
-        .agg(
-            F.count("*").alias("total_reports"),
-            F.count_if(F.col("score") >= 50).alias("high_risk_count"),
-            F.count_if(F.col("score") >= 75).alias("critical_risk_count"),
-        )
+        reports.writeStream.foreachBatch(merge)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
     )
+
+
+def live_trend(spark: SparkSession, store: str) -> DataFrame:
+    """The trend as of the newest batch."""
+    summaries = spark.read.parquet(store)
+    newest = summaries.agg(F.max("batch")).first()[0]
+    return read_trend(summaries.filter(F.col("batch") == newest))

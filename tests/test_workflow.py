@@ -70,6 +70,73 @@ def test_action_fold_follows_the_updates(spark):
     assert kept.count() <= 7 * len(expected)
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_action_fold_over_many_slices(spark, seed):
+    # months apart, an hour apart and at the same moment, with events of no time first
+    import datetime
+
+    rng = random.Random(seed)
+    now, rows = datetime.datetime(2023, 12, 31, 22), []
+    for i, r in enumerate(events(["OPEN", "COMPLETED", "VERIFIED", "IN_PROGRESS"], 300, seed)):
+        now += datetime.timedelta(minutes=rng.choice([0, 0, 1, 59, 60, 50_000]))
+        rows.append((i, None if i < 4 else now, *r[2:]))
+    frame = spark.createDataFrame(rows, SCHEMA).drop("alert_id")
+    expected = follow_actions(rows)
+    assert plain(gov.action_state(frame.repartition(5))) == expected
+    assert plain(gov.action_state(gov.compact_action_events(frame))) == expected
+    assert gov.action_state(frame.limit(0)).collect() == []
+
+
+def test_action_fold_reads_its_events_once(spark, tmp_path):
+    spark.createDataFrame(events(["OPEN", "VERIFIED"]), SCHEMA).drop("alert_id").write.parquet(str(tmp_path / "e"))
+    shown = gov.action_state(spark.read.parquet(str(tmp_path / "e")))._jdf.queryExecution().executedPlan().toString()
+    assert shown.count("FileScan") == 1 and "Join" not in shown
+
+
+def test_current_records_take_what_events_changed(spark):
+    records = spark.createDataFrame([("A", "NEW", "r", None), ("B", "NEW", "r", None)], "alert_id string, alert_status string, report_id string, resolved_by string")
+    state = spark.createDataFrame([("A", "RESOLVED", "Ann"), ("Z", "NEW", None)], "alert_id string, alert_status string, resolved_by string")
+    got = gov.current_records(records, state, "alert_id")
+    assert got.columns == records.columns
+    assert sorted(map(tuple, got.collect())) == [("A", "RESOLVED", "r", "Ann"), ("B", "NEW", "r", None)]
+
+
+def test_action_stream_touches_only_buckets_of_its_ids(spark, tmp_path):
+    rows = events(["OPEN", "in_progress", "COMPLETED", "VERIFIED"], 300)
+    frame = spark.createDataFrame(rows, SCHEMA).drop("alert_id")
+    late = spark.createDataFrame([(900, rows[-1][1], "id3", "VERIFIED", "Cy", "H9", "end")], frame.schema)
+    folder, store = str(tmp_path / "in"), str(tmp_path / "kept")
+    parts = [frame.filter("event_id < 100"), frame.filter("event_id BETWEEN 100 AND 299"), late]
+    for part in parts:
+        part.coalesce(1).write.mode("append").parquet(folder)
+        stream = live.watch(spark, folder, frame.schema)
+        live.fold_stream(stream, store, gov.compact_action_events, "action_id", str(tmp_path / "c"), buckets=8).awaitTermination()
+    assert spark.read.parquet(store).filter("batch = 2").select("bucket").distinct().count() == 1
+    got = plain(live.read_state(spark, store, "action_id", gov.action_state))
+    assert got == plain(gov.action_state(frame.unionByName(late)))
+    assert got["id3"]["notes"] == "end"
+
+
+def test_live_trend_adds_up_and_repeats_safely(spark, tmp_path):
+    from hazlake.operators import rollup
+    from hazlake.plans.analysis import scored_history
+    from hazlake.plans.derived import project
+
+    documents = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    reports = project(documents, "raw_reports")
+    for i in range(3):
+        documents.filter(F.col("doc_id") % 3 == i).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = project(live.watch(spark, str(tmp_path / "in"), documents.schema, files_per_batch=1), "raw_reports")
+    live.fold_trend(stream, str(tmp_path / "trend"), str(tmp_path / "c")).awaitTermination()
+    want = sorted(map(tuple, rollup.monthly_trend(scored_history(reports)).collect()))
+    assert sorted(map(tuple, live.live_trend(spark, str(tmp_path / "trend")).collect())) == want
+    # the last batch runs again, as after a failure before it was committed
+    (tmp_path / "c" / "commits" / "2").unlink()
+    (tmp_path / "c" / "commits" / ".2.crc").unlink(missing_ok=True)
+    live.fold_trend(stream, str(tmp_path / "trend"), str(tmp_path / "c")).awaitTermination()
+    assert sorted(map(tuple, live.live_trend(spark, str(tmp_path / "trend")).collect())) == want
+
+
 def test_alert_fold_survives_compaction(spark):
     frame = spark.createDataFrame(events(["NEW", "ACKNOWLEDGED", "RESOLVED", "odd"]), SCHEMA).drop("action_id")
     whole = sorted(map(str, gov.alert_state(frame).collect()))
