@@ -265,3 +265,22 @@ def detect_precursors(
 def precursor_rows(df: DataFrame, *keys: str) -> DataFrame:
     """Long form: one row per report and precursor."""
     return df.select(*keys, F.explode("precursors").alias("p")).select(*keys, "p.*")
+
+
+def precursor_records(df: DataFrame, *keys: str, taxonomy: Sequence[Precursor] = TAXONOMY) -> DataFrame:
+    """Long form with the whole record of each precursor: what was found, and what the taxonomy says about it."""
+    known = constant(
+        [
+            {"description": e.description, "hazards": list(e.hazards), "consequence": e.consequence, "controls": list(e.controls)}
+            for e in taxonomy
+        ],
+        "array<struct<description:string,hazards:array<string>,consequence:string,controls:array<string>>>",
+    )
+    entry = F.element_at(known, F.col("position"))
+    return precursor_rows(df, *keys).select(
+        *keys, "precursor_id", "factor", "label", F.col("label").alias("precursor"), F.col("label").alias("name"),
+        "evidence", "contribution", "confidence", F.lit("hybrid_contextual_semantic").alias("confidence_type"),
+        F.col("semantic_alignment").alias("semantic_alignment_score"),
+        entry["description"].alias("description"), entry["hazards"].alias("related_hazards"),
+        entry["consequence"].alias("possible_consequence"), entry["controls"].alias("recommended_controls"),
+    )

@@ -18,7 +18,7 @@ PRIORITIES = ("IMMEDIATE", "HIGH", "MEDIUM", "ROUTINE")
 DEFAULT_CONTROL = "Begin an emergency inspection and secure the area at once."
 DEFAULT_COMMENT = "Classification checked and accepted by the safety officer."
 DEFAULT_REJECTION = "Marked as a false positive by the safety officer."
-DEFAULT_TASK = "Execute safety mitigation."
+DEFAULT_TASK = "Carry out the control for this hazard."
 #: Widths of the time slices that action events are folded in, from fine to coarse.
 SLICES = ("hour", "month")
 
@@ -33,7 +33,7 @@ def role_gate(events: DataFrame, role: str = "role") -> DataFrame:
     """Add ``accepted`` and, for turned-down events, the reason."""
     allowed = is_officer(F.col(role))
     return events.withColumn("accepted", allowed).withColumn(
-        "rejection", F.when(~allowed, "Safety Officer access required.")
+        "rejection", F.when(~allowed, "Only safety officers may do this.")
     )
 
 
@@ -230,21 +230,21 @@ def validate_reviews(events: DataFrame) -> DataFrame:
         return strip(F.coalesce(F.col(c), F.lit(""))) == ""
 
     error = (
-        F.when(blank("officer_name"), "Safety officer name is required to submit a review.")
-        .when(blank("officer_id"), "Safety officer ID/badge number is required to submit a review.")
-        .when(~F.col("has_prediction"), "Valid AI prediction payload is required for human-in-the-loop review.")
+        F.when(blank("officer_name"), "A review needs an officer name.")
+        .when(blank("officer_id"), "A review needs an officer id.")
+        .when(~F.col("has_prediction"), "There is no prediction to review.")
         .when(
             F.col("decision").isNull(),
             F.concat(
-                F.lit("Invalid review status '"), F.coalesce(F.col("review_status"), F.lit("")),
-                F.lit("'. Must be ACCEPTED, MODIFIED, or REJECTED."),
+                F.lit("Unknown decision '"), F.coalesce(F.col("review_status"), F.lit("")),
+                F.lit("': use ACCEPTED, MODIFIED or REJECTED."),
             ),
         )
         .when(
             F.col("decision").isin("MODIFIED", "REJECTED") & (F.length("officer_comment") < 3),
             F.concat(
-                F.lit("Officer justification comment is required when "), F.col("decision"),
-                F.lit(" the AI prediction."),
+                F.lit("A comment is needed where the officer has "), F.col("decision"),
+                F.lit(" the prediction."),
             ),
         )
     )
@@ -328,8 +328,8 @@ def create_actions(requests: DataFrame) -> DataFrame:
     priority = F.upper(strip(F.coalesce(F.col("priority"), F.lit("HIGH"))))
     made = requests.withColumn(
         "error",
-        F.when(blank("report_id"), "Report ID is required to create a corrective action.").when(
-            blank("action_description"), "Action description is required."
+        F.when(blank("report_id"), "An action needs a report id.").when(
+            blank("action_description"), "An action needs a description."
         ),
     ).withColumns(
         {

@@ -182,6 +182,22 @@ def with_shares(rolled: DataFrame, count_col: str = "total_reports") -> DataFram
     )
 
 
+def with_display_ratios(distributions: DataFrame) -> DataFrame:
+    """Whole percents of the long distributions: of all reports, for precursors of the most frequent one.
+
+    The few rows of ``distributions`` are read twice; pass a table that is written already. Without reports all are 0.
+    """
+    total = F.max(F.when((F.col("dimension") == "reports") & (F.col("key") == "total"), F.col("n")))
+    largest = F.max(F.when(F.col("dimension") == "precursor", F.col("n")))
+    basis = distributions.agg(
+        F.greatest(F.coalesce(total, F.lit(0)), F.lit(1)).alias("_total"),
+        F.greatest(F.coalesce(largest, F.lit(0)), F.lit(1)).alias("_largest"),
+    ).select(F.struct("*"))
+    of = F.when(F.col("dimension") == "precursor", F.col("_basis._largest")).otherwise(F.col("_basis._total"))
+    shares = distributions.withColumn("_basis", basis.scalar())
+    return shares.withColumn("percent", round_half_up(F.col("n") / of * 100)).drop("_basis")
+
+
 def with_high_share(trend: DataFrame) -> DataFrame:
     share = F.col("high_risk_count") / F.col("total_reports") * 100
     return trend.withColumn("high_risk_percent", round_half_up(share))

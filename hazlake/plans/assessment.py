@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from hazlake.operators.batch import accept_rows, batch_summary, reject_rows
-from hazlake.operators.detect import detect_precursors, precursor_rows, with_sentences
+from hazlake.operators.detect import detect_precursors, precursor_records as whole_records, precursor_rows, with_sentences
 from hazlake.operators.normalize import normalize
 from hazlake.operators.prototype import with_alignment
 from hazlake.operators.screening import screen
@@ -51,6 +51,24 @@ def precursor_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def precursor_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every detected precursor with all fields of its record."""
+    found = whole_records(detect_precursors(_reports(spark, sf_dir).select("row_index", "cleaned_text")), "row_index")
+    lists = {c: F.array_join(c, "|") for c in ("evidence", "related_hazards", "recommended_controls")}
+    return found.withColumns({**lists, "contribution": F.col("contribution").cast("bigint")})
+
+
+def blank_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the analysis says of reports without any text."""
+    raw = derived(spark, sf_dir, "raw_reports").select("row_index", F.col("description").alias("report_text"))
+    blank = raw.filter(F.trim(F.coalesce("report_text", F.lit(""))) == "")
+    return analyze_reports(blank, align=False).select(
+        "row_index", F.col("score").cast("bigint").alias("score"), "tier", "predicted_level", "formula", "summary",
+        F.array_join("recommended_actions", "|").alias("recommended_actions"), F.size("precursors").cast("bigint").alias("precursors"),
+        F.size("components").cast("bigint").alias("components"), F.size("corrective_actions").cast("bigint").alias("corrective_actions"),
+    )
+
+
 def risk_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored_history(derived(spark, sf_dir, "raw_reports")).select(
         "row_index",
@@ -123,6 +141,6 @@ QUERIES = {
     for f in (
         report_sentences, precursor_hits, prototype_alignment, precursor_confidence, risk_scores, risk_text,
         risk_components, corrective_actions, recommended_actions, severity_calibration, batch_summary_report,
-        fallback_screening,
+        fallback_screening, precursor_records, blank_reports,
     )
 }

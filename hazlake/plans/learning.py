@@ -88,6 +88,25 @@ def split_leakage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked.agg(F.count("*").alias("leaked_texts"))
 
 
+def _split_by_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reports split row by row, as one must not: copies of a text fall on several sides."""
+    place = F.concat(F.col("row_index").cast("string"), F.lit("|"), "cleaned_text").alias("place")
+    reports = normalize(derived(spark, sf_dir, "raw_reports")).select("severity_level", "cleaned_text", place)
+    return cut(splits.stratified_split(cut(reports), text="place").select("cleaned_text", "split"))
+
+
+def row_split_leakage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts on more than one side where copies were not removed first, with the number of sides."""
+    leaked = splits.split_leakage(_split_by_row(spark, sf_dir))
+    return leaked.select(F.lower(F.hex("text")).alias("digest"), "splits")
+
+
+def train_test_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts found on the training and on the test side of the split by rows."""
+    rows = _split_by_row(spark, sf_dir).select(F.sha2("cleaned_text", 256).alias("digest"), "split")
+    return rows.filter("split = 'train'").select("digest").intersect(rows.filter("split = 'test'").select("digest"))
+
+
 def _split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """row_index, severity_level, split, model_text of the unique reports."""
     rows = severity.with_model_text(splits.stratified_split(_unique(spark, sf_dir)))
@@ -149,6 +168,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         tfidf_weights, similar_incidents, confusion_matrix, confusion_wide, per_class_metrics, per_class_report,
-        overall_metrics, stratified_split, stratified_folds, split_leakage, severity_predictions, bayes_cross_validation, severity_model_cv, batch_analysis,
+        overall_metrics, stratified_split, stratified_folds, split_leakage, row_split_leakage, train_test_overlap, severity_predictions, bayes_cross_validation, severity_model_cv, batch_analysis,
     )
 }

@@ -59,10 +59,16 @@ def global_distributions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.global_distributions(scored_history(raw), normalize(raw)).select("dimension", "key", "n")
 
 
+def distribution_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Critical, severity, sector and precursor shares as a dashboard shows them."""
+    shares = rollup.with_display_ratios(cut(global_distributions(spark, sf_dir)))
+    return shares.filter("dimension <> 'reports'")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         location_rollup, department_rollup, monthly_trend, trend_ratios, top_precursors_by_location,
-        dashboard_ratios, global_distributions,
+        dashboard_ratios, distribution_ratios, global_distributions,
     )
 }

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from hazlake.functions.lookups import LEVELS, SEVERITY_LABELS
 from hazlake.functions.taxonomy import EMERGENCY_ACTION, TAXONOMY
-from hazlake.operators.score import ROUTINE_ADVICE
+from hazlake.operators.score import EMPTY_ADVICE, EMPTY_FORMULA, EMPTY_SUMMARY, ROUTINE_ADVICE
 from hazlake.operators.screening import SCREEN_RULES
 from oracle.intake import FIT, TEXT
 from oracle.parts import (
     HISTORY, NORMAL, RAW, case_map, detection_ctes, q, round_even, score_ctes, sentence_ctes, strip, terms_list, values,
 )
 
+TOLD = values([(i, e.description, "|".join(e.hazards), e.consequence, "|".join(e.controls)) for i, e in enumerate(TAXONOMY, 1)])
 PROTOTYPES = values([(i, e.prototype) for i, e in enumerate(TAXONOMY, 1)])
 
 
@@ -47,8 +48,8 @@ def analysed(raw_level: str = "'II'", raw_confidence: str = "0.85::DOUBLE", more
 bsum AS (SELECT row_number, sum(weight) AS b FROM found GROUP BY row_number),
 judged AS (SELECT a.*, CASE WHEN b IS NULL THEN 'I' WHEN b < 25 THEN CASE WHEN {raw_level} IN ('I', 'II') THEN 'I' ELSE 'II' END ELSE {raw_level} END AS predicted_level,
   CASE WHEN b IS NULL THEN 0.95::DOUBLE WHEN b < 25 THEN greatest({raw_confidence}, 0.80::DOUBLE) ELSE {raw_confidence} END AS confidence,
-  CASE WHEN b IS NULL THEN 'Rule Calibration (Safe Observation -> Level I)' WHEN b < 25 THEN 'Rule Calibration (Low Risk Cap -> Level I/II)'
-    ELSE 'Platt Scaling (CalibratedClassifierCV)' END AS calibration_note
+  CASE WHEN b IS NULL THEN 'Rule: no precursor, so level I' WHEN b < 25 THEN 'Rule: low base score, so level II at most'
+    ELSE 'Severity model' END AS calibration_note
   FROM accepted a LEFT JOIN bsum USING (row_number)),{score_ctes('judged', 'row_number', 'predicted_level')}"""
     return f"WITH {base}"
 
@@ -67,11 +68,11 @@ wording = values(
 ACTIONS = f"""wording(position, priority, action, role, control) AS (SELECT * FROM {wording}),
 acts AS (
   SELECT row_number, 0 AS ord, 'SIF-COMPOUND' AS precursor_id, 'IMMEDIATE' AS priority,
-    'Compounding multi-hazard interaction active: ' || reasons || '.' AS reason, {q(EMERGENCY_ACTION['action'])} AS action,
+    'Hazards act together: ' || reasons || '.' AS reason, {q(EMERGENCY_ACTION['action'])} AS action,
     {q(EMERGENCY_ACTION['responsible_safety_role'])} AS role, {q(EMERGENCY_ACTION['immediate_control'])} AS control
   FROM scored WHERE compound_boost > 0
   UNION ALL SELECT f.row_number, f.position, f.code, w.priority,
-    'Directly mandated by detected ' || f.label || ' evidence: [' || f.quoted || '].', w.action, w.role, w.control
+    'Called for by ' || f.label || ' evidence: [' || f.quoted || '].', w.action, w.role, w.control
   FROM found f JOIN wording w USING (position)),
 numbered AS (SELECT *, row_number() OVER (PARTITION BY row_number ORDER BY ord) AS position FROM acts)"""
 
@@ -92,22 +93,31 @@ ORACLES = {
 SELECT row_index, factor, hits, alignment AS semantic_alignment,
   CAST(CASE WHEN hits >= 4 OR (hits >= 2 AND alignment > 0.15) THEN 0.95 WHEN hits >= 2 OR alignment > 0.12 THEN 0.88 ELSE 0.78 END AS DOUBLE) AS confidence
 FROM found JOIN aligned USING (row_index, position)""",
+    "precursor_records": f"""WITH {NORMAL},{detection_ctes('reports', 'row_index', 'cleaned_text')},{alignment_ctes('reports', 'row_index', 'cleaned_text')},
+told(position, description, related_hazards, possible_consequence, recommended_controls) AS (SELECT * FROM {TOLD})
+SELECT row_index, code AS precursor_id, factor, label, label AS precursor, label AS name, evidence, CAST(weight AS BIGINT) AS contribution,
+  CAST(CASE WHEN hits >= 4 OR (hits >= 2 AND alignment > 0.15) THEN 0.95 WHEN hits >= 2 OR alignment > 0.12 THEN 0.88 ELSE 0.78 END AS DOUBLE) AS confidence,
+  'hybrid_contextual_semantic' AS confidence_type, alignment AS semantic_alignment_score, description, related_hazards, possible_consequence, recommended_controls
+FROM found JOIN aligned USING (row_index, position) JOIN told USING (position)""",
+    "blank_reports": f"""WITH {RAW} SELECT row_index, CAST(0 AS BIGINT) AS score, 'LOW' AS tier, 'I' AS predicted_level, {q(EMPTY_FORMULA)} AS formula, {q(EMPTY_SUMMARY)} AS summary,
+  {q(EMPTY_ADVICE)} AS recommended_actions, CAST(0 AS BIGINT) AS precursors, CAST(0 AS BIGINT) AS components, CAST(0 AS BIGINT) AS corrective_actions
+FROM raw WHERE trim(coalesce(description, '')) = ''""",
     "risk_scores": f"{HISTORY} SELECT row_index, base_score, CAST(compound_boost AS BIGINT) AS compound_boost, reasons, CAST(score AS BIGINT) AS score, tier FROM scored",
     "risk_text": f"""{ANALYSED} SELECT row_number, CAST(score AS BIGINT) AS score, tier,
   concat_ws(' + ', 'Base Precursors (' || base_score || ')', CASE WHEN compound_boost > 0 THEN 'Compound Synergy (+' || compound_boost || ')' END,
     CASE WHEN severity_part > 0 THEN 'Severity Level ' || predicted_level || ' (+' || severity_part || ')' END) || ' = ' || score || '/100' AS formula,
-  CASE WHEN compound_boost > 0 THEN 'CRITICAL SIF ALERT: Compounding hazardous precursors detected (' || labels || '). Multi-hazard interaction escalates overall risk to ' || score || '/100 (' || tier || ' Tier).'
-    WHEN n_precursors >= 2 THEN 'Multiple industrial risk precursors detected (' || labels || '). Evaluated risk score is ' || score || '/100 (' || tier || ' Tier).'
-    WHEN n_precursors = 1 THEN 'Precursor detected: ' || labels || '. Assessed risk contribution is +' || base_score || ' points (' || tier || ' Tier).'
-    ELSE 'No critical Serious Injury & Fatality (SIF) precursors were detected in the submitted observation narrative.' END AS summary,
-  CASE WHEN n_precursors > 0 THEN 'The AI identified ' || labels || '. These factors contribute to an overall ' || tier || ' safety risk.'
-    ELSE 'The AI did not detect any major predefined safety precursors in the submitted report.' END AS explanation
+  CASE WHEN compound_boost > 0 THEN 'Several hazards act together (' || labels || '), which raises the risk to ' || score || '/100 (' || tier || ' Tier).'
+    WHEN n_precursors >= 2 THEN 'More than one precursor was found (' || labels || '); the score is ' || score || '/100 (' || tier || ' Tier).'
+    WHEN n_precursors = 1 THEN 'One precursor was found: ' || labels || ', which adds ' || base_score || ' points (' || tier || ' Tier).'
+    ELSE 'No precursor was found in this report.' END AS summary,
+  CASE WHEN n_precursors > 0 THEN 'The rules found ' || labels || '. Together they make the risk ' || tier || '.'
+    ELSE 'The rules found no known precursor in this report.' END AS explanation
 FROM scored""",
     "risk_components": f"""{ANALYSED}, parts AS (
-  SELECT row_number, position AS ord, factor, label, weight AS contribution, 'SIF Precursor Hazard' AS category, evidence FROM found
-  UNION ALL SELECT row_number, 100, 'compound_hazard_synergy', 'Multi-Hazard Compounding Synergy', compound_boost, 'Synergy Risk Escalation', replace(reasons, ', ', '|') FROM scored WHERE compound_boost > 0
-  UNION ALL SELECT row_number, 101, 'severity_model_alignment', 'ML Severity Level ' || predicted_level || ' Alignment', severity_part, 'Model Inference Adjustment',
-    'Linear SVM classified report as Potential Level ' || predicted_level FROM scored WHERE severity_part > 0)
+  SELECT row_number, position AS ord, factor, label, weight AS contribution, 'Precursor' AS category, evidence FROM found
+  UNION ALL SELECT row_number, 100, 'compound_hazard_synergy', 'Hazards in combination', compound_boost, 'Combination', replace(reasons, ', ', '|') FROM scored WHERE compound_boost > 0
+  UNION ALL SELECT row_number, 101, 'severity_model_alignment', 'Predicted severity ' || predicted_level || ' of the report', severity_part, 'Severity',
+    'The severity model predicts level ' || predicted_level FROM scored WHERE severity_part > 0)
 SELECT row_number, row_number() OVER (PARTITION BY row_number ORDER BY ord) AS position, factor, label, CAST(contribution AS BIGINT) AS contribution, category, evidence FROM parts""",
     "corrective_actions": f"{ANALYSED}, {ACTIONS} SELECT row_number, position, precursor_id, priority, reason, action, role AS responsible_safety_role FROM numbered",
     "recommended_actions": f"""{ANALYSED}, {ACTIONS} SELECT s.row_number, greatest(count(n.action), 1) AS n,

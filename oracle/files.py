@@ -15,6 +15,6 @@ SELECT report_id, fmt IS NOT NULL AS image_attached, image_id,
   report_id || '_' || image_id || '.' || ext AS stored_filename,
   CASE fmt WHEN 'JPEG' THEN 'image/jpeg' WHEN 'PNG' THEN 'image/png' WHEN 'BMP' THEN 'image/bmp' END AS content_type, fmt AS format,
   CASE WHEN fmt IS NOT NULL THEN octet_length(bytes) ELSE 0 END AS file_size_bytes, '/evidence/' || image_id AS url_reference,
-  CASE WHEN k = 0 THEN 'No image evidence attached to this safety report.' ELSE 'Image evidence stored with the report record.' END AS status_note,
-  CASE WHEN k = 2 THEN 'Invalid base64 encoding.' WHEN k = 3 AND fmt IS NULL THEN CASE WHEN octet_length(bytes) = 0 THEN 'Uploaded image is empty (0 bytes).' ELSE 'Corrupted or unsupported image file.' END END AS error_message FROM i""",
+  CASE WHEN k = 0 THEN 'No image came with the report.' ELSE 'The image is kept with the report.' END AS status_note,
+  CASE WHEN k = 2 THEN 'The payload is not base64.' WHEN k = 3 AND fmt IS NULL THEN CASE WHEN octet_length(bytes) = 0 THEN 'The image is empty.' ELSE 'No known image format.' END END AS error_message FROM i""",
 }

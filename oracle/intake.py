@@ -68,7 +68,7 @@ UNION ALL SELECT 'critical_risk', critical_risk, count(*) FROM raw WHERE critica
     "batch_accept": f"""WITH {RAW} SELECT row_index + 1 AS row_number, {TEXT} AS report_text, coalesce({strip('industry_sector')}, 'Mining') AS sector,
   coalesce({strip('worker_type')}, 'Employee') AS worker, coalesce({strip('Gender')}, 'Male') AS gender, coalesce({strip('location')}, '') AS location,
   'Observation' AS report_type FROM raw WHERE {FIT}""",
-    "batch_reject": f"""WITH {RAW} SELECT row_index + 1 AS row_number, 'FAILED' AS status, 'Empty or insufficient narrative text (< 4 characters).' AS error,
+    "batch_reject": f"""WITH {RAW} SELECT row_index + 1 AS row_number, 'FAILED' AS status, 'The description has fewer than four characters.' AS error,
   coalesce(description, '') AS raw_description, coalesce(location, '') AS raw_location, coalesce(date, '') AS raw_date FROM raw WHERE NOT {FIT}""",
     "text_features": f"""WITH {NORMAL} SELECT row_index, {expanded} AS expanded,
   {strip('left(raw_text, 220)')} || CASE WHEN length(raw_text) > 220 THEN '...' ELSE '' END AS excerpt,

@@ -49,6 +49,13 @@ def quota(name: str, counts: str, draws: str) -> str:
 {name} AS (SELECT severity_level, CAST(f + CASE WHEN o <= rest THEN 1 ELSE 0 END AS BIGINT) AS k FROM {name}_r)"""
 
 
+BY_ROW = f"""{NORMAL}, rk AS (SELECT cleaned_text, severity_level, row_number() OVER (PARTITION BY severity_level ORDER BY sha256('42|' || row_index || '|' || cleaned_text)) AS r FROM reports),
+n AS (SELECT severity_level, count(*) AS n FROM rk GROUP BY 1),
+{quota('t', 'n', '(SELECT ceil(0.15::DOUBLE * sum(n)) FROM n)')},
+n2 AS (SELECT severity_level, n - k AS n FROM n JOIN t USING (severity_level)),
+{quota('v', 'n2', '(SELECT ceil(0.15::DOUBLE / (1 - 0.15::DOUBLE) * sum(n)) FROM n2)')},
+sides AS (SELECT cleaned_text, CASE WHEN r <= t.k THEN 'test' WHEN r <= t.k + v.k THEN 'val' ELSE 'train' END AS split
+  FROM rk JOIN t USING (severity_level) JOIN v USING (severity_level))"""
 SPLIT = f"""{UNIQUE}, n AS (SELECT severity_level, count(*) AS n FROM rk GROUP BY 1),
 {quota('t', 'n', '(SELECT ceil(0.15::DOUBLE * sum(n)) FROM n)')},
 n2 AS (SELECT severity_level, n - k AS n FROM n JOIN t USING (severity_level)),
@@ -140,5 +147,8 @@ n2 AS (SELECT severity_level, n - k AS n FROM n JOIN t USING (severity_level)),
 SELECT row_index, severity_level, CASE WHEN r <= t.k THEN 'test' WHEN r <= t.k + v.k THEN 'val' ELSE 'train' END AS split
 FROM rk JOIN t USING (severity_level) JOIN v USING (severity_level)""",
     "stratified_folds": f"WITH {UNIQUE} SELECT row_index, severity_level, CAST(r % 5 AS INT) AS fold FROM rk",
-    "split_leakage": "SELECT CAST(0 AS BIGINT) AS leaked_texts",
+    "split_leakage": f"""WITH {SPLIT} SELECT count(*) AS leaked_texts FROM (SELECT cleaned_text FROM halves JOIN uniq USING (row_index, severity_level)
+  GROUP BY cleaned_text HAVING count(DISTINCT split) > 1)""",
+    "row_split_leakage": f"WITH {BY_ROW} SELECT sha256(cleaned_text) AS digest, count(DISTINCT split) AS splits FROM sides GROUP BY cleaned_text HAVING count(DISTINCT split) > 1",
+    "train_test_overlap": f"WITH {BY_ROW} SELECT sha256(cleaned_text) AS digest FROM sides WHERE split = 'train' INTERSECT SELECT sha256(cleaned_text) FROM sides WHERE split = 'test'",
 }

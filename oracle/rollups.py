@@ -73,7 +73,13 @@ UNION ALL SELECT 'precursor', l.label, count(f.row_index) FROM {PRECURSORS} l(fa
   LEFT JOIN found f ON f.factor = l.factor GROUP BY l.label
 UNION ALL SELECT 'sector', industry_sector, count(*) FROM scored GROUP BY industry_sector"""
 
+distribution_ratios = f"""WITH d AS ({global_distributions}),
+b AS (SELECT max(n) FILTER (WHERE dimension = 'reports' AND key = 'total') AS total, max(n) FILTER (WHERE dimension = 'precursor') AS largest FROM d)
+SELECT dimension, key, n, CAST(floor(n::DOUBLE / greatest(CASE WHEN dimension = 'precursor' THEN largest ELSE total END, 1)::DOUBLE * 100 + 0.5) AS BIGINT) AS percent
+FROM d CROSS JOIN b WHERE dimension <> 'reports'"""
+
 ORACLES = {
+    "distribution_ratios": distribution_ratios,
     "location_rollup": group_rollup("location", "Unknown"),
     "department_rollup": group_rollup("industry_sector", "General Industrial", ", gkey AS department"),
     "monthly_trend": monthly_trend,

@@ -46,11 +46,11 @@ COMMENT = strip("coalesce(comment, '')")
 REVIEWS = f"""rv AS ({VIEWS['review_events']}),
 st AS (SELECT *, CASE WHEN {RAW_STATUS} IN ('ACCEPT', 'ACCEPTED') THEN 'ACCEPTED' WHEN {RAW_STATUS} IN ('MODIFY', 'MODIFIED') THEN 'MODIFIED'
   WHEN {RAW_STATUS} IN ('REJECT', 'REJECTED') THEN 'REJECTED' END AS decision, {COMMENT} AS c FROM rv),
-checked AS (SELECT *, CASE WHEN {strip("coalesce(officer_name, '')")} = '' THEN 'Safety officer name is required to submit a review.'
-   WHEN {strip("coalesce(officer_id, '')")} = '' THEN 'Safety officer ID/badge number is required to submit a review.'
-   WHEN NOT has_prediction THEN 'Valid AI prediction payload is required for human-in-the-loop review.'
-   WHEN decision IS NULL THEN 'Invalid review status ''' || review_status || '''. Must be ACCEPTED, MODIFIED, or REJECTED.'
-   WHEN decision IN ('MODIFIED', 'REJECTED') AND length(c) < 3 THEN 'Officer justification comment is required when ' || decision || ' the AI prediction.' END AS error,
+checked AS (SELECT *, CASE WHEN {strip("coalesce(officer_name, '')")} = '' THEN 'A review needs an officer name.'
+   WHEN {strip("coalesce(officer_id, '')")} = '' THEN 'A review needs an officer id.'
+   WHEN NOT has_prediction THEN 'There is no prediction to review.'
+   WHEN decision IS NULL THEN 'Unknown decision ''' || review_status || ''': use ACCEPTED, MODIFIED or REJECTED.'
+   WHEN decision IN ('MODIFIED', 'REJECTED') AND length(c) < 3 THEN 'A comment is needed where the officer has ' || decision || ' the prediction.' END AS error,
   CASE WHEN decision = 'ACCEPTED' AND c = '' THEN {q(DEFAULT_COMMENT)} ELSE c END AS officer_comment FROM st),
 snap AS (SELECT *, coalesce(ai_level_nested, ai_level_flat, 'I') AS ai_severity, coalesce(nullif(ai_score_nested, 0), nullif(ai_score_flat, 0), 0) AS ai_risk_score
   FROM checked WHERE error IS NULL),
@@ -119,7 +119,7 @@ controls = " OR ".join(
 )
 
 ORACLES = {
-    "role_gate": f"WITH {EVENTS} SELECT event_id, {OFFICER} AS accepted, CASE WHEN NOT {OFFICER} THEN 'Safety Officer access required.' END AS rejection FROM ev",
+    "role_gate": f"WITH {EVENTS} SELECT event_id, {OFFICER} AS accepted, CASE WHEN NOT {OFFICER} THEN 'Only safety officers may do this.' END AS rejection FROM ev",
     "alert_generation": f"{ALERTS} SELECT * FROM alerts",
     "alert_search": f"""{ALERTS} SELECT alert_id, report_id, risk_score, location FROM alerts WHERE risk_level = 'CRITICAL' AND (
   contains(lower(alert_id), 'h2s') OR contains(lower(location), 'h2s') OR contains(lower(department), 'h2s') OR contains(lower(observation_excerpt), 'h2s')
@@ -152,7 +152,7 @@ r AS (SELECT *, (completed_count + verified_count)::DOUBLE / total_actions::DOUB
     "action_creation": f"""WITH {EVENTS}, rq AS (SELECT event_id, ts, CASE WHEN event_id % 31 = 0 THEN '  ' ELSE ' ' || alert_id END AS report_id, notes AS action_description,
   CASE event_id % 4 WHEN 0 THEN 'MEDIUM' ELSE 'HIGH' END AS priority, officer_name FROM ev),
 judged AS (SELECT event_id, ts, trim(report_id) AS report_id, action_description, priority, coalesce(officer_name, 'Safety Officer') AS responsible_role,
-  CASE WHEN trim(report_id) = '' THEN 'Report ID is required to create a corrective action.' WHEN action_description IS NULL THEN 'Action description is required.' END AS error FROM rq)
+  CASE WHEN trim(report_id) = '' THEN 'An action needs a report id.' WHEN action_description IS NULL THEN 'An action needs a description.' END AS error FROM rq)
 SELECT * EXCLUDE (ts), ts AS created_at, ts AS updated_at, CASE WHEN event_id % 2 = 0 THEN '2024-12-31' END AS due_date,
   CASE WHEN error IS NULL THEN {cid('ACT-', 'report_id', 'action_description')} END AS action_id, 'OPEN' AS status, 'UNVERIFIED' AS verification_status, {FRESH},
   {', '.join(f'CAST(NULL AS VARCHAR) AS {f}' for f in CONTEXT_FIELDS)} FROM judged""",

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from hazlake.functions.taxonomy import TAXONOMY
 from hazlake.operators.detect import detect_precursors, rule_gate, start_gate
-from hazlake.operators.score import explain_scores, score_reports
+from hazlake.operators.score import EMPTY_FORMULA, explain_scores, score_reports
 
 # text, factors that must be found (None: nothing may be found)
 NARRATIVES = [
@@ -61,7 +61,7 @@ def test_scores_and_texts(spark):
     assert compound["corrective_actions"][0]["precursor_id"] == "SIF-COMPOUND"
     assert "Compound Synergy (+10)" in compound["formula"] and compound["score"] == 95
     assert (empty["score"], empty["tier"]) == (0, "LOW")
-    assert empty["formula"] == "Total Score = 0/100 (No content evaluated)"
+    assert empty["formula"] == EMPTY_FORMULA
 
 
 def test_hits_count_patterns_twice_and_new_words_once(spark):

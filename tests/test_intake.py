@@ -156,7 +156,7 @@ def test_evidence(spark, tmp_path):
             ("R4", base64.b64encode(b"plain text here").decode(), None), ("R5", png, None)]
     got = {r["report_id"]: r for r in evidence_records(spark.createDataFrame(rows, "report_id string, payload string, filename string")).collect()}
     assert got["R1"]["image_attached"] and got["R1"]["format"] == "PNG" and got["R1"]["file_size_bytes"] == 28
-    assert got["R2"]["error_message"] == "Invalid base64 encoding." and not got["R2"]["image_attached"]
+    assert got["R2"]["error_message"] == "The payload is not base64." and not got["R2"]["image_attached"]
     assert got["R3"]["error_message"] is None and not got["R3"]["image_attached"]
     assert "unsupported" in got["R4"]["error_message"] and got["R5"]["original_filename"] == "evidence.png"
     (tmp_path / "REP-1_IMG-AB12.png").write_bytes(b"abc")

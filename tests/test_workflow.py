@@ -227,6 +227,31 @@ def test_split_sizes_and_folds(spark):
     assert all(abs(r["count"] - sizes[r["severity_level"]] / 5) < 1 for r in folds)
 
 
+@pytest.mark.parametrize("digits", [1, 3])
+def test_split_borders_are_order_statistics(spark, digits):
+    rng = random.Random(digits)
+    # all of one label share their first eight digits, so that borders are refined several times
+    rows = [("A", f"{rng.getrandbits(32):08x}") for _ in range(300)] + [("B", f"00ff00ff{i:08x}"[:16]) for i in range(90)]
+    frame = spark.createDataFrame(rows, "label string, place string")
+    wanted = {"A": [1, 45, 90, 300], "B": [13, 26], "C": []}
+    borders = splits.smallest(frame, "label", "place", wanted, digits)
+    assert set(borders) == {(name, k) for name, ks in wanted.items() for k in ks}
+    for (name, k), border in borders.items():
+        mine = sorted(p for n, p in rows if n == name)
+        assert [p for p in mine if p[: len(border)] <= border] == mine[:k]
+
+
+def test_splits_of_few_rows_and_many_buckets(spark):
+    schema = "severity_level string, cleaned_text string"
+    assert splits.stratified_split(spark.createDataFrame([], schema)).count() == 0
+    one = splits.stratified_split(spark.createDataFrame([("I", "a")], schema)).collect()
+    assert [r["split"] for r in one] == ["test"]
+    frame = spark.createDataFrame([("I" if i % 3 else "V", f"t{i}") for i in range(200)], schema)
+    ranks = {r["cleaned_text"]: r["label_rank"] for r in splits.label_rank(frame, "severity_level", "cleaned_text").collect()}
+    fine = {r["cleaned_text"]: r["label_rank"] for r in splits.label_rank(frame, "severity_level", "cleaned_text", bucket_rows=1).collect()}
+    assert ranks == fine and sorted(ranks.values())[-1] == 133
+
+
 def test_rollup_and_dedup_with_a_hot_key(spark):
     rows = [(i, "hot" if i % 3 else f"site{i % 7}", ["leakage"] if i % 2 else [], 75 if i % 2 else 0, "V" if i % 5 == 0 else "I") for i in range(900)]
     frame = spark.createDataFrame(rows, "row_index long, location string, factors array<string>, score int, severity_level string")
