@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import uuid
 
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+from hazlake.operators import governance as gov
 from hazlake.operators.evidence import evidence_records
-from hazlake.plans.derived import table
+from hazlake.plans.derived import derived, table
+from hazlake.session import shared_dir
 from hazlake.sources.audit import audit_files, audit_uploads, list_files
-from hazlake.sources.readers import read_parquet
+from hazlake.sources.readers import read_csv, read_parquet
+from hazlake.sources.stores import append_batch, fold_log, read_buckets
 
 
 def file_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,4 +53,30 @@ def evidence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence_records(asked)
 
 
-QUERIES = {f.__name__: f for f in (file_audit, upload_audit, numbered_rows, evidence_audit)}
+def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents written as CSV, whole texts with quotes and line breaks, and read back by the report reader."""
+    folder = f"{shared_dir(spark)}/csv-{uuid.uuid4().hex}"
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    writer = docs.write.option("header", True).option("escape", '"').option("quoteAll", True)
+    writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(folder)
+    back = read_csv(spark, [folder])
+    rows = Window.partitionBy("source_dataset")
+    return back.select(
+        F.col("doc_id").cast("bigint").alias("doc_id"), "source", "lang", F.col("n_chars").cast("bigint").alias("n_chars"),
+        F.sha2("text", 256).alias("text_sha256"),
+        # every file numbers its rows from zero without a gap
+        (F.max("row_index").over(rows) + 1 == F.count("*").over(rows)).alias("numbered"),
+    )
+
+
+def event_log_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alert state kept beside an event log: two appended batches, each folded into the buckets it touches."""
+    folder = f"{shared_dir(spark)}/log-{uuid.uuid4().hex}"
+    events = gov.role_gate(derived(spark, sf_dir, "governance_events")).filter("accepted").drop("accepted", "rejection")
+    for number in range(2):
+        append_batch(events.filter(F.col("event_id") % 2 == number), f"{folder}/log", number)
+        fold_log(spark, f"{folder}/log", f"{folder}/state", gov.compact_alert_events, "alert_id")
+    return gov.alert_state(read_buckets(spark, f"{folder}/state", events.schema))
+
+
+QUERIES = {f.__name__: f for f in (file_audit, upload_audit, numbered_rows, evidence_audit, csv_round_trip, event_log_state)}

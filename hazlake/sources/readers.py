@@ -11,6 +11,7 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from hazlake.session import cut
 from hazlake.sources.audit import WRAPPERS, audit_files, file_name
 
 # Cell texts read as missing
@@ -18,7 +19,6 @@ MISSING = (
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA",
     "NULL", "NaN", "None", "n/a", "nan", "null",
 )
-OFFSET_ROWS = 500_000  # split offsets one task may hold
 
 
 def blank_missing(df: DataFrame) -> DataFrame:
@@ -45,15 +45,16 @@ def as_strings(df: DataFrame, keep: tuple[str, ...] = ("source_dataset", "row_in
 def number_rows(df: DataFrame) -> DataFrame:
     """Row number within each file, counted over the splits the file was read in.
 
-    Rows of a split are numbered where they are read; what is joined back is one offset per split.
+    Rows of a split are numbered where they are read; what is joined back is one offset per split. The numbered rows are
+    written first: both sides of that join must see the same packing of files into tasks, also after a retry.
     """
-    placed = df.withColumns(
+    placed = cut(df.withColumns(
         {
             "_pid": F.spark_partition_id(),
             "_at": F.monotonically_increasing_id(),
             "_start": F.col("_metadata.file_block_start"),
         }
-    )
+    ))
     splits = placed.groupBy("source_dataset", "_pid", "_start").agg(
         F.min("_at").alias("_low"), F.count("*").alias("_n")
     )
@@ -61,8 +62,7 @@ def number_rows(df: DataFrame) -> DataFrame:
     offsets = splits.select(
         "source_dataset", "_pid", "_start", "_low", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")
     )
-    small = offsets.limit(OFFSET_ROWS + 1).count() <= OFFSET_ROWS
-    joined = placed.join(F.broadcast(offsets) if small else offsets, ["source_dataset", "_pid", "_start"])
+    joined = placed.join(offsets, ["source_dataset", "_pid", "_start"])
     return joined.withColumn("row_index", F.col("_at") - F.col("_low") + F.col("_before")).drop(
         "_pid", "_at", "_start", "_low", "_before"
     )

@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from hazlake.functions.ids import content_id
 from hazlake.operators import governance as gov
 from hazlake.operators.batch import accept_rows
 from hazlake.operators.rollup import merge_trends, read_trend, trend_summary
 from hazlake.plans.analysis import analyze_reports, scored_history
-from hazlake.session import cut
+from hazlake.sources.stores import merge_buckets, read_buckets
 
 
 def watch(spark: SparkSession, folder: str, schema, pattern: str = "*.parquet", files_per_batch: int = 100) -> DataFrame:
@@ -48,28 +49,11 @@ def fold_stream(
 ) -> StreamingQuery:
     """Keep, for every id, the few events that decide its state, in buckets of ids that are rewritten where touched.
 
-    A batch is compacted first, so a busy id brings a few rows. The buckets of its ids are read in their newest version,
-    merged, and written under the batch's number; all others stay where they are. A table beside the store,
-    ``<store>_versions``, says for each batch which one holds the newest version of each bucket, so nothing is searched
-    for, and a repeated batch starts from the versions before it and replaces itself. Versions that the last batches no
-    longer name can be deleted. ``buckets`` is fixed for a store; choose it so that one bucket is some 100 MB.
+    A batch reads and rewrites the buckets of its own ids (``stores.merge_buckets``); a repeated batch replaces itself.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        rows = cut(compact(batch))
-        # at most as many rows as there are buckets
-        touched = sorted(r[0] for r in rows.select(bucket_of(key, buckets)).distinct().collect())
-        versions = _versions(spark, store, number - 1) if number else {}
-        paths = [f"{store}/batch={versions[b]}/bucket={b}" for b in touched if b in versions]
-        if paths:
-            rows = rows.unionByName(spark.read.schema(rows.schema).parquet(*paths))
-        if touched:
-            merged = compact(rows).withColumn("bucket", bucket_of(key, buckets))
-            merged.write.partitionBy("bucket").mode("overwrite").parquet(f"{store}/batch={number}")
-        newest = {**versions, **dict.fromkeys(touched, number)}
-        table = spark.createDataFrame(list(newest.items()), "bucket int, version long")
-        table.coalesce(1).write.mode("overwrite").parquet(f"{store}_versions/batch={number}")
+        merge_buckets(batch, store, compact, key, number, number - 1 if number else None, buckets)
 
     return (
         events.writeStream.foreachBatch(merge)
@@ -79,19 +63,11 @@ def fold_stream(
     )
 
 
-def bucket_of(key: str, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(F.col(key)), F.lit(buckets)).cast("int").alias("bucket")
-
-
-def _versions(spark: SparkSession, store: str, number: int) -> dict[int, int]:
-    return {r["bucket"]: r["version"] for r in spark.read.parquet(f"{store}_versions/batch={number}").collect()}
-
-
-def read_state(spark: SparkSession, store: str, key: str, fold: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def read_state(
+    spark: SparkSession, store: str, key: str, fold: Callable[[DataFrame], DataFrame], schema: StructType | str | None = None
+) -> DataFrame:
     """Current state of every id from the newest version of every bucket."""
-    last = spark.read.parquet(f"{store}_versions").agg(F.max("batch")).first()[0]
-    paths = [f"{store}/batch={n}/bucket={b}" for b, n in _versions(spark, store, last).items()]
-    return fold(spark.read.parquet(*paths))
+    return fold(read_buckets(spark, store, schema))
 
 
 def fold_trend(reports: DataFrame, store: str, checkpoint: str) -> StreamingQuery:

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from oracle.workflow import ORACLES as WORKFLOW
+
 ORACLES = {
+    "csv_round_trip": """SELECT doc_id, source, lang, CAST(n_chars AS BIGINT) AS n_chars, sha256(nullif(text, '')) AS text_sha256, true AS numbered FROM documents""",
+    "event_log_state": WORKFLOW["alert_state"],
     "numbered_rows": """SELECT 'benchmark.parquet' AS source_dataset, count(*) AS n, 0::BIGINT AS first, count(*) - 1 AS last, count(*) AS distinct_rows FROM benchmark
 UNION ALL SELECT 'labels.parquet', count(*), 0, count(*) - 1, count(*) FROM labels""",
     "evidence_audit": """WITH d AS (SELECT *, doc_id % 6 AS k, printf('REP-%08d', doc_id) AS report_id, encode(text) AS body FROM documents),

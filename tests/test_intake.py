@@ -121,8 +121,8 @@ def test_folder_of_files(spark, tmp_path):
     spark.createDataFrame([("from parquet",)], "text string").coalesce(1).toPandas().to_parquet(tmp_path / "j.parquet")
     audit = {r["file"]: (r["is_valid"], r["reason"]) for r in audit_files(spark, str(tmp_path)).collect()}
     assert sorted(f for f, v in audit.items() if v[0]) == ["a.csv", "a2.csv", "b.csv", "c.json", "i.xlsx", "j.parquet"]
-    assert audit["d.json"][1].startswith("Operational ID-keyed") and "lack safety" in audit["e.json"][1]
-    assert "Failed to parse" in audit["f.json"][1] and "empty" in audit["g.json"][1] and "store file" in audit["alerts_store.json"][1]
+    assert audit["d.json"][1].startswith("A store keyed by id") and "is a description" in audit["e.json"][1]
+    assert "Not readable" in audit["f.json"][1] and "empty" in audit["g.json"][1] and "left out" in audit["alerts_store.json"][1]
     rows = {(r["source_dataset"], r["row_index"]): r for r in read_folder(spark, str(tmp_path)).collect()}
     assert len(rows) == 8 and rows["a2.csv", 0]["Local"] == "There"
     assert rows["a.csv", 0]["Description"] == "line one\nline two, quoted" and rows["a.csv", 1]["Local"] is None
@@ -158,7 +158,7 @@ def test_evidence(spark, tmp_path):
     assert got["R1"]["image_attached"] and got["R1"]["format"] == "PNG" and got["R1"]["file_size_bytes"] == 28
     assert got["R2"]["error_message"] == "The payload is not base64." and not got["R2"]["image_attached"]
     assert got["R3"]["error_message"] is None and not got["R3"]["image_attached"]
-    assert "unsupported" in got["R4"]["error_message"] and got["R5"]["original_filename"] == "evidence.png"
+    assert "format" in got["R4"]["error_message"] and got["R5"]["original_filename"] == "evidence.png"
     (tmp_path / "REP-1_IMG-AB12.png").write_bytes(b"abc")
     (tmp_path / "REP-2_IMG-CD34.png").write_bytes(b"abcd")
     one = evidence_files(spark, str(tmp_path), "IMG-CD34").collect()

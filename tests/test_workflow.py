@@ -15,6 +15,7 @@ from hazlake.operators.quality import deduplicate
 from hazlake.operators.rollup import location_rollup
 from hazlake.operators.similar import find_similar
 from hazlake.operators.tfidf import char_terms
+from hazlake.sources.stores import append_batch, fold_log, merge_buckets, read_buckets
 from hazlake.streaming import live
 
 SCHEMA = "event_id long, ts timestamp, action_id string, alert_id string, status string, officer_name string, officer_id string, notes string"
@@ -117,6 +118,26 @@ def test_action_stream_touches_only_buckets_of_its_ids(spark, tmp_path):
     assert got["id3"]["notes"] == "end"
 
 
+def test_event_log_folds_only_what_is_new(spark, tmp_path):
+    rows = events(["OPEN", "COMPLETED", "VERIFIED"], 200)
+    frame = spark.createDataFrame(rows, SCHEMA).drop("alert_id")
+    log, store = str(tmp_path / "log"), str(tmp_path / "state")
+    assert read_buckets(spark, store, frame.schema).count() == 0
+
+    def add(part, number):
+        append_batch(part, log, number)
+        return fold_log(spark, log, store, gov.compact_action_events, "action_id", 4)
+
+    assert add(frame.filter("event_id < 120"), 0) == 0
+    assert add(frame.limit(0), 1) == 0  # an empty batch leaves no files
+    assert add(frame.filter("event_id >= 120"), 5) == 5
+    assert fold_log(spark, log, store, gov.compact_action_events, "action_id", 4) == 5
+    assert plain(gov.action_state(read_buckets(spark, store))) == follow_actions(rows)
+    # the last fold again, as after a failure before its versions were written
+    merge_buckets(frame.filter("event_id >= 120"), store, gov.compact_action_events, "action_id", 5, 0, 4)
+    assert plain(gov.action_state(read_buckets(spark, store))) == follow_actions(rows)
+
+
 def test_live_trend_adds_up_and_repeats_safely(spark, tmp_path):
     from hazlake.operators import rollup
     from hazlake.plans.analysis import scored_history
