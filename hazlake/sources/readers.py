@@ -19,6 +19,7 @@ MISSING = (
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA",
     "NULL", "NaN", "None", "n/a", "nan", "null",
 )
+OFFSET_ROWS = 500_000  # split offsets one task may hold
 
 
 def blank_missing(df: DataFrame) -> DataFrame:
@@ -62,7 +63,9 @@ def number_rows(df: DataFrame) -> DataFrame:
     offsets = splits.select(
         "source_dataset", "_pid", "_start", "_low", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")
     )
-    joined = placed.join(offsets, ["source_dataset", "_pid", "_start"])
+    # a broadcast of checked size spares moving the rows; both joins give the same rows
+    small = offsets.limit(OFFSET_ROWS + 1).count() <= OFFSET_ROWS
+    joined = placed.join(F.broadcast(offsets) if small else offsets, ["source_dataset", "_pid", "_start"])
     return joined.withColumn("row_index", F.col("_at") - F.col("_low") + F.col("_before")).drop(
         "_pid", "_at", "_start", "_low", "_before"
     )
