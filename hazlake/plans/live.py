@@ -20,8 +20,10 @@ def _run_folder(spark: SparkSession) -> str:
 
 
 def _stream(spark: SparkSession, sf_dir: str, source: str, view: str) -> DataFrame:
+    """The files of a table as a stream, whether it is one file or a folder of them."""
     schema = table(spark, sf_dir, source).schema
-    return project(live.watch(spark, sf_dir, schema, f"{source}.parquet"), view)
+    # a stream takes a single file only where its path is a pattern
+    return project(live.watch(spark, f"{sf_dir}/{{{source}}}.parquet", schema, "*"), view)
 
 
 def stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
