@@ -20,7 +20,8 @@ from hazlake.functions.ids import incident_ref
 from hazlake.functions.mapping import once
 from hazlake.functions.numbers import clamp, round_even
 from hazlake.operators import postings
-from hazlake.session import cut
+from hazlake.operators.tfidf import occurrences, term_counts, unit_vectors, with_words
+from hazlake.session import cut, kept
 
 METHOD = "cosine of weighted words and word pairs"
 #: Terms of queries in one block (some 40 bytes each, broadcast).
@@ -39,23 +40,35 @@ class Index:
     vectors: DataFrame
 
 
-def _corpus(df: DataFrame, key: str, text: str) -> DataFrame:
-    named = df.select(F.col(key).alias("key"), F.lit(None).cast("string").alias("label"), F.lit(1).alias("part"), F.col(text).alias("_text"))
-    return postings.with_counts(named, "_text").drop("_text")
-
-
 def build_index(corpus: DataFrame, doc_text: str = "cleaned_text", doc_key: str = "doc_id", max_features: int = 20_000) -> Index:
-    """Terms are counted once a row; texts are expected to be cleaned, and keys to be unique."""
-    counted = cut(_corpus(corpus, doc_key, doc_text))
-    sizes = postings.training_rows(counted, [0])
-    vocabulary = cut(postings.index_terms(cut(postings.term_usage(counted, [0])), {"word": max_features}, sizes))
-    return Index(vocabulary, cut(postings.features(counted, vocabulary, [0]).select("key", "idx", "val")))
+    """Texts are split into words once, and expected to be cleaned; keys are expected to be unique.
+
+    Of all terms only the counts are shuffled. Rows are then counted by the chosen terms alone, each in itself, and from
+    that follows in how many rows a term is found.
+    """
+    words = kept(with_words(corpus, doc_key, doc_text))
+    usage = kept(occurrences(words).filter("n > 1"))
+    if usage.count() < max_features:  # terms that occur once are wanted too
+        usage = kept(occurrences(words))
+    chosen = postings.top_terms(usage.withColumn("model", F.lit(0)), max_features).select("term", (F.row_number().over(Window.orderBy("term")) - 1).alias("i"))
+    named = [r["term"] for r in chosen.orderBy("i").collect()]  # bounded by the limit
+    counted = kept(term_counts(words, named))
+    found = counted.select(F.explode("idx").alias("i")).groupBy("i").agg(F.count("*").alias("df"))
+    weighed = F.broadcast(found.withColumn("idf", postings.idf(F.col("df"), F.lit(counted.count()))))
+    vocabulary = cut(chosen.join(weighed, "i").select("term", "i", "df", "idf"))
+    idf = [r["idf"] for r in vocabulary.orderBy("i").collect()]
+    return Index(vocabulary, kept(unit_vectors(counted, idf)))
+
+
+def _vectors(queries: DataFrame, key: str, text: str, index: Index) -> DataFrame:
+    known = index.vocabulary.orderBy("i").collect()
+    counted = term_counts(with_words(queries, key, text), [r["term"] for r in known])
+    return kept(unit_vectors(kept(counted), [r["idf"] for r in known]))
 
 
 def _asked(queries: DataFrame, index: Index) -> DataFrame:
     """query, i, wq, df, rest: the norm of this term and all more frequent ones of the query."""
-    pairs = F.zip_with("idx", "val", lambda i, w: F.struct(i.alias("i"), w.alias("wq")))
-    terms = queries.select(F.col("key").alias("query"), F.inline(pairs))
+    terms = queries.select(F.col("key").alias("query"), F.inline(F.arrays_zip("idx", "val")).alias("i", "wq"))
     known = terms.join(F.broadcast(index.vocabulary.select("i", "df")), "i")
     frequent_first = Window.partitionBy("query").orderBy(F.desc("df"), "i")
     return known.withColumn("rest", F.sqrt(F.sum(F.col("wq") * F.col("wq")).over(frequent_first)))
@@ -63,8 +76,7 @@ def _asked(queries: DataFrame, index: Index) -> DataFrame:
 
 def _open(asked: DataFrame, index: Index, blocks: int) -> DataFrame:
     """query, doc, partial, of the pairs whose sum over the asked terms, with ``left``, can reach the query's ``bound``."""
-    pairs = F.zip_with("idx", "val", lambda i, w: F.struct(i.alias("i"), w.alias("wd")))
-    placed = index.vectors.repartition("key").select(F.col("key").alias("doc"), F.inline(pairs))
+    placed = index.vectors.repartition("key").select(F.col("key").alias("doc"), F.inline(F.arrays_zip("idx", "val")).alias("i", "wd"))
     found = None
     for block in range(blocks):
         own = asked.filter(F.pmod(F.xxhash64("query"), F.lit(blocks)) == block).select("query", "i", "wq", "bound", "left")
@@ -88,7 +100,7 @@ def _exact(pairs: DataFrame, queries: DataFrame, index: Index) -> DataFrame:
 
 def search(index: Index, queries: DataFrame, query_text: str = "report_text", query_key: str = "query_id", top_n: int = 3, threshold: float = 0.10) -> DataFrame:
     """query, doc, similarity, rank: the ``top_n`` best of each query among all documents at the threshold or above."""
-    vectors = cut(postings.features(_corpus(queries, query_key, query_text), index.vocabulary, [0]).select("key", "idx", "val"))
+    vectors = _vectors(queries, query_key, query_text, index)
     asked = cut(_asked(vectors, index))
     blocks = max(1, -(-asked.count() // BLOCK))
     seeds = asked.filter(F.col("rest") >= SEED).withColumns({"bound": F.lit(0.0), "left": F.lit(0.0)})
